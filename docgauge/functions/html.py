@@ -6,6 +6,7 @@ that tag, a fold over the tokens finds where the depth returns to zero, and the
 
 from pyspark.sql import Column, functions as F
 
+from docgauge.functions.let import bind
 from docgauge.functions.text import collapse
 
 _NOISE = tuple(
@@ -77,20 +78,22 @@ def content_html(clean: Column) -> Column:
                 ),
             )
         )
-    root = F.coalesce(*candidates)
-    return F.get(
-        F.transform(
-            F.array(root),
-            lambda r: F.when(r.isNull(), clean).otherwise(_balanced(F.substr(clean, r["after"]), r["tag"])),
+    return bind(
+        F.coalesce(*candidates),
+        lambda root: F.when(root.isNull(), clean).otherwise(
+            bind(F.substr(clean, root["after"]), lambda rest: _balanced(rest, root["tag"]))
         ),
-        F.lit(0),
     )
 
 
 def _balanced(rest: Column, tag: Column) -> Column:
+    """The text before the end tag that closes an element already opened."""
     token = F.concat(F.lit("(?i)</?"), tag, F.lit(r"(?=[\s>/])[^>]*>"))
     tokens = F.regexp_extract_all(rest, token, F.lit(0))
-    pieces = F.split(rest, token, -1)
+    return bind(F.split(rest, token, -1), lambda pieces: _cut_at_end(rest, tokens, pieces))
+
+
+def _cut_at_end(rest: Column, tokens: Column, pieces: Column) -> Column:
     start = F.struct(
         F.lit(1).alias("depth"), F.lit(0).cast("bigint").alias("end"), F.lit(0).alias("i"), F.lit(False).alias("done")
     )
@@ -114,6 +117,10 @@ def _balanced(rest: Column, tag: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
+    return bind(text, lambda t: F.when(F.contains(t, F.lit("&")), _decoded(t)).otherwise(t))
+
+
+def _decoded(text: Column) -> Column:
     numeric = F.array_distinct(_all(text, r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"))
 
     def char_of(entity: Column) -> Column:
@@ -129,9 +136,15 @@ def decode_entities(text: Column) -> Column:
         F.contains(text, F.lit("&#")),
         F.aggregate(numeric, text, lambda acc, entity: F.replace(acc, entity, char_of(entity))),
     ).otherwise(text)
-    for name, char in _NAMED_ENTITIES:
-        decoded = F.replace(decoded, F.lit(name), F.lit(char))
-    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+    return F.aggregate(_entity_table(), decoded, lambda acc, pair: F.replace(acc, pair["entity"], pair["char"]))
+
+
+def _entity_table() -> Column:
+    pairs = ", ".join(
+        f"struct('{name}' AS entity, '{chr(92) + char if char in (chr(39), chr(92)) else char}' AS char)"
+        for name, char in _NAMED_ENTITIES
+    )
+    return F.expr(f"array({pairs})")
 
 
 def text_of(fragment: Column) -> Column:
@@ -141,15 +154,19 @@ def text_of(fragment: Column) -> Column:
 def attribute(tag: Column, name: str) -> Column:
     """The value of one attribute in an opening tag; null when it is absent."""
     pattern = rf"(?is)[\s\"'/]{name}{_ATTR}"
-    value = F.concat(*[F.regexp_extract(tag, pattern, group) for group in (1, 2, 3)])
-    return F.when(tag.rlike(pattern), decode_entities(value))
+
+    def value(tag: Column) -> Column:
+        quoted = F.concat(*[F.regexp_extract(tag, pattern, group) for group in (1, 2, 3)])
+        return F.when(tag.rlike(pattern), decode_entities(quoted))
+
+    return bind(tag, value)
 
 
 def anchor_ids(clean: Column) -> Column:
     """Every ``id`` and every ``<a name>`` on a page: what a ``#fragment`` can land on."""
     with_id = F.transform(_all(clean, rf"(?is)<[a-z][^>]*?\sid{_ATTR}[^>]*>"), lambda tag: attribute(tag, "id"))
     named = F.transform(_all(clean, rf"(?is)<a\b[^>]*?\sname{_ATTR}[^>]*>"), lambda tag: attribute(tag, "name"))
-    return F.filter(F.array_distinct(F.transform(F.concat(with_id, named), F.trim)), lambda v: v != "")
+    return F.filter(F.array_distinct(F.transform(F.concat(with_id, named), lambda v: F.trim(v))), lambda v: v != "")
 
 
 def hrefs(fragment: Column) -> Column:
@@ -159,15 +176,26 @@ def hrefs(fragment: Column) -> Column:
     return F.filter(values, lambda v: (v != "") & ~v.rlike("(?i)^(mailto|tel|javascript|data):"))
 
 
-def meta_content(clean: Column, key: str, value: str) -> Column:
+def meta_values(clean: Column) -> Column:
+    """The ``<meta>`` tags of a page as ``array<struct<key, content>>``, keys as ``name:generator``; read in one scan."""
+    tags = _all(clean, r"(?i)<meta\b[^>]*>")
+    key = r"""(?is)\s(name|property|itemprop)\s*=\s*["']?([^"'\s/>]+)"""
+    return F.transform(
+        tags,
+        lambda tag: F.struct(
+            F.concat_ws(":", F.lower(F.regexp_extract(tag, key, 1)), F.regexp_extract(tag, key, 2)).alias("key"),
+            attribute(tag, "content").alias("content"),
+        ),
+    )
+
+
+def meta_value(metas: Column, key: str, value: str) -> Column:
     """``content`` of the first ``<meta key="value">``."""
-    escaped = value.replace(".", r"\.")
-    tag = F.regexp_substr(clean, F.lit(rf"""(?is)<meta\b[^>]*?\s{key}\s*=\s*["']?{escaped}["'\s/>][^>]*>?"""))
-    return attribute(tag, "content")
+    return F.get(F.filter(metas, lambda m: m["key"] == f"{key}:{value}"), F.lit(0))["content"]
 
 
-def has_meta(clean: Column, name: str) -> Column:
-    return clean.rlike(rf"""(?is)<meta\b[^>]*?\sname\s*=\s*["']?{name}["'\s/>]""")
+def has_meta(metas: Column, name: str) -> Column:
+    return F.exists(metas, lambda m: m["key"] == f"name:{name}")
 
 
 def title_of(clean: Column) -> Column:

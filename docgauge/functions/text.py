@@ -3,6 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from docgauge import constants as K
+from docgauge.functions.let import bind
 
 WHITESPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
 
@@ -17,14 +18,15 @@ def normalize_for_match(text: Column) -> Column:
 
 def contains_quote(text: Column, quote: Column) -> Column:
     """Substring of the normalised text first; only when that misses, the share of quote words in the vocabulary."""
-    return contains_normalized(normalize_for_match(text), normalize_for_match(quote))
+    return bind(
+        normalize_for_match(quote), lambda needle: bind(normalize_for_match(text), lambda hay: _holds(hay, needle))
+    )
 
 
-def contains_normalized(haystack: Column, needle: Column) -> Column:
+def _holds(haystack: Column, needle: Column) -> Column:
     words = F.split(needle, " ")
-    vocabulary = F.array_distinct(F.split(haystack, " "))
-    distinct_present = F.array_intersect(words, vocabulary)
-    present = F.size(F.filter(words, lambda word: F.array_contains(distinct_present, word)))
+    vocabulary = F.array_intersect(words, F.split(haystack, " "))
+    present = bind(vocabulary, lambda known: F.size(F.filter(words, lambda word: F.array_contains(known, word))))
     return (
         F.when(haystack.isNull() | needle.isNull() | (needle == ""), F.lit(False))
         .when(F.contains(haystack, needle), F.lit(True))

@@ -7,6 +7,7 @@ projection. Hosts are lower-cased and non-ASCII path characters percent-encoded,
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docgauge import constants as K
+from docgauge.functions.let import bind
 
 _MARK = "\x01"
 _SPLIT = (
@@ -22,11 +23,6 @@ def url_parts(url: Column) -> Column:
     return F.split(F.regexp_replace(clean, _SPLIT, _MARK.join(f"${i}" for i in range(1, 8))), _MARK, -1)
 
 
-def _bind(value: Column, use) -> Column:
-    """Evaluates ``value`` once and hands it to ``use``; avoids repeating a regular expression per part."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def is_url(parts: Column) -> Column:
     return F.size(parts) == 7
 
@@ -120,7 +116,7 @@ def page_key(url: Column) -> Column:
             path = F.regexp_replace(path, ending, "")
         return F.when(is_url(parts), F.concat(bare_host(host_of(parts)), path)).otherwise(url)
 
-    return _bind(url_parts(url), key)
+    return bind(url_parts(url), key)
 
 
 def same_page(left: Column, right: Column) -> Column:
@@ -132,7 +128,7 @@ def short_path(url: Column) -> Column:
         path = path_of(parts)
         return F.when(~is_url(parts), url).when(path == "/", host_of(parts)).otherwise(path)
 
-    return _bind(url_parts(url), short)
+    return bind(url_parts(url), short)
 
 
 def segments(path: Column) -> Column:
@@ -183,7 +179,7 @@ def resolve_href(base: Column, href: Column) -> Column:
             .when(F.startswith(href, F.lit("#")), F.concat(here, query_of(base_parts), href))
             .otherwise(F.concat(base_origin, folder, href))
         )
-        return _bind(url_parts(absolute), finish)
+        return bind(url_parts(absolute), finish)
 
     def finish(parts):
         address = F.concat(origin_of(parts), path_of(parts), query_of(parts))
@@ -193,4 +189,4 @@ def resolve_href(base: Column, href: Column) -> Column:
             is_web(parts), F.struct(address.alias("url"), F.nullif(decoded, F.lit("")).alias("fragment"))
         )
 
-    return _bind(url_parts(base), resolved)
+    return bind(url_parts(base), resolved)

@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from docgauge import constants as K
 from docgauge.functions.text import looks_like_html
@@ -114,7 +115,7 @@ def _squeeze(text: str) -> str:
     return f"{' ' if text[0].isspace() else ''}{words}{' ' if text[-1].isspace() else ''}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _to_markdown(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def convert(body):
         if body is None:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from docgauge import constants as K
 from docgauge.functions import text as T, urls as U
 from docgauge.functions.numbers import grouped_text, rounded, status_for_credit
-from docgauge.operators.common import first_n, first_per, native_check, ordered_texts
+from docgauge.operators.common import first_n, first_per, native_check, numbered, ordered_texts
 from docgauge.operators.identity import registrable
 
 QUESTION = ["site_key", "question_ord"]
@@ -94,7 +94,7 @@ def out_of_site_fetch(fetches: DataFrame, sites: DataFrame, suffixes: DataFrame)
 
 def cited_passages(answers: DataFrame, fetches: DataFrame) -> DataFrame:
     """What the agent read at the URLs it cited: ``passage_ord, url, passage``, three per question, one per page read."""
-    cited = answers.select(*QUESTION, F.posexplode(T.cited_urls(F.col("answer"))).alias("cite_ord", "cited"))
+    cited = numbered(answers, QUESTION, T.cited_urls(F.col("answer")), "cite_ord", "cited")
     cited = cited.withColumn("page_key", U.page_key(F.col("cited")))
     read = fetches.filter(F.length("agent_text") > 0).select(
         *QUESTION, "fetch_ord", F.col("url").alias("read_url"), F.left("agent_text", F.lit(K.PASSAGE_CHARS)).alias("passage"),

@@ -39,6 +39,16 @@ def first_per(df: DataFrame, keys: list[str], order: list[str | Column]) -> Data
     return first_n(df, keys, order, 1)
 
 
+def numbered(df: DataFrame, keep: list[str | Column], values: str | Column, position: str, name: str) -> DataFrame:
+    """Explodes an array with its positions.
+
+    The outer form plus a filter on the position: a plain explode makes Spark test the array for emptiness below it,
+    and pushing that test to the scan would compute an expensive array a second time.
+    """
+    rows = df.select(*keep, F.posexplode_outer(values).alias(position, name))
+    return rows.filter(F.col(position).isNotNull())
+
+
 def ordered_texts(ordinal: Column, text: Column, condition: Column, n: int) -> Column:
     """First ``n`` texts by ordinal, as an aggregate; for groups whose size a previous limit bounds."""
     kept = F.collect_list(F.when(condition, F.struct(ordinal.alias("o"), text.alias("t"))))

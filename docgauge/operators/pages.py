@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docgauge import constants as K
 from docgauge.functions import dates as D, html as H, urls as U
+from docgauge.functions.let import bind
 from docgauge.functions.text import sanitize
-from docgauge.operators.common import first_n, first_per
+from docgauge.operators.common import first_n, first_per, numbered
 
 
 def read_pages(responses: DataFrame) -> DataFrame:
@@ -29,10 +30,10 @@ def page_facts(pages: DataFrame, now: Column | None = None) -> DataFrame:
     Staged projections keep each expensive string (cleaned page, content element, text) computed once.
     """
     now = F.current_timestamp() if now is None else now
+    clean, content = F.col("clean"), F.col("content")
     staged = pages.withColumns({"json_ld": H.json_ld(F.col("html")), "clean": H.without_noise(F.col("html"))})
-    staged = staged.withColumn("content", H.content_html(F.col("clean")))
-    staged = staged.withColumn("text", H.text_of(F.col("content")))
-    clean = F.col("clean")
+    staged = staged.withColumn("content", H.content_html(clean))
+    staged = staged.withColumns({"text": H.text_of(content), "metas": H.meta_values(clean)})
     return staged.select(
         *[c for c in pages.columns if c not in ("html", "last_modified")],
         U.page_key(F.col("url")).alias("page_key"),
@@ -40,26 +41,26 @@ def page_facts(pages: DataFrame, now: Column | None = None) -> DataFrame:
         "text",
         "json_ld",
         H.anchor_ids(clean).alias("anchors"),
-        H.hrefs(F.col("content")).alias("hrefs"),
-        H.meta_content(clean, "property", "og:site_name").alias("og_site_name"),
-        H.meta_content(clean, "name", "generator").alias("generator"),
+        H.hrefs(content).alias("hrefs"),
+        H.meta_value(F.col("metas"), "property", "og:site_name").alias("og_site_name"),
+        H.meta_value(F.col("metas"), "name", "generator").alias("generator"),
         declared_update_date(now).alias("declared_at"),
     )
 
 
 def declared_update_date(now: Column) -> Column:
     """Most reliable source first: metas, JSON-LD, visible text, ``<time>``, the response header."""
-    metas = [D.to_date(H.meta_content(F.col("clean"), key, name)) for key, name in K.UPDATE_METAS]
 
     def first_valid(values: Column) -> Column:
-        return F.get(F.filter(F.transform(values, D.to_date), lambda d: d.isNotNull()), F.lit(0))
+        return F.get(F.filter(F.transform(values, lambda v: D.to_date(v)), lambda d: d.isNotNull()), F.lit(0))
 
-    modified = F.transform(F.col("json_ld"), lambda b: F.regexp_extract(b, r'"dateModified"\s*:\s*"([^"]+)"', 1))
-    visible = F.regexp_extract(F.col("text"), K.UPDATED_TEXT, 2)
+    metas = F.array(*[H.meta_value(F.col("metas"), key, name) for key, name in K.UPDATE_METAS])
+    modified = F.transform("json_ld", lambda b: F.regexp_extract(b, r'"dateModified"\s*:\s*"([^"]+)"', 1))
+    visible = F.regexp_extract("text", K.UPDATED_TEXT, 2)
     return F.coalesce(
-        *metas,
+        first_valid(metas),
         first_valid(modified),
-        F.when(visible != "", D.first_date_in(visible, now)),
+        bind(visible, lambda said: F.when(said != "", D.first_date_in(said, now))),
         first_valid(H.time_values(F.col("content"))),
         D.to_date(F.col("last_modified")),
     )
@@ -67,9 +68,7 @@ def declared_update_date(now: Column) -> Column:
 
 def content_references(facts: DataFrame) -> DataFrame:
     """Links in page content: absolute URL and decoded fragment, distinct per page in the order found."""
-    rows = facts.select(
-        "site_key", "page_ord", F.col("url").alias("from_url"), F.posexplode("hrefs").alias("ref_ord", "href")
-    )
+    rows = numbered(facts, ["site_key", "page_ord", F.col("url").alias("from_url")], "hrefs", "ref_ord", "href")
     rows = rows.withColumn("ref", U.resolve_href(F.col("from_url"), F.col("href"))).filter(F.col("ref").isNotNull())
     rows = rows.select("site_key", "page_ord", "from_url", "ref_ord", "ref.url", "ref.fragment")
     return first_per(rows, ["site_key", "from_url", "url", "fragment"], ["ref_ord"])
@@ -100,7 +99,7 @@ def endpoint_mentions(facts: DataFrame) -> DataFrame:
     found = facts.select(
         "site_key", "page_ord", "url", "text",
         F.regexp_extract_all("text", pattern, F.lit(0)).alias("found"),
-    ).filter(F.size("found") > 0)
+    )
     # Offsets: text before a mention is the pieces and mentions that precede it.
     lengths = F.transform(F.split("text", K.ENDPOINT_MENTION, -1), F.length)
     sizes = F.transform("found", F.length)
@@ -113,8 +112,8 @@ def endpoint_mentions(facts: DataFrame) -> DataFrame:
         ),
         lambda acc: acc["starts"],
     )
-    rows = found.withColumn("starts", spans).select(
-        "site_key", "page_ord", "url", "text", "starts", F.posexplode("found").alias("mention_ord", "mention")
+    rows = numbered(
+        found.withColumn("starts", spans), ["site_key", "page_ord", "url", "text", "starts"], "found", "mention_ord", "mention"
     )
     start = F.get("starts", F.col("mention_ord"))
     begin = F.greatest(start - K.CONTEXT_CHARS, F.lit(0))
@@ -165,12 +164,8 @@ def shared_title_part(facts: DataFrame) -> DataFrame:
     Counted per (site, part) instead of collecting titles, so a large site stays spread out.
     """
     titled = facts.filter(F.col("title").isNotNull()).select("site_key", "page_ord", "title")
-    parts = titled.select(
-        "site_key", "page_ord",
-        F.posexplode(
-            F.array_distinct(F.transform(F.split("title", r"\s+[|·•–—-]\s+"), F.trim))
-        ).alias("part_ord", "part"),
-    )
+    split = F.array_distinct(F.transform(F.split("title", r"\s+[|·•–—-]\s+"), lambda part: F.trim(part)))
+    parts = numbered(titled, ["site_key", "page_ord"], split, "part_ord", "part")
     totals = titled.groupBy("site_key").agg(F.count("*").alias("pages"), F.min("page_ord").alias("first_ord"))
     counted = parts.groupBy("site_key", "part").agg(
         F.count("*").alias("holding"), F.min(F.struct("page_ord", "part_ord")).alias("first")

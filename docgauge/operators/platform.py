@@ -7,14 +7,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from docgauge import constants as K
 from docgauge.functions import html as H
 from docgauge.functions.numbers import rounded
+from docgauge.operators.common import numbered
 
 
 def _matches(kind: str, pattern: str) -> Column:
     html, url = F.col("html"), F.col("url")
     if kind == "generator":
-        return F.coalesce(F.trim(H.meta_content(html, "name", "generator")).rlike(pattern), F.lit(False))
+        return F.coalesce(F.trim("generator").rlike(pattern), F.lit(False))
     if kind == "meta":
-        return H.has_meta(html, pattern)
+        return H.has_meta(F.col("metas"), pattern)
     if kind == "html":
         return F.contains(html, F.lit(pattern))
     if kind == "selector":
@@ -28,7 +29,8 @@ def platform_signals_match(pages: DataFrame, profiles=K.PLATFORM_SIGNALS) -> Dat
     The signal list is configuration, so it becomes one expression per page rather than a join: each page is read
     once and emits only its hits.
     """
-    pages = pages.select("site_key", "url", "html").filter(F.col("html") != "")
+    pages = pages.select("site_key", "url", "html", H.meta_values(F.col("html")).alias("metas")).filter(F.col("html") != "")
+    pages = pages.withColumn("generator", H.meta_value(F.col("metas"), "name", "generator"))
     hits = F.array_compact(
         F.array(
             *[
@@ -43,7 +45,7 @@ def platform_signals_match(pages: DataFrame, profiles=K.PLATFORM_SIGNALS) -> Dat
             ]
         )
     )
-    return pages.select("site_key", F.explode(hits).alias("hit")).select("site_key", "hit.*").distinct()
+    return numbered(pages, ["site_key"], hits, "__pos", "hit").select("site_key", "hit.*").distinct()
 
 
 def platform_detect(sites: DataFrame, matched: DataFrame, profiles=K.PLATFORM_SIGNALS) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docgauge.functions import urls as U
+from docgauge.operators.common import numbered
 
 
 def llms_links(llms_txt: DataFrame) -> DataFrame:
     """``site_key, link_ord, link`` of Markdown links."""
     found = F.regexp_extract_all("content", F.lit(r"\((https?://[^)\s]+)\)"), F.lit(1))
-    return llms_txt.select("site_key", F.posexplode(found).alias("link_ord", "link"))
+    return numbered(llms_txt, ["site_key"], found, "link_ord", "link")
 
 
 def advertised_mcp_urls(llms_txt: Column) -> Column:

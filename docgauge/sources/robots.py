@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docgauge import constants as K
+from docgauge.operators.common import numbered
 
 
 def robots_file_state(responses: DataFrame) -> DataFrame:
@@ -48,8 +49,8 @@ def robots_lines(files: DataFrame) -> DataFrame:
         lambda acc, o: F.struct((acc["g"] + o).alias("g"), F.concat(acc["ids"], F.array(acc["g"] + o)).alias("ids")),
         lambda acc: acc["ids"],
     )
-    numbered = rows.select("origin", group_ids.alias("ids"), F.posexplode("fields").alias("line_ord", "f"))
-    return numbered.select(
+    lines = numbered(rows.select("origin", group_ids.alias("ids"), "fields"), ["origin", "ids"], "fields", "line_ord", "f")
+    return lines.select(
         "origin", "line_ord", F.col("f.field").alias("field"), F.col("f.value").alias("value"),
         F.get("ids", F.col("line_ord")).alias("group_id"),
     )

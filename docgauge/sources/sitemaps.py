@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docgauge import constants as K
 from docgauge.functions import urls as U
-from docgauge.operators.common import first_n, first_per
+from docgauge.operators.common import first_n, first_per, numbered
 
 
 def decode_xml(value: Column) -> Column:
@@ -24,7 +24,7 @@ def sitemap_entries(documents: DataFrame) -> DataFrame:
     """``url, ord, loc, lastmod`` of ``<url>`` blocks, 5,000 per document."""
     blocks = F.slice(F.regexp_extract_all("body", F.lit(r"(?is)<url>(.*?)</url>"), F.lit(1)), 1, K.MAX_SITEMAP_ENTRIES)
     found = F.filter(blocks, lambda b: b.rlike(r"(?i)<loc>\s*[^<\s]+\s*</loc>"))
-    rows = parsed_documents(documents).select("url", F.posexplode(found).alias("ord", "block"))
+    rows = numbered(parsed_documents(documents), ["url"], found, "ord", "block")
     return rows.select(
         "url", "ord",
         decode_xml(F.regexp_extract("block", r"(?i)<loc>\s*([^<\s]+)\s*</loc>", 1)).alias("loc"),
@@ -35,9 +35,8 @@ def sitemap_entries(documents: DataFrame) -> DataFrame:
 def sitemap_children(documents: DataFrame) -> DataFrame:
     """``url, child_ord, child`` of ``<sitemap>`` blocks."""
     pattern = F.lit(r"(?is)<sitemap>.*?<loc>\s*([^<\s]+)\s*</loc>")
-    rows = parsed_documents(documents).select(
-        "url", F.posexplode(F.regexp_extract_all("body", pattern, F.lit(1))).alias("child_ord", "raw")
-    )
+    found = F.regexp_extract_all("body", pattern, F.lit(1))
+    rows = numbered(parsed_documents(documents), ["url"], found, "child_ord", "raw")
     return rows.select("url", "child_ord", decode_xml(F.col("raw")).alias("child"))
 
 

@@ -1,0 +1,8 @@
+"""Queries over the given tables, each with the SQL that checks it."""
+
+
+def load():
+    from workload import queries_pages  # noqa: F401
+    from workload.registry import ORACLES, QUERIES
+
+    return QUERIES, ORACLES
