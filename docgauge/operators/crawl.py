@@ -39,12 +39,12 @@ def retry_after_ms(value: Column, now: Column) -> Column:
 def retry_wait_ms(value: Column, attempt: Column, now: Column) -> Column:
     """The wait a refusing site asked for, otherwise one second doubling per attempt; zero is not taken literally."""
     asked = retry_after_ms(value, now)
-    return F.when(asked > 0, asked).otherwise(F.lit(K.REFUSAL_BACKOFF_MS) * F.shiftleft(F.lit(1), attempt))
+    return F.when(asked > 0, asked).otherwise((F.lit(K.REFUSAL_BACKOFF_MS) * F.pow(F.lit(2), attempt)).cast("bigint"))
 
 
 def spacing_after(refusals: Column) -> Column:
     """Spacing after the n-th refusal: one second, doubling to four."""
-    doubled = F.lit(K.REFUSED_INTERVAL_MS) * F.shiftleft(F.lit(1), F.least(refusals, F.lit(8)).cast("int") - 1)
+    doubled = (F.lit(K.REFUSED_INTERVAL_MS) * F.pow(F.lit(2), F.least(refusals, F.lit(8)) - 1)).cast("int")
     return F.when(refusals > 0, F.least(F.lit(K.MAX_REFUSED_INTERVAL_MS), doubled)).otherwise(F.lit(K.MIN_INTERVAL_MS))
 
 

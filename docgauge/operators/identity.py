@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docgauge import constants as K
 from docgauge.functions import urls as U
+from docgauge.functions.let import bind
 from docgauge.operators.common import first_per
 
 
@@ -147,72 +148,79 @@ def _ipv4_number(text: str) -> int:
 
 
 def _ipv4_is_private(host: Column) -> Column:
-    """Whether a dotted address falls in a non-public range; the 18 fixed ranges become one expression."""
-    octets = F.transform(F.split(host, r"\."), lambda o: o.try_cast("bigint"))
-    number = F.aggregate(octets, F.lit(0).cast("bigint"), lambda acc, o: acc * 256 + o)
-    inside = F.lit(False)
-    for base, bits in K.NON_PUBLIC_IPV4:
-        first = _ipv4_number(base)
-        inside = inside | number.between(F.lit(first), F.lit(first + (1 << (32 - bits)) - 1))
-    return inside | F.exists(octets, lambda o: o.isNull() | (o > 255))
+    """Whether a dotted address falls in a non-public range; the fixed ranges become one expression."""
+
+    def judged(octets: Column) -> Column:
+        number = F.aggregate(octets, F.lit(0).cast("bigint"), lambda acc, o: acc * 256 + o)
+        return F.exists(octets, lambda o: o.isNull() | (o > 255)) | bind(number, in_range)
+
+    def in_range(number: Column) -> Column:
+        inside = F.lit(False)
+        for base, bits in K.NON_PUBLIC_IPV4:
+            first = _ipv4_number(base)
+            inside = inside | number.between(F.lit(first), F.lit(first + (1 << (32 - bits)) - 1))
+        return inside
+
+    return bind(F.transform(F.split(host, r"\."), lambda o: o.try_cast("bigint")), judged)
 
 
 def _ipv6_words(address: Column) -> Column:
-    """Eight 16-bit words of an IPv6 address as integers, null when it does not parse."""
-    halves = F.split(address, "::", -1)
-    left = F.filter(F.split(F.get(halves, F.lit(0)), ":"), lambda w: w != "")
-    right = F.filter(F.split(F.coalesce(F.get(halves, F.lit(1)), F.lit("")), ":"), lambda w: w != "")
-    missing = 8 - F.size(left) - F.size(right)
-    padded = F.when(
-        F.size(halves) == 2,
-        F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right),
-    ).otherwise(left)
-    return F.transform(padded, lambda w: F.conv(w, 16, 10).cast("int"))
+    """Eight 16-bit words of an IPv6 address as integers; another length when it does not parse."""
 
+    def padded(halves: Column) -> Column:
+        left = F.filter(F.split(F.get(halves, F.lit(0)), ":"), lambda w: w != "")
+        right = F.filter(F.split(F.coalesce(F.get(halves, F.lit(1)), F.lit("")), ":"), lambda w: w != "")
+        gap = F.greatest(8 - F.size(left) - F.size(right), F.lit(0))
+        return F.when(F.size(halves) == 2, F.concat(left, F.array_repeat(F.lit("0"), gap), right)).otherwise(left)
 
-def _ipv6_is_private(address: Column) -> Column:
-    dotted = F.regexp_extract(address, r"(\d+\.\d+\.\d+\.\d+)$", 1)
-    octets = F.transform(F.split(dotted, r"\."), lambda o: o.try_cast("int"))
-    as_words = F.concat(
-        F.regexp_replace(address, r"\d+\.\d+\.\d+\.\d+$", ""),
-        F.lower(F.hex(F.get(octets, F.lit(0)) * 256 + F.get(octets, F.lit(1)))), F.lit(":"),
-        F.lower(F.hex(F.get(octets, F.lit(2)) * 256 + F.get(octets, F.lit(3)))),
-    )
-    words = _ipv6_words(F.when(dotted != "", as_words).otherwise(address))
-    w = [F.get(words, F.lit(i)) for i in range(8)]
-    first_six_zero = F.forall(F.slice(words, 1, 6), lambda x: x == 0)
-    mapped = F.forall(F.slice(words, 1, 5), lambda x: x == 0) & (w[5] == 0xFFFF)
-    mapped_v4 = F.concat_ws(
-        ".", F.shiftright(w[6], 8), F.pmod(w[6], F.lit(256)), F.shiftright(w[7], 8), F.pmod(w[7], F.lit(256))
-    )
-    special = (
-        first_six_zero  # unspecified, loopback and the retired IPv4-compatible form
-        | w[0].between(0xFC00, 0xFDFF)  # unique local
-        | w[0].between(0xFE80, 0xFEBF)  # link local
-        | w[0].between(0xFEC0, 0xFEFF)  # retired site local
-        | w[0].between(0xFF00, 0xFFFF)  # multicast
-        | (w[0] == 0x2002)  # 6to4
-        | ((w[0] == 0x2001) & w[1].isin(0, 2, 0xDB8))  # tunnels, benchmarking, documentation
-        | ((w[0] == 0x2001) & w[1].between(0x10, 0x2F))  # overlay identifiers
-        | ((w[0] == 0x64) & (w[1] == 0xFF9B))  # address translation
-        | (w[0] == 0x100)  # discard only
-        | (w[0] == 0x3FFF)  # documentation
+    return F.transform(bind(F.split(address, "::", -1), padded), lambda w: F.conv(w, 16, 10).cast("int"))
+
+
+def _dotted_tail_as_words(address: Column) -> Column:
+    """``::ffff:10.0.0.1`` as ``::ffff:a00:1``."""
+    octets = F.transform(
+        F.split(F.regexp_extract(address, r"(\d+\.\d+\.\d+\.\d+)$", 1), r"\."), lambda o: o.try_cast("int")
     )
-    return F.when(F.size(words) != 8, True).when(mapped, _ipv4_is_private(mapped_v4)).otherwise(special)
+    pair = lambda a, b: F.lower(F.hex(F.get(octets, F.lit(a)) * 256 + F.get(octets, F.lit(b))))
+    return F.when(
+        address.rlike(r"\d+\.\d+\.\d+\.\d+$"),
+        F.concat(F.regexp_replace(address, r"\d+\.\d+\.\d+\.\d+$", ""), pair(0, 1), F.lit(":"), pair(2, 3)),
+    ).otherwise(address)
+
+
+def _ipv6_is_private(address: Column) -> Column:
+    def judged(words: Column) -> Column:
+        w = [F.get(words, F.lit(i)) for i in range(8)]
+        mapped = F.forall(F.slice(words, 1, 5), lambda x: x == 0) & (w[5] == 0xFFFF)
+        mapped_v4 = F.concat_ws(
+            ".", F.shiftright(w[6], 8), F.pmod(w[6], F.lit(256)), F.shiftright(w[7], 8), F.pmod(w[7], F.lit(256))
+        )
+        special = (
+            F.forall(F.slice(words, 1, 6), lambda x: x == 0)  # unspecified, loopback, retired IPv4-compatible form
+            | w[0].between(0xFC00, 0xFDFF)  # unique local
+            | w[0].between(0xFE80, 0xFEFF)  # link local and retired site local
+            | w[0].between(0xFF00, 0xFFFF)  # multicast
+            | (w[0] == 0x2002)  # 6to4
+            | ((w[0] == 0x2001) & (w[1].isin(0, 2, 0xDB8) | w[1].between(0x10, 0x2F)))  # tunnels, tests, identifiers
+            | ((w[0] == 0x64) & (w[1] == 0xFF9B))  # address translation
+            | (w[0] == 0x100)  # discard only
+            | (w[0] == 0x3FFF)  # documentation
+        )
+        return F.when(F.size(words) != 8, True).when(mapped, _ipv4_is_private(mapped_v4)).otherwise(special)
+
+    return bind(_ipv6_words(_dotted_tail_as_words(address)), judged)
 
 
 def url_triage(df: DataFrame, url: str = "url") -> DataFrame:
     """Adds ``refused``: why a submitted URL may not be requested, null when it may."""
-    df = df.withColumn("__parts", U.url_parts(F.col(url)))
     parts = F.col("__parts")
-    scheme = F.lower(F.get(parts, F.lit(0)))
-    host = F.regexp_replace(F.regexp_replace(U.host_of(parts), r"^\[|\]$", ""), r"\.$", "")
-    has_scheme = F.col(url).rlike(r"^\s*[A-Za-z][A-Za-z0-9+.\-]*:")
-    private = F.lit(False)
-    for suffix in K.PRIVATE_HOST_SUFFIXES:
-        private = private | (host == suffix) | F.endswith(host, F.lit(f".{suffix}"))
+    bare = F.regexp_replace(F.regexp_replace(U.host_of(parts), r"^\[|\]$", ""), r"\.$", "")
+    # Two projections: the host is needed by most rules and is computed once.
+    df = df.withColumn("__parts", U.url_parts(F.col(url))).withColumn("__host", bare)
+    scheme, host = F.lower(F.get(parts, F.lit(0))), F.col("__host")
+    named = "|".join(s.replace(".", r"\.") for s in K.PRIVATE_HOST_SUFFIXES)
     refused = (
-        F.when(~U.is_url(parts) & has_scheme & ~F.col(url).rlike(r"(?i)^\s*https?:"), "unsupported_scheme")
+        F.when(~U.is_url(parts) & F.col(url).rlike(r"(?i)^\s*(?!https?:)[a-z][a-z0-9+.\-]*:"), "unsupported_scheme")
         .when(~U.is_url(parts), "invalid_url")
         .when(~scheme.isin("http", "https"), "unsupported_scheme")
         .when(host == "", "invalid_url")
@@ -220,9 +228,9 @@ def url_triage(df: DataFrame, url: str = "url") -> DataFrame:
         .when(~U.port_of(parts).isin(*K.ALLOWED_PORTS), "blocked_port")
         .when(host.rlike(r"^\d+(\.\d+){3}$"), F.when(_ipv4_is_private(host), "private_address"))
         .when(F.contains(host, F.lit(":")), F.when(_ipv6_is_private(host), "private_address"))
-        .when(~F.contains(host, F.lit(".")) | private, "private_address")
+        .when(~F.contains(host, F.lit(".")) | host.rlike(rf"(^|\.)({named})$"), "private_address")
     )
-    return df.withColumn("refused", refused).drop("__parts")
+    return df.withColumn("refused", refused).drop("__parts", "__host")
 
 
 # --- what the entry response says ---------------------------------------------------------------

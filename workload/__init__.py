@@ -2,7 +2,7 @@
 
 
 def load():
-    from workload import queries_pages  # noqa: F401
+    from workload import queries_pages, queries_scores, queries_sites  # noqa: F401
     from workload.registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES

@@ -277,7 +277,7 @@ def agent_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     entry = fetch(0, F.col("scope_root"), F.lit(200), F.lit("Welcome"), F.lit(False), F.lit(7))
     page = fetch(1, text(F.col("url"), ".md"), status, cut, (F.length("text") > limit) & (d % 7 != 4), F.length("text"))
-    other = fetch(2, text(F.col("scope_root"), "/page-", d + 20), F.lit(200), F.upper("text"), F.lit(False), F.length("text"))
+    other = fetch(2, text(F.col("scope_root"), "/page-", d + 20), F.lit(200), text("Copy: ", F.col("text")), F.lit(False), F.length("text"))
     made = F.array_compact(F.array(entry, F.when(d % 6 != 5, page), F.when(d % 12 == 5, other)))
     return docs(spark, sf_dir).select("site_key", d.cast("int").alias("question_ord"), F.explode(made).alias("f")).select(
         "site_key", "question_ord", "f.*"
