@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docgauge.operators import access, apispec, pages as P, platform, protocols, scoring, verdicts
 from docgauge.operators.fixes import top_fixes
+from docgauge.session import kept
 from docgauge.sources import robots, sitemaps, specs
 
 
@@ -31,18 +32,23 @@ class Technical:
     extras: DataFrame
     platforms: DataFrame
     fixes: DataFrame
+    shared: list[DataFrame]
+
+    def release(self) -> None:
+        for table in self.shared:
+            table.unpersist()
 
 
 def technical_stage(captured: Captured, now: Column | None = None) -> Technical:
     """All page checks of every site as one lazy plan.
 
-    Page facts, references and the chosen sitemap feed several checks; callers that run more than one action persist
-    ``facts`` (see ``persisted``), within one action Spark reuses the shared exchanges.
+    Page facts and collected references feed several checks, so they are kept;
+    ``Technical.release`` drops them once the reports are written.
     """
     sites, log = captured.sites, captured.responses
-    facts = P.page_facts(captured.pages, now)
+    facts = kept(P.page_facts(captured.pages, now))
     references = P.content_references(facts)
-    collected = P.collect_references(references)
+    collected = kept(P.collect_references(references))
     links = P.content_links(references)
     gets = log.filter(F.col("method") == "GET")
     documents = gets.filter((F.col("status") == 200) & F.col("failure").isNull()).select("url", "body").dropDuplicates(["url"])
@@ -74,7 +80,7 @@ def technical_stage(captured: Captured, now: Column | None = None) -> Technical:
     answered = gets.select("url", "status", "content_type", "headers", "body", "truncated", "final_url").dropDuplicates(["url"])
     extras = protocols.additional_checks(sites, captured.llms_txt, answered, captured.suffixes)
     detected = platform.platform_detect(sites, platform.platform_signals_match(captured.pages))
-    return Technical(facts, checks, extras, detected, top_fixes(checks))
+    return Technical(facts, checks, extras, detected, top_fixes(checks), [facts, collected])
 
 
 def technical_scores(stage: Technical, coverage: DataFrame, caps: DataFrame | None = None, state: DataFrame | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -42,3 +43,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Spreads a scan of too few splits over all cores, for work that is heavy per row; large inputs pass unchanged."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Marks a table several operators read to be computed once, in memory and on disk; lost parts are recomputed.
+
+    Page facts are the case in point: five checks read them, and without this each would parse every page again.
+    Callers release it with ``unpersist`` once the reports are written.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from docgauge import constants as K
 from docgauge.functions import urls as U
 from docgauge.operators.common import first_n, first_per, numbered
+from docgauge.session import kept
 
 
 def decode_xml(value: Column) -> Column:
@@ -110,6 +111,8 @@ def choose_scope_sitemap(
     inside = located.filter(
         F.col("u_valid") & U.in_scope(F.col("u_host"), F.col("u_path"), F.col("r_host"), F.col("r_path"), pages_only=False)
     )
+    # Read twice below: to find the first useful candidate and to return its entries.
+    inside = kept(inside.select("site_key", "candidate_ord", "entry_ord", "loc", "lastmod"))
     useful = inside.groupBy("site_key").agg(F.min("candidate_ord").alias("useful_ord"))
     found = parsed.groupBy("site_key").agg(
         F.min(F.struct("candidate_ord", "candidate")).alias("first_found")

@@ -8,6 +8,7 @@ from docgauge import constants as K
 from docgauge.functions import dates as D, html as H, urls as U
 from docgauge.functions.text import collapse as squeeze
 from docgauge.operators import access, agent_text as AT, apispec, identity as I, pages as P, platform, protocols, sampling, verdicts
+from docgauge.session import kept
 from docgauge.sources import llms, robots, sitemaps, specs
 from workload import captures as C
 from workload.registry import DECLARED, DOCS, IN_SCOPE, PAGE_TEXT, TARGETS, collapse, query, refs
@@ -24,7 +25,10 @@ def day(column: str):
 
 
 def facts(spark, sf, sampled=False):
-    return P.page_facts(C.sampled_pages(spark, sf) if sampled else C.pages(spark, sf), now())
+    """Facts of all derived pages, or of the sample; the sample's facts feed several checks and are computed once."""
+    if sampled:
+        return kept(P.page_facts(C.sampled_pages(spark, sf), now()))
+    return P.page_facts(C.pages(spark, sf), now())
 
 
 def sample_references(spark, sf):
