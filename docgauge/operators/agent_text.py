@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -26,6 +27,7 @@ class _Markdown(HTMLParser):
         self.lists: list[list] = []
         self.hidden = 0
         self.pre = 0
+        self.code = 0
 
     def _close(self) -> str:
         return "".join(self.frames.pop()) if len(self.frames) > 1 else ""
@@ -51,11 +53,13 @@ class _Markdown(HTMLParser):
             self.frames.append([])
         elif tag in ("h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "code", "strong", "b", "em", "i", "td", "th"):
             self.pre += tag == "pre"
+            self.code += tag in ("pre", "code")
             self.frames.append([])
         elif tag in _BLOCKS:
             self.frames[-1].append("\n\n")
 
     def handle_endtag(self, tag):
+        self.code = max(0, self.code - (tag in ("pre", "code")))
         if tag in ("script", "style"):
             self.hidden = max(0, self.hidden - 1)
         elif tag == "a" and self.links and len(self.frames) > 1:
@@ -74,8 +78,7 @@ class _Markdown(HTMLParser):
             self.frames[-1].append(f"\n{bullet}{text}")
         elif tag == "pre" and len(self.frames) > 1:
             self.pre = max(0, self.pre - 1)
-            text = self._close().strip("`\n")
-            self._block(f"```\n{text}\n```")
+            self._block("    " + self._close().strip("\n").replace("\n", "\n    "))
         elif tag == "code" and len(self.frames) > 1:
             text = self._close()
             self.frames[-1].append(text if self.pre else f"`{text}`")
@@ -95,7 +98,8 @@ class _Markdown(HTMLParser):
 
     def handle_data(self, data):
         if not self.hidden:
-            self.frames[-1].append(data if self.pre else _squeeze(data))
+            text = data if self.pre else _squeeze(data)
+            self.frames[-1].append(text if self.code else _escape(text))
 
     def result(self) -> str:
         while len(self.frames) > 1:
@@ -108,6 +112,21 @@ class _Markdown(HTMLParser):
         return "\n".join(out).strip()
 
 
+# Characters that would read as Markdown are escaped in running text.
+_ESCAPES = tuple(
+    (re.compile(pattern), replacement)
+    for pattern, replacement in (
+        (r"([\\*_`\[\]])", r"\\\1"), (r"^(-|\+ |=+|~~~|>)", r"\\\1"), (r"^(#{1,6} )", r"\\\1"), (r"^(\d+)\. ", r"\1\\. "),
+    )
+)
+
+
+def _escape(text: str) -> str:
+    for pattern, replacement in _ESCAPES:
+        text = pattern.sub(replacement, text)
+    return text
+
+
 def _squeeze(text: str) -> str:
     if not text.strip():
         return " " if text else ""

@@ -203,6 +203,7 @@ def _ipv6_is_private(address: Column) -> Column:
             | (w[0] == 0x2002)  # 6to4
             | ((w[0] == 0x2001) & (w[1].isin(0, 2, 0xDB8) | w[1].between(0x10, 0x2F)))  # tunnels, tests, identifiers
             | ((w[0] == 0x64) & (w[1] == 0xFF9B))  # address translation
+            | (F.forall(F.slice(words, 1, 4), lambda x: x == 0) & (w[4] == 0xFFFF) & (w[5] == 0))  # translated IPv4
             | (w[0] == 0x100)  # discard only
             | (w[0] == 0x3FFF)  # documentation
         )
