@@ -77,10 +77,12 @@ def technical_stage(captured: Captured, now: Column | None = None) -> Technical:
     )
     if captured.results is not None:
         checks = captured.results.unionByName(checks)
+    # A few dozen small rows per site that scores, fixes and reports all read.
+    checks = kept(checks)
     answered = gets.select("url", "status", "content_type", "headers", "body", "truncated", "final_url").dropDuplicates(["url"])
     extras = protocols.additional_checks(sites, captured.llms_txt, answered, captured.suffixes)
     detected = platform.platform_detect(sites, platform.platform_signals_match(captured.pages))
-    return Technical(facts, checks, extras, detected, top_fixes(checks), [facts, collected])
+    return Technical(facts, checks, extras, detected, top_fixes(checks), [facts, collected, checks])
 
 
 def technical_scores(stage: Technical, coverage: DataFrame, caps: DataFrame | None = None, state: DataFrame | None = None) -> DataFrame:
