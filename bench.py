@@ -10,7 +10,7 @@ import json
 import os
 import time
 
-from docgauge.session import build_session
+from docgauge.session import build_session, release_kept
 from workload import load
 
 HEADLINES = (
@@ -44,6 +44,7 @@ def main() -> None:
         began = time.time()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - began, 3)
+        release_kept()
         spark.catalog.clearCache()
     print(
         json.dumps(

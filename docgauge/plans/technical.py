@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docgauge.operators import access, apispec, pages as P, platform, protocols, scoring, verdicts
 from docgauge.operators.fixes import top_fixes
-from docgauge.session import kept
+from docgauge.session import kept, release_kept
 from docgauge.sources import robots, sitemaps, specs
 
 
@@ -32,11 +32,9 @@ class Technical:
     extras: DataFrame
     platforms: DataFrame
     fixes: DataFrame
-    shared: list[DataFrame]
 
     def release(self) -> None:
-        for table in self.shared:
-            table.unpersist()
+        release_kept()
 
 
 def technical_stage(captured: Captured, now: Column | None = None) -> Technical:
@@ -82,7 +80,7 @@ def technical_stage(captured: Captured, now: Column | None = None) -> Technical:
     answered = gets.select("url", "status", "content_type", "headers", "body", "truncated", "final_url").dropDuplicates(["url"])
     extras = protocols.additional_checks(sites, captured.llms_txt, answered, captured.suffixes)
     detected = platform.platform_detect(sites, platform.platform_signals_match(captured.pages))
-    return Technical(facts, checks, extras, detected, top_fixes(checks), [facts, collected, checks])
+    return Technical(facts, checks, extras, detected, top_fixes(checks))
 
 
 def technical_scores(stage: Technical, coverage: DataFrame, caps: DataFrame | None = None, state: DataFrame | None = None) -> DataFrame:

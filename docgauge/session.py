@@ -45,10 +45,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+_KEPT: list[DataFrame] = []
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Marks a table several operators read to be computed once, in memory and on disk; lost parts are recomputed.
 
     Page facts are the case in point: five checks read them, and without this each would parse every page again.
-    Callers release it with ``unpersist`` once the reports are written.
     """
+    _KEPT.append(df)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def release_kept() -> None:
+    """Drops every kept table; call it once the reports of a run are written."""
+    while _KEPT:
+        _KEPT.pop().unpersist()

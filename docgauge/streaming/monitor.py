@@ -33,12 +33,16 @@ def stream_fetch_monitor(log: DataFrame, window: str = "10 minutes", lateness: s
 
 
 def refresh_touched(
-    arrived: DataFrame, all_checks: DataFrame, coverage: DataFrame, state: DataFrame | None = None
+    arrived: DataFrame,
+    all_checks: DataFrame,
+    coverage: DataFrame,
+    state: DataFrame | None = None,
+    caps: DataFrame | None = None,
 ) -> DataFrame:
     """Rescored reports of the sites that new results touch; other sites are not read past the join."""
     touched = arrived.select("site_key").distinct()
     checks = all_checks.join(touched, "site_key", "left_semi")
-    return scoring.score_report(checks, coverage.join(touched, "site_key", "left_semi"), answerability=state)
+    return scoring.score_report(checks, coverage.join(touched, "site_key", "left_semi"), caps, state)
 
 
 def stream_report_upsert(

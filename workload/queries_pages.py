@@ -720,3 +720,15 @@ def _llms_full(spark, sf):
 )
 def _agent_skills(spark, sf):
     return protocols.agent_skills(C.sites(spark, sf), C.interface_answers(spark, sf)).select("site_key", "status", "message")
+
+
+@query(
+    "additional_checks",
+    f"""WITH {DOCS} SELECT id, status, count(*) AS sites FROM (
+      SELECT 'mcp-server' AS id, CASE WHEN sn % 6 IN (1, 2, 4) AND NOT (sn % 6 = 1 AND sn % 3 = 0) THEN 'found' ELSE 'missing' END AS status FROM sites
+      UNION ALL SELECT 'llms-full-txt', CASE WHEN sn % 4 = 0 THEN 'found' ELSE 'missing' END FROM sites
+      UNION ALL SELECT 'agent-skills', CASE WHEN sn % 5 = 2 THEN 'found' ELSE 'missing' END FROM sites) GROUP BY 1, 2""",
+)
+def _additional(spark, sf):
+    rows = protocols.additional_checks(C.sites(spark, sf), C.llms_txt(spark, sf), C.interface_answers(spark, sf), I.suffix_table(spark))
+    return rows.groupBy("id", "status").agg(F.count("*").alias("sites"))

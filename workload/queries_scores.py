@@ -11,6 +11,7 @@ from docgauge.operators import agentdocs as G, crawl, fixes as X, report as R, s
 from docgauge.operators.common import first_n, ordered_texts
 from docgauge.plans.final import finalize_report
 from docgauge.sources.llms import llms_links
+from docgauge.streaming.monitor import refresh_touched
 from workload import captures as C
 from workload.queries_sites import label_rollup, labelled
 from workload.registry import CHECKS, DOCS, GRADE, REASONS, query
@@ -105,6 +106,18 @@ def _leaderboard(spark, sf):
     return S.leaderboard(reports).select("site_key", "score", "rank")
 
 
+@query(
+    "stream_report_upsert",
+    f"""{_SCORE_REPORT} SELECT site_key, score, len(rs) > 0 AS provisional FROM rep WHERE site_key IN (SELECT site_key FROM checks WHERE k % 50 = 0)""",
+)
+def _refresh(spark, sf):
+    """One batch of the upsert job: the sites that arriving results touch, rescored with everything known."""
+    known = C.check_results(spark, sf)
+    capped = C.site_caps(spark, sf)
+    arrived = known.filter(F.col("check_ord") % 50 == 0)
+    return refresh_touched(arrived, known, C.site_coverage(spark, sf), C.answer_states(spark, sf), capped).select("site_key", "score", "provisional")
+
+
 _FIX = """
 open AS (SELECT *, floor((max - earned) * 10 + 0.5::DOUBLE) / 10 AS points FROM checks WHERE status IN ('fail', 'warn') AND fix IS NOT NULL AND earned IS NOT NULL),
 top AS (SELECT *, row_number() OVER (PARTITION BY site_key ORDER BY points DESC, CASE WHEN status = 'fail' THEN 0 ELSE 1 END, k) AS fix_ord FROM open WHERE points > 0

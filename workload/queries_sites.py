@@ -31,15 +31,12 @@ def _page_key(spark, sf):
     return given(spark, sf).select("page_id", U.page_key(F.col("url")).alias("page_key"))
 
 
-@query(
-    "same_page",
-    f"""WITH {_URLS}, k AS (SELECT page_id, bare || bare_path AS key FROM v)
-    SELECT a.page_id AS left_id, b.page_id AS right_id FROM k a JOIN k b ON a.key = b.key AND a.page_id < b.page_id""",
-)
+@query("same_page", "SELECT page_id, page_id % 3 <> 1 AS same FROM pages")
 def _same_page(spark, sf):
-    keyed = given(spark, sf).select("page_id", U.page_key(F.col("url")).alias("key"))
-    left, right = keyed.withColumnRenamed("page_id", "left_id"), keyed.withColumnRenamed("page_id", "right_id")
-    return left.join(right, "key").filter("left_id < right_id").select("left_id", "right_id")
+    bare = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "/+$", "")
+    k = F.col("page_id") % 3
+    twin = F.when(k == 0, F.concat(bare, F.lit(".md?x=1"))).when(k == 1, F.concat(bare, F.lit("-old"))).otherwise(F.concat(bare, F.lit("/#part")))
+    return given(spark, sf).select("page_id", U.same_page(F.col("url"), twin).alias("same"))
 
 
 @query(
@@ -458,6 +455,33 @@ def _judgements(spark, sf):
     return rows.select("site_key", "question_ord", "verdict", "supported")
 
 
+@query("gradable_answers", f"WITH {DOCS} SELECT site_key, d AS question_ord FROM docs WHERE d % 23 <> 22 AND d % 9 <> 4")
+def _gradable(spark, sf):
+    return judged(spark, sf).select("site_key", "question_ord")
+
+
+@query("not_found_answer", f"WITH {DOCS}, {_JUDGED} SELECT site_key, d AS question_ord FROM j WHERE verdict = 'not-found'")
+def _not_found(spark, sf):
+    return judged(spark, sf).filter(F.col("verdict") == "not-found").select("site_key", "question_ord")
+
+
+@query("support_rule", f"WITH {DOCS}, {_JUDGED} SELECT site_key, supported, count(*) AS n FROM j GROUP BY 1, 2")
+def _support_rule(spark, sf):
+    return judged(spark, sf).groupBy("site_key", "supported").agg(F.count("*").alias("n"))
+
+
+@query(
+    "read_transcripts",
+    """SELECT CAST(conv_id AS VARCHAR) AS site_key, sum((role = 'user')::INT) AS questions, sum((role = 'assistant')::INT) AS answers,
+    sum(length(text)) AS chars FROM conversations GROUP BY 1""",
+)
+def _read_transcripts(spark, sf):
+    turns = capture.read_table(spark, f"{sf}/conversations.parquet", "conv_id bigint, turn bigint, role string, text string")
+    return turns.groupBy(F.col("conv_id").cast("string").alias("site_key")).agg(
+        F.count_if(F.col("role") == "user").alias("questions"), F.count_if(F.col("role") == "assistant").alias("answers"), F.sum(F.length("text")).alias("chars")
+    )
+
+
 _WHY = """
 w AS (SELECT j.*, fh.url, fh.seen, fh.text, fh.status, fh.in_seen, fh.scope_root, '/docs/page-' || j.d AS path,
   CASE WHEN verdict = 'correct' THEN NULL WHEN j.d % 6 = 5 THEN 'not-reached' WHEN status IS NULL OR status >= 400 THEN 'error-status'
