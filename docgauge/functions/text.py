@@ -44,7 +44,7 @@ def cited_urls(answer: Column) -> Column:
 def clean_resolution(text: Column) -> Column:
     """Drops advice sentences that only make sense to someone running a command-line tool."""
     sentences = F.split(text, r"(?<=[.!?])\s+")
-    kept = F.filter(sentences, lambda sentence: ~sentence.rlike("(?i)--[a-z]|afdocs|config file"))
+    kept = F.filter(sentences, lambda sentence: ~sentence.rlike(K.COMMAND_LINE_ADVICE))
     return F.nullif(F.trim(F.array_join(kept, " ")), F.lit(""))
 
 
