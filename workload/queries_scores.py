@@ -200,6 +200,7 @@ def _afdocs_cap(spark, sf):
     f"""WITH {_RESULTS}, {_CAPS} SELECT site_key, sum((status = 'pass')::INT) AS passed, count(*) AS total,
     floor(sum(CASE WHEN NOT thin THEN share * 4 END) * 10 + 0.5::DOUBLE) / 10 AS earned, floor(sum(CASE WHEN NOT thin THEN 4.0::DOUBLE END) * 10 + 0.5::DOUBLE) / 10 AS possible, any_value(cap_value) AS cap_value
     FROM r LEFT JOIN lowest USING (site_key) GROUP BY 1 HAVING sum((NOT thin)::INT) > 0""",
+    whole=('passed',),
 )
 def _afdocs_summary(spark, sf):
     rows = results(spark, sf)
@@ -210,6 +211,7 @@ def _afdocs_summary(spark, sf):
     "result_status_counts",
     f"""WITH {_RESULTS} SELECT site_key, count(*) AS total, sum((status = 'pass')::INT) AS n_pass, sum((status = 'warn')::INT) AS n_warn, sum((status = 'fail')::INT) AS n_fail,
     sum((status = 'skip')::INT) AS n_skip, sum((status = 'error')::INT) AS n_error FROM r GROUP BY 1""",
+    whole=('n_pass', 'n_warn', 'n_fail', 'n_skip', 'n_error'),
 )
 def _status_counts(spark, sf):
     return G.result_status_counts(results(spark, sf))

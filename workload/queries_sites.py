@@ -286,6 +286,7 @@ def _retry_wait(spark, sf):
     f"""WITH {_HIST}, r AS (SELECT site_key, request_id, sum((failure IS NULL OR failure = 'timeout')::INT) AS sent, bool_or(coalesce(failure = 'robots', FALSE)) AS blocked,
       sum(coalesce(status IN (429, 503), FALSE)::INT) AS refused, coalesce(arg_max(coalesce(status, 0), attempt), 0) AS last FROM h GROUP BY 1, 2)
     SELECT site_key, sum(sent) AS requests, sum(blocked::INT) AS robots_blocked, sum(refused - (last IN (429, 503))::INT) AS retry_after_waits, sum((last = 429)::INT) AS rate_limited FROM r GROUP BY 1""",
+    whole=('requests', 'robots_blocked', 'retry_after_waits', 'rate_limited'),
 )
 def _fetch_stats(spark, sf):
     return crawl.fetch_stats(C.fetch_history(spark, sf))
@@ -313,6 +314,7 @@ def _settled(spark, sf):
     f"""WITH {_HIST} SELECT site_key, strftime(time_bucket(INTERVAL 10 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests,
     sum(coalesce(status = 429, FALSE)::INT) AS rate_limited, sum(coalesce(failure = 'robots', FALSE)::INT) AS robots_blocked,
     sum(coalesce(failure = 'budget', FALSE)::INT) AS cut_off FROM h GROUP BY 1, 2""",
+    whole=('rate_limited', 'robots_blocked', 'cut_off'),
 )
 def _stream_fetch_monitor(spark, sf):
     rows = stream_fetch_monitor(C.fetch_history(spark, sf))
@@ -474,6 +476,7 @@ def _support_rule(spark, sf):
     "read_transcripts",
     """SELECT CAST(conv_id AS VARCHAR) AS site_key, sum((role = 'user')::INT) AS questions, sum((role = 'assistant')::INT) AS answers,
     sum(length(text)) AS chars FROM conversations GROUP BY 1""",
+    whole=('questions', 'answers', 'chars'),
 )
 def _read_transcripts(spark, sf):
     turns = capture.read_table(spark, f"{sf}/conversations.parquet", "conv_id bigint, turn bigint, role string, text string")
@@ -564,6 +567,7 @@ def label_rollup(spark, sf):
     f"""WITH {_LABELS} SELECT site_key, CASE WHEN coalesce(total, 0) >= 5 THEN 'complete' ELSE 'unavailable' END AS state,
     CASE WHEN total >= 5 THEN total ELSE 0 END AS total, CASE WHEN total >= 5 THEN correct ELSE 0 END AS correct, CASE WHEN total >= 5 THEN retrieved ELSE 0 END AS retrieved,
     CASE WHEN total >= 5 THEN answered ELSE 0 END AS answered, CASE WHEN total >= 5 THEN supported ELSE 0 END AS supported FROM s LEFT JOIN c USING (site_key)""",
+    whole=('correct', 'retrieved', 'answered', 'supported'),
 )
 def _rollup(spark, sf):
     return label_rollup(spark, sf).drop("reason")
@@ -601,7 +605,7 @@ r AS (SELECT *, (i * CASE p_brand WHEN 'Brand#11' THEN 1.0::DOUBLE WHEN 'Brand#1
 """
 
 
-@query("usage_cost", f"WITH {_PRICED} SELECT p_brand AS model, floor(sum(cost) * 10000 + 0.5::DOUBLE) / 10000 AS cost_usd, sum(i) AS input_tokens FROM r GROUP BY 1")
+@query("usage_cost", f"WITH {_PRICED} SELECT p_brand AS model, floor(sum(cost) * 10000 + 0.5::DOUBLE) / 10000 AS cost_usd, sum(i) AS input_tokens FROM r GROUP BY 1", whole=('input_tokens',))
 def _usage_cost(spark, sf):
     priced = A.usage_cost(C.model_usage(spark, sf), A.price_table(spark, C.BRAND_PRICES))
     return priced.groupBy("model").agg((F.floor(F.sum("cost_usd") * 10000 + 0.5) / 10000).alias("cost_usd"), F.sum("input_tokens").alias("input_tokens"))
@@ -610,6 +614,7 @@ def _usage_cost(spark, sf):
 @query(
     "cost_per_run",
     f"WITH {_PRICED} SELECT CAST(l_orderkey AS VARCHAR) AS site_key, floor(sum(cost) * 10000 + 0.5::DOUBLE) / 10000 AS cost_usd, sum(i) AS input_tokens, sum(i) > 700000 AS over_budget FROM r GROUP BY 1",
+    whole=('input_tokens',),
 )
 def _cost_per_run(spark, sf):
     return A.cost_per_run(C.model_usage(spark, sf), A.price_table(spark, C.BRAND_PRICES))

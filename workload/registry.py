@@ -10,7 +10,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, whole: tuple[str, ...] = ()):
+    """Registers a query with its SQL; ``whole`` names sums the SQL engine would otherwise widen past 64 bits."""
+    if sql is not None and whole:
+        sql = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in whole)}) FROM ({sql})"
+
     def register(build: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = build
         if sql is not None:
