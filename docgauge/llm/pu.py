@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Byte n-grams: lengths, and bits of the hash space.
 GRAMS, SPACE_BITS = (4, 6), 22
@@ -273,15 +273,18 @@ def fit(
     return fit_sample(measures, np.repeat(np.arange(len(rows)), hits), cols, gram_ids, np.array([r.positive for r in rows], bool), prior)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, score``: the probability of the positive class for every row and its whole text; null texts count as empty."""
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` (with ``text``) and a column ``score``: the probability of the positive class for every row and its whole text.
+
+    Null texts count as empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model, model.wanted()))
+    names = [*docs.columns, "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, wanted = shared.value
         for batch in batches:
             for part, texts in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.scores(texts, wanted))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(texts, wanted))], names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))

@@ -27,4 +27,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3, **bound
 
 def judged(docs: DataFrame, model: pu.Model, cut: float) -> DataFrame:
     held_out = split_of(F.col("doc_id"), 5) == 0
-    return pu.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+    return pu.scored(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def kept(docs: DataFrame, model: pu.Model, cut: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` (all columns, text among them) that the model does not reject."""
+    good = pu.scored(docs, model).where(F.col("score") >= cut)
+    return good.select(*docs.columns)

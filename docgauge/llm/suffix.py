@@ -357,3 +357,18 @@ def deduplicated(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int
         "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"),
         F.coalesce("kept_sha256", "own").alias("kept_sha256"),
     )
+
+
+def without_repeats(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 1000) -> DataFrame:
+    """``docs`` (all columns) with repeated strings cut from ``text``; characters that lose a part of their bytes go, ``n_chars`` follows.
+
+    Every row stays, also with nothing left of its text. Null texts that lose nothing stay null.
+    """
+    rows = keyed(docs.withColumn("given", F.col("text")))
+    cut = cut_texts(rows.select("k", "k2", "text"), length, gram, crowd).select("k", "k2", F.try_validate_utf8(F.col("kept").cast("string")).alias("valid"), "kept")
+    mended = F.coalesce("valid", F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")))
+    joined = rows.join(cut.select("k", "k2", mended.alias("mended")), ["k", "k2"], "left")
+    text = F.coalesce("mended", "given")
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(F.col("mended").isNull(), F.col("n_chars")).otherwise(F.length("mended")))
+    return joined.withColumn("text", text).select(*docs.columns)
