@@ -83,15 +83,15 @@ def _segments(turn: Column, template: Template) -> Column:
 
 
 def _walk(turns: Column, template: Template) -> Column:
-    """Runs the machine: the state reached (null once a move is forbidden) and the position of the first forbidden turn."""
+    """Runs the machine: the state reached (empty once a move is forbidden) and the position of the first forbidden turn."""
     moves = F.create_map(*[F.lit(x) for state, roles in template.moves.items() for role in roles for x in (f"{state}>{role}", role)])
 
     def step(walk: Column, turn: Column) -> Column:
-        moved = F.try_element_at(moves, F.concat(F.coalesce(walk["state"], F.lit("")), F.lit(">"), turn["role"]))
+        moved = F.coalesce(F.try_element_at(moves, F.concat(walk["state"], F.lit(">"), turn["role"])), F.lit(""))
         return F.struct(
             moved.alias("state"),
             (walk["at"] + 1).alias("at"),
-            F.coalesce(walk["bad"], F.when(moved.isNull(), walk["at"])).alias("bad"),
+            F.coalesce(walk["bad"], F.when(moved == "", walk["at"])).alias("bad"),
         )
 
     begin = F.struct(F.lit("start").alias("state"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("bad"))
