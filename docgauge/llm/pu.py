@@ -140,9 +140,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(g, -40, 40)))
 
 
-def _descend(x, docs, cols, n_grams, is_p, prior, rounds=400, decay=2e-4, rate=0.05):
+def _descend(x, docs, cols, n_grams, is_p, prior, rounds=400, rate=0.05):
     """Adam on the non-negative risk over the whole sample; ``docs``/``cols``: n-gram hits. Returns style weights, n-gram weights, bias."""
     n, k = x.shape
+    decay = max(2e-4, 1 / max(1, n))
     theta = np.zeros(k + n_grams + 1)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     n_p, n_u = max(1, is_p.sum()), max(1, (~is_p).sum())
@@ -265,11 +266,9 @@ def fit(
     top = _counted(sample).where(telling >= least_z).orderBy(telling.desc(), "gram").limit(n_grams).select("gram").collect() if n_grams else []
     gram_ids = np.sort(np.array([r.gram for r in top], np.int64))
     rows = sorted(_featurised(sample, gram_ids, styled).collect(), key=lambda r: r.at)
-    measures = np.array([r.measures for r in rows], np.float64).reshape(len(rows), -1)
+    measures = np.array([r.measures for r in rows], np.float64) if rows else np.zeros((0, 1))
     hits = np.array([len(r.cols) for r in rows], np.int64)
     cols = np.array([c for r in rows for c in r.cols], np.int64)
-    if not rows:
-        measures = np.zeros((0, 1))
     return fit_sample(measures, np.repeat(np.arange(len(rows)), hits), cols, gram_ids, np.array([r.positive for r in rows], bool), prior)
 
 
