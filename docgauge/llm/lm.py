@@ -1,9 +1,11 @@
 """Language-model scores by stupid backoff over bigrams, counted over all documents and joined back.
 
-Documents are held in slices of about ``slice_bytes`` of text. Every slice explodes its n-grams, one row per n-gram and slice with
-the count in it; these rows are dealt by the hash of the n-gram, summed into the count table and joined to it, and n-grams that
-other slices hold too go back to their slices with the total. Each document is scored with its own counts taken off (it does not
-vouch for itself):
+Documents are held in slices of about ``slice_bytes`` of text. Every slice explodes its n-grams into a table of n-gram hash and count in
+the slice, partitioned by hash; each partition sums the counts of all slices and joins the sums to every slice's n-grams, which
+carries the counts elsewhere back to the slice, where they are summed to scores by document. Rows of these tables travel packed, as sorted
+arrays of one slice and partition: as single rows they take more than twice the space. An n-gram has one entry per slice, however
+often it occurs, so common ones are no burden, and the number of partitions follows the number of words. Each document is scored
+with its own counts taken off (it does not vouch for itself):
 
     S(w | u) = c(u w) / c(u)   if c(u w) > 0,   else   backoff * S(w);      S(w) = c(w) / N   if c(w) > 0,   else   1 / (N + 1)
 
@@ -12,6 +14,7 @@ with c and N over the other documents. N-grams are 64-bit hashes of words (``wor
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,86 +97,115 @@ def _pair_keys(pairs: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return mixed(vocabulary[pairs // size] * np.uint64(0x9E3779B97F4A7C15) + vocabulary[pairs % size] + np.uint64(1))
 
 
-def _exploded(slices: DataFrame) -> DataFrame:
-    """``key, slice, n``: each word and each pair of words of a slice, with its count there."""
+def _keys(lengths: np.ndarray, vocabulary: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words and pairs of a slice in order, their counts, and the pairs."""
+    pairs, counts = np.unique(_pairs(lengths, tokens, len(vocabulary))[0], return_counts=True)
+    keys = np.concatenate((vocabulary, _pair_keys(pairs, vocabulary)))
+    counts = np.concatenate((np.bincount(tokens, minlength=len(vocabulary)), counts))
+    order = np.argsort(keys, kind="stable")
+    return keys[order], counts[order].astype(np.uint64), order
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                lengths, vocabulary, tokens = _read(row)
-                pairs, counts = np.unique(_pairs(lengths, tokens, len(vocabulary))[0], return_counts=True)
-                keys = np.concatenate((vocabulary, _pair_keys(pairs, vocabulary))).view(np.int64)
-                counts = np.concatenate((np.bincount(tokens, minlength=len(vocabulary)), counts))
-                for at in range(0, len(keys), 100_000):
-                    part = keys[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(part), pa.array(np.full(len(part), row["slice"])), pa.array(counts[at : at + 100_000].astype(np.int64))], ["key", "slice", "n"]
-                    )
 
-    return slices.mapInArrow(run, "key long, slice long, n long")
+def _planes(values: np.ndarray) -> bytes:
+    """Packs unsigned numbers byte plane by byte plane, of which the high ones are mostly zero."""
+    return _packed(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
 
 
-def _shared_totals(slices: DataFrame) -> DataFrame:
-    """``slice, key, total``: the count table, joined to the n-grams of every slice that some other slice holds too."""
-    parts = int(slices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grams = _exploded(slices).repartition(parts, "key")
-    counts = grams.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("slices")).where("slices > 1").drop("slices")
-    return grams.join(counts.hint("shuffle_hash"), "key").select("slice", "key", "total")
+def _numbers(blob: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(_unpacked(blob, np.uint8, 8 * n).reshape(8, n).T).view("<u8").ravel()
 
 
-def _scores(row: dict, keys: np.ndarray, totals: np.ndarray, corpus: int, backoff: float) -> tuple[np.ndarray, ...]:
+def _exploded(slices: DataFrame, bits: int) -> DataFrame:
+    """``part, slice, n, keys, counts``: the n-grams of a slice in each hash partition (sorted, as differences) and their counts there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, counts, _ = _keys(*_read(row))
+                parts = (keys >> np.uint64(64 - bits)).astype(np.int64)
+                edges = np.searchsorted(parts, np.arange((1 << bits) + 1)).tolist()
+                full = [p for p in range(1 << bits) if edges[p] < edges[p + 1]]
+                spans = [slice(edges[p], edges[p + 1]) for p in full]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(full, pa.int64()), pa.array([row["slice"]] * len(full), pa.int64()), pa.array([s.stop - s.start for s in spans], pa.int64()),
+                        pa.array([_planes(np.diff(keys[s], prepend=np.uint64(0))) for s in spans], pa.binary()),
+                        pa.array([_planes(counts[s]) for s in spans], pa.binary()),
+                    ],
+                    ["part", "slice", "n", "keys", "counts"],
+                )
+
+    return slices.mapInArrow(run, "part long, slice long, n long, keys binary, counts binary")
+
+
+def _elsewhere(exploded: DataFrame) -> DataFrame:
+    """``slice, part, n, rest``: for the n-grams of each slice and partition, how often they occur in other slices."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        sizes = rows.column("n").to_pylist()
+        keys = np.concatenate([np.cumsum(_numbers(k.as_py(), n)) for k, n in zip(rows.column("keys"), sizes)])
+        counts = np.concatenate([_numbers(c.as_py(), n) for c, n in zip(rows.column("counts"), sizes)])
+        order = np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
+        totals = np.add.reduceat(counts[order], first)
+        rest = np.empty(len(keys), np.uint64)
+        rest[order] = np.repeat(totals, np.diff(np.append(first, len(keys))))
+        rest -= counts
+        ends = np.cumsum(sizes)
+        blobs = [_planes(rest[end - n : end]) for end, n in zip(ends, sizes)]
+        return pa.table([rows.column("slice"), rows.column("part"), rows.column("n"), pa.array(blobs, pa.binary())], names=["slice", "part", "n", "rest"])
+
+    return exploded.groupBy("part").applyInArrow(run, "slice long, part long, n long, rest binary")
+
+
+def _scores(row: dict, rest_of_keys: np.ndarray, corpus: int, backoff: float) -> tuple[np.ndarray, ...]:
     """Sum of log scores, words, pairs found elsewhere and words found nowhere else, for each document of a slice."""
     lengths, vocabulary, tokens = _read(row)
     n_docs, size = len(lengths), max(1, len(vocabulary))
-    order = np.argsort(keys)
-    keys, totals = keys[order], totals[order]
-
-    def total(own: np.ndarray, count: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return count
-        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-        return np.where(keys[at] == own, totals[at], count)
-
+    _, counts, order = _keys(lengths, vocabulary, tokens)
+    totals = np.empty(len(order), np.int64)
+    totals[order] = (counts + rest_of_keys).astype(np.int64)
+    words, pair_total = totals[: len(vocabulary)], totals[len(vocabulary) :]
     doc = np.repeat(np.arange(n_docs), lengths)
     # words: counts elsewhere, by document and word
     own, at, count = np.unique(doc * size + tokens, return_inverse=True, return_counts=True)
-    words = total(vocabulary.view(np.int64), np.bincount(tokens, minlength=len(vocabulary)))
     word_rest = (words[own % size] - count)[at]
     rest = (corpus - lengths)[doc].astype(np.float64)
     single = np.where(word_rest > 0, np.log(np.maximum(word_rest, 1)) - np.log(np.maximum(rest, 1)), -np.log(rest + 1))
     # pairs: counts elsewhere, by document and pair
     pairs, of = _pairs(lengths, tokens, len(vocabulary))
-    distinct, pair, everywhere = np.unique(pairs, return_inverse=True, return_counts=True)
-    pair_total = total(_pair_keys(distinct, vocabulary).view(np.int64), everywhere)
+    distinct, pair = np.unique(pairs, return_inverse=True)
     own, at, count = np.unique(of * max(1, len(distinct)) + pair, return_inverse=True, return_counts=True)
     pair_rest = (pair_total[own % max(1, len(distinct))] - count)[at] if len(own) else np.zeros(0, np.int64)
     second = np.flatnonzero(doc[1:] == doc[:-1]) + 1
     hit = pair_rest > 0
     score = single.copy()
     score[second] = np.where(hit, np.log(np.maximum(pair_rest, 1)) - np.log(np.maximum(word_rest[second - 1], 1)), np.log(backoff) + single[second])
-    sums = np.bincount(doc, score, n_docs)
+    sums = np.bincount(doc, score, n_docs).astype(np.float64)
     return sums, lengths, np.bincount(of[hit], minlength=n_docs), np.bincount(doc[word_rest == 0], minlength=n_docs)
 
 
-def backoff_scores(docs: DataFrame, backoff: float = 0.4, slice_bytes: int = 8_000_000) -> DataFrame:
+def backoff_scores(docs: DataFrame, backoff: float = 0.4, slice_bytes: int = 8_000_000, part_words: int = 250_000) -> DataFrame:
     """``doc_id, log_score, n_words, n_hits, n_unseen`` for every row of ``docs`` (doc_id, text).
 
     ``log_score``: the sum of the natural logs of S over the words; ``n_hits``: words scored by their pair; ``n_unseen``: words that no other
-    row holds. Null and empty texts have no words and 0. Rows are documents, so a repeated row vouches for its copy. Null ids are
+    row holds. ``part_words``: about how many words of the corpus a hash partition answers for. Null and empty texts have no words and 0. Rows are documents, so a repeated row vouches for its copy. Null ids are
     kept; no rows give no rows; other columns are left out.
     """
     slices = written(_slices(docs, slice_bytes), "lm-slices")
     corpus = slices.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    bits = max(1, math.ceil(math.log2(max(2, corpus / part_words))))
 
     def run(own: pa.Table, back: pa.Table) -> pa.Table:
         out = []
-        keys, totals = back.column("key").to_numpy(), back.column("total").to_numpy()
+        parts = sorted(zip(*(back.column(c).to_pylist() for c in ("part", "n", "rest"))))
+        rest = np.concatenate([np.zeros(0, np.uint64), *[_numbers(blob, n) for _, n, blob in parts]])
         for row in own.to_pylist():
-            columns = _scores(row, keys, totals, corpus, backoff)
+            columns = _scores(row, rest, corpus, backoff)
             ids = pa.array(row["docs"], own.schema.field("docs").type.value_type)
             out.append(pa.table([ids, *[pa.array(c) for c in columns]], names=["doc_id", "log_score", "n_words", "n_hits", "n_unseen"]))
         return pa.concat_tables(out)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, log_score double, n_words long, n_hits long, n_unseen long"
-    return slices.groupBy("slice").cogroup(_shared_totals(slices).groupBy("slice")).applyInArrow(run, schema)
+    return slices.groupBy("slice").cogroup(_elsewhere(_exploded(slices, bits)).groupBy("slice")).applyInArrow(run, schema)
