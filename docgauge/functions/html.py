@@ -55,8 +55,9 @@ def content_html(clean: Column) -> Column:
     def opened(pattern: str) -> Column:
         return F.regexp_substr(clean, F.lit(pattern))
 
-    # `main article` wins when an article opens inside a main; the match ends with the article's own tag.
-    nested = F.regexp_extract(clean, _MAIN_ARTICLE, 1)
+    # `main article` wins when an article opens inside a main, before the main closes; the match ends with the article's tag.
+    inside = ~F.contains(F.lower(F.regexp_substr(clean, F.lit(_MAIN_ARTICLE))), F.lit("</main"))
+    nested = F.when(inside, F.regexp_extract(clean, _MAIN_ARTICLE, 1)).otherwise("")
     nested_at = F.length(F.regexp_substr(clean, F.lit(_MAIN_ARTICLE)))
     candidates = [
         F.when(

@@ -227,14 +227,19 @@ def check_dependencies(results: DataFrame, dependencies=DEFAULT_DEPENDENCIES) ->
 
 
 def cutoff_reclass(results: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """A failure our own limit or robots obedience caused is unfinished, not failed. ``cutoffs``: ``site_key, id, cut_off``."""
+    """A failure our own limit or robots obedience caused is unfinished, not failed.
+
+    ``cutoffs``: ``site_key, id, cut_off`` and, where a check was cut off more than once, ``cut_ord``: a limit outweighs the
+    robots causes, of which the first stays.
+    """
     why = {
         "limit": "the scan reached its time or request limit before this check could read everything it needed",
         "robots": "robots.txt asked our scanner not to read some pages this check needed, and we follow it",
         "robots_unreachable": "a robots.txt this check depended on could not be read, so our scanner did not fetch those pages",
     }
-    rank = F.create_map(F.lit("limit"), F.lit(0), F.lit("robots"), F.lit(1), F.lit("robots_unreachable"), F.lit(2))
-    one = cutoffs.groupBy("site_key", "id").agg(F.min_by("cut_off", F.element_at(rank, F.col("cut_off"))).alias("cut_off"))
+    ordinal = F.col("cut_ord") if "cut_ord" in cutoffs.columns else F.lit(0)
+    rank = F.struct((F.col("cut_off") != "limit").alias("other"), ordinal.alias("ord"), "cut_off")
+    one = cutoffs.groupBy("site_key", "id").agg(F.min_by("cut_off", rank).alias("cut_off"))
     joined = results.join(one, ["site_key", "id"], "left")
     hit = F.col("cut_off").isNotNull() & F.col("status").isin("fail", "warn")
     text = F.element_at(F.create_map(*[x for k, v in why.items() for x in (F.lit(k), F.lit(v))]), F.col("cut_off"))

@@ -41,8 +41,9 @@ def select_questions(questions: DataFrame, source_pages: DataFrame) -> DataFrame
     keyed = first_n(keyed, ["site_key"], ["candidate_ord"], _PER_SITE)
     row = F.struct("candidate_ord", "source_url", "__q", "question", "answer_facts", "evidence_quote")
     per_site = keyed.groupBy("site_key").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    ordinal = questions.schema["candidate_ord"].dataType.simpleString()
     shape = (
-        "array<struct<candidate_ord:int,source_url:string,__q:string,question:string,answer_facts:array<string>,"
+        f"array<struct<candidate_ord:{ordinal},source_url:string,__q:string,question:string,answer_facts:array<string>,"
         "evidence_quote:string>>"
     )
     kept = F.aggregate(
@@ -339,7 +340,8 @@ def cost_per_run(usage: DataFrame, prices: DataFrame, fallback: tuple[float, flo
     """Dollars per site to four places, and whether the run passed its token budget."""
     priced = usage_cost(usage, prices, fallback)
     return priced.groupBy("site_key").agg(
-        rounded(F.sum("cost_usd"), 10_000).alias("cost_usd"),
+        # whole hundred-millionths of a dollar: their sum does not depend on the order of rows
+        rounded(F.sum(F.round(F.col("cost_usd") * 100_000_000).cast("bigint")) / 100_000_000, 10_000).alias("cost_usd"),
         F.sum("input_tokens").alias("input_tokens"),
         (F.sum("input_tokens") > K.MAX_INPUT_TOKENS).alias("over_budget"),
     )

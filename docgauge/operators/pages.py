@@ -181,12 +181,10 @@ def source_pages(pages: DataFrame, facts: DataFrame) -> DataFrame:
 
     ``pages`` may carry ``rendered`` text; only the first ten URLs per site count, and two renders.
     """
-    columns = facts.select("site_key", "page_ord", "url", "title", "text")
-    if "rendered" in pages.columns:
-        columns = columns.join(pages.select("site_key", "url", "rendered"), ["site_key", "url"], "left")
-    else:
-        columns = columns.withColumn("rendered", F.lit(None).cast("string"))
-    first = first_n(columns, ["site_key"], ["page_ord"], K.MAX_SOURCE_PAGES)
+    rendered = F.col("rendered") if "rendered" in pages.columns else F.lit(None).cast("string")
+    # an unreadable page uses up a place, so the first are chosen before facts are looked at
+    places = first_n(pages.select("site_key", "page_ord", "url", rendered.alias("rendered")), ["site_key"], ["page_ord"], K.MAX_SOURCE_PAGES)
+    first = places.join(facts.select("site_key", "page_ord", "title", "text"), ["site_key", "page_ord"])
     thin = F.length("text") < K.MIN_SOURCE_TEXT
     readable = first.filter(~thin).withColumn("needs_javascript", F.lit(False))
     rendered = (

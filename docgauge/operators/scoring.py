@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docgauge import constants as K
-from docgauge.functions.numbers import grade_for, number_text, percent, plural, round1
+from docgauge.functions.numbers import grade_for, number_text, percent, plural
 
 
 def counted_checks(checks: DataFrame) -> DataFrame:
@@ -17,9 +17,12 @@ def _sums(condition: Column | None = None) -> tuple[Column, Column]:
     counts = F.col("earned").isNotNull()
     if condition is not None:
         counts = counts & condition
-    earned = round1(F.coalesce(F.sum(F.when(counts, F.col("earned"))), F.lit(0.0)))
-    possible = round1(F.coalesce(F.sum(F.when(counts, F.col("max"))), F.lit(0.0)))
-    return earned, possible
+    return _tenths(F.when(counts, F.col("earned"))), _tenths(F.when(counts, F.col("max")))
+
+
+def _tenths(points: Column) -> Column:
+    """Sum of points, which have one decimal, as whole tenths: it does not depend on the order of rows."""
+    return F.coalesce(F.sum(F.floor(points * 10 + 0.5).cast("bigint")), F.lit(0)) / F.lit(10.0)
 
 
 def site_totals(checks: DataFrame) -> DataFrame:

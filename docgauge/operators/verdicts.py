@@ -67,7 +67,8 @@ def anchor_verdicts(
 
     ``links`` is the output of ``link_verdicts``.
     """
-    pages = facts.select("site_key", "page_key", F.col("anchors").alias("sampled_ids"))
+    # pages that share a key (a page and its Markdown twin) are one; the last one counts
+    pages = facts.groupBy("site_key", "page_key").agg(F.max_by("anchors", "page_ord").alias("sampled_ids"))
     checked = links.select("site_key", "url", F.col("verdict").alias("link_verdict"))
     wanted = references.select("site_key", "url").distinct()
     bodies = responses.filter(F.col("method") == "GET").join(wanted, ["site_key", "url"], "left_semi")

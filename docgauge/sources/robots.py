@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docgauge import constants as K
 from docgauge.operators.common import numbered
@@ -24,7 +24,7 @@ def robots_lines(files: DataFrame) -> DataFrame:
     """``origin, line_ord, field, value, group_id`` of every directive.
 
     A group opens at an agent line that does not follow another agent line; any other directive closes the list of
-    agents. A file is at most 500 KiB, so numbering its lines inside one row is bounded.
+    agents. The lines of a file (at most 500 KiB) are numbered by a running sum, in time that follows their number.
     """
     lines = F.transform(
         F.split(F.col("text"), r"\r\n|\r|\n"), lambda line: F.trim(F.regexp_replace(line, r"\s*#.*$", ""))
@@ -37,22 +37,19 @@ def robots_lines(files: DataFrame) -> DataFrame:
         ),
     )
     rows = files.filter(F.col("state") == "ok").select("origin", fields.alias("fields"))
-    opens = F.transform(
+    marked = F.transform(
         "fields",
-        lambda f, i: (
-            (f["field"] == "user-agent") & ((i == 0) | (F.get(F.col("fields"), i - 1)["field"] != "user-agent"))
-        ).cast("int"),
-    )
-    group_ids = F.aggregate(
-        opens,
-        F.struct(F.lit(0).alias("g"), F.array().cast("array<int>").alias("ids")),
-        lambda acc, o: F.struct((acc["g"] + o).alias("g"), F.concat(acc["ids"], F.array(acc["g"] + o)).alias("ids")),
-        lambda acc: acc["ids"],
+        lambda f, i: F.struct(
+            f["field"].alias("field"),
+            f["value"].alias("value"),
+            ((f["field"] == "user-agent") & ((i == 0) | (F.get(F.col("fields"), i - 1)["field"] != "user-agent"))).cast("int").alias("opens"),
+        ),
     )
-    lines = numbered(rows.select("origin", group_ids.alias("ids"), "fields"), ["origin", "ids"], "fields", "line_ord", "f")
+    lines = numbered(rows.select("origin", marked.alias("fields")), ["origin"], "fields", "line_ord", "f")
+    so_far = Window.partitionBy("origin").orderBy("line_ord").rowsBetween(Window.unboundedPreceding, 0)
     return lines.select(
         "origin", "line_ord", F.col("f.field").alias("field"), F.col("f.value").alias("value"),
-        F.get("ids", F.col("line_ord")).alias("group_id"),
+        F.sum("f.opens").over(so_far).cast("int").alias("group_id"),
     )
 
 
@@ -105,7 +102,7 @@ def robots_access(targets: DataFrame, files: DataFrame, rules: DataFrame, agents
     """Adds ``agent`` and ``allowed`` for each target URL and agent.
 
     ``targets``: ``origin, path`` plus keys. Longest matching rule wins, allow on a tie; null where the file is
-    unreachable; everything is allowed without a file or without a matching rule. Rules join on (origin, agent)
+    unreachable; everything is allowed without a file or without a matching rule, and ``/robots.txt`` itself always. Rules join on (origin, agent)
     and only then on the pattern, so the rule table is never broadcast or crossed.
     """
     keys = [c for c in targets.columns]
@@ -121,7 +118,7 @@ def robots_access(targets: DataFrame, files: DataFrame, rules: DataFrame, agents
     )
     strength = F.when(F.col("hit"), F.struct(F.length("pattern").alias("n"), F.col("allow").cast("int").alias("a")))
     decided = met.groupBy(*keys, "agent", "state").agg(F.max(strength).alias("winner"))
-    allowed = F.when(F.col("state") == "unreachable", F.lit(None).cast("boolean")).otherwise(
+    allowed = F.when(F.col("path") == "/robots.txt", F.lit(True)).when(F.col("state") == "unreachable", F.lit(None).cast("boolean")).otherwise(
         F.coalesce(F.col("winner.a") == 1, F.lit(True))
     )
     return decided.select(*keys, "agent", F.coalesce("state", F.lit("missing")).alias("state"), allowed.alias("allowed"))

@@ -22,9 +22,9 @@ def parsed_documents(documents: DataFrame) -> DataFrame:
 
 
 def sitemap_entries(documents: DataFrame) -> DataFrame:
-    """``url, ord, loc, lastmod`` of ``<url>`` blocks, 5,000 per document."""
-    blocks = F.slice(F.regexp_extract_all("body", F.lit(r"(?is)<url>(.*?)</url>"), F.lit(1)), 1, K.MAX_SITEMAP_ENTRIES)
-    found = F.filter(blocks, lambda b: b.rlike(r"(?i)<loc>\s*[^<\s]+\s*</loc>"))
+    """``url, ord, loc, lastmod`` of the ``<url>`` blocks that have a location, 5,000 of these per document."""
+    blocks = F.regexp_extract_all("body", F.lit(r"(?is)<url>(.*?)</url>"), F.lit(1))
+    found = F.slice(F.filter(blocks, lambda b: b.rlike(r"(?i)<loc>\s*[^<\s]+\s*</loc>")), 1, K.MAX_SITEMAP_ENTRIES)
     rows = numbered(parsed_documents(documents), ["url"], found, "ord", "block")
     return rows.select(
         "url", "ord",

@@ -27,3 +27,13 @@ def test_native_results(spark):
     for key, (status, earned) in want.items():
         assert (got[key].status, got[key].earned) == (status, earned), key
     assert got[("bare", "auth-gate-detection")].evidence == ["u1"]
+
+
+def test_first_robots_cause_stays_and_a_limit_outweighs_it(spark):
+    from docgauge.operators import agentdocs as G
+
+    rows = spark.createDataFrame([(k, "a", "fail", "m") for k in "xyz"], "site_key string, id string, status string, message string")
+    cuts = [("x", "a", "robots_unreachable", 0), ("x", "a", "robots", 1), ("y", "a", "robots", 0), ("y", "a", "limit", 1), ("z", "a", "robots", 0), ("z", "a", "robots_unreachable", 1)]
+    df = spark.createDataFrame(cuts, "site_key string, id string, cut_off string, cut_ord int")
+    got = {r.site_key: r.message for r in G.cutoff_reclass(rows, df).collect()}
+    assert "could not be read" in got["x"] and "limit" in got["y"] and "asked our scanner" in got["z"]

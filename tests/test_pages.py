@@ -172,3 +172,61 @@ def test_quotes(spark):
     held = [("open settings", True), ("press the NEW-key button", True), ("open the settings and press key", True), ("delete the account and press key", False), ("", False), ("zz yy", False)]
     for r in spark.createDataFrame(held, "q string, want boolean").select("q", "want", T.contains_quote(F.lit(text), F.col("q")).alias("got")).collect():
         assert r.got == r.want, r.q
+
+
+def test_article_after_the_main_is_not_inside_it(spark):
+    from pyspark.sql import functions as F
+
+    from docgauge.functions import html as H
+
+    pages = ["<article>a</article><main>m</main><aside><article>b</article></aside>", "<main><p>x</p><article>in</article></main><article>out</article>"]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
+    assert [r.c for r in rows.select("i", H.content_html(F.col("html")).alias("c")).orderBy("i").collect()] == ["a", "in"]
+
+
+def test_twin_pages_give_one_verdict(spark):
+    from docgauge.operators import verdicts as V
+
+    key = "https://a.test/docs/x"
+    refs = spark.createDataFrame([("s", 1, key, 0, key, "old"), ("s", 1, key, 1, key, "new")], "site_key string, page_ord int, from_url string, ref_ord int, url string, fragment string")
+    from pyspark.sql import functions as F
+
+    from docgauge.functions import urls as U
+
+    facts = spark.createDataFrame([("s", 1, key, ["old"]), ("s", 2, key + ".md", ["new"])], "site_key string, page_ord int, url string, anchors array<string>")
+    facts = facts.withColumn("page_key", U.page_key(F.col("url")))
+    links = spark.createDataFrame([], "site_key string, url string, verdict struct<state:string,detail:string>")
+    log = spark.createDataFrame([], "site_key string, url string, method string, fetch_ord long, status int, failure string, body string")
+    got = {r.fragment: r.verdict.state for r in V.anchor_verdicts(refs, facts, links, log).collect()}
+    assert got == {"old": "broken", "new": "ok"}
+
+
+def test_sitemap_limit_counts_entries_with_a_location(spark):
+    from docgauge import constants as K
+    from docgauge.sources.sitemaps import sitemap_entries
+
+    blocks = "<url><lastmod>2024</lastmod></url>" * 10 + "".join(f"<url><loc>https://a.test/{i}</loc></url>" for i in range(K.MAX_SITEMAP_ENTRIES + 5))
+    rows = spark.createDataFrame([("u", f"<urlset>{blocks}</urlset>")], "url string, body string")
+    assert sitemap_entries(rows).count() == K.MAX_SITEMAP_ENTRIES
+
+
+def test_robots_file_itself_and_many_lines(spark):
+    from docgauge.sources import robots as R
+
+    body = "User-agent: *\nDisallow: /\n" + "User-agent: x\nUser-agent: y\nAllow: /a\n" * 3000
+    files = R.robots_file_state(spark.createDataFrame([("o", 200, body)], "origin string, status int, body string"))
+    rules = R.robots_rules(files)
+    assert rules.agg({"group_id": "max"}).first()[0] == 3001 and rules.count() == 6001
+    targets = spark.createDataFrame([("o", "/robots.txt"), ("o", "/b")], "origin string, path string")
+    got = {r.path: r.allowed for r in R.robots_access(targets, files, rules, ["*"]).collect()}
+    assert got == {"/robots.txt": True, "/b": False}
+
+
+def test_an_unreadable_page_uses_up_a_place(spark):
+    from docgauge import constants as K
+    from docgauge.operators import pages as P
+
+    n = K.MAX_SOURCE_PAGES
+    rows = spark.createDataFrame([("s", i, f"u{i}") for i in range(n + 2)], "site_key string, page_ord int, url string")
+    facts = spark.createDataFrame([("s", i, f"u{i}", "t", "x" * 500) for i in range(1, n + 2)], "site_key string, page_ord int, url string, title string, text string")
+    assert sorted(r.page_ord for r in P.source_pages(rows, facts).collect()) == list(range(1, n))

@@ -1,17 +1,16 @@
 """Captured tables derived from the given ones by Spark, so that every query's work grows with its input.
 
-``documents`` becomes a crawl: each document is one page of the site ``docs.<source>-<lang>.example.com`` with a
-title, metas, dates, endpoint mentions and links; sitemaps, robots files, API descriptions, a fetch log and answer
+``documents`` becomes a crawl: twenty neighbouring document numbers of one language are a site, so that the number of
+sites follows the input, a source with a third of all rows is no hot site, and the limits that the method sets a site (pages,
+children, entries) leave nothing out. Each document is one page with a title, metas, dates, endpoint mentions and links; sitemaps, robots files, API descriptions, a fetch log and answer
 transcripts follow from the same rows. ``orders``/``lineitem`` become check results and ``events`` a fetch history.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from docgauge import constants as K
-from docgauge.operators.common import first_n, first_per
-from docgauge.session import spread
 
 SPEC_JSON = (
     '{"openapi":"3.0.0","servers":[{"url":"https://api.example.com/v1"}],"paths":{'
@@ -38,14 +37,15 @@ def text(*parts) -> Column:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``d, text, l, s, sn, site_key, scope_root, url`` per document."""
-    rows = spread(table(spark, sf_dir, "documents")).select(
-        F.col("doc_id").alias("d"), "text", F.col("lang").alias("l"), F.col("source").alias("s"),
-        F.substr("source", F.lit(4)).cast("int").alias("sn"),
-    )
-    rows = rows.withColumn("site_key", text("docs.", F.col("s"), "-", F.col("l"), ".example.com"))
+    """``d, text, l, s, sn, site_key, scope_root, url, e, entry_url`` per document; ``e``: the page number in the sitemap, of a
+    page without a document for every fifth."""
+    bucket = F.expr("d div 20")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), "text", F.col("lang").alias("l"))
+    rows = rows.withColumns({"sn": (bucket % 20).cast("int"), "s": text("src", bucket % 20)})
+    rows = rows.withColumn("site_key", text("docs.", F.col("s"), "-", F.col("l"), "-", bucket, ".example.com"))
     rows = rows.withColumn("scope_root", text("https://", F.col("site_key"), "/docs"))
-    return rows.withColumn("url", text(F.col("scope_root"), "/page-", F.col("d")))
+    rows = rows.withColumn("e", F.col("d") + F.when(F.col("d") % 5 == 4, 1_000_000_000).otherwise(0))
+    return rows.withColumns({"url": text(F.col("scope_root"), "/page-", F.col("d")), "entry_url": text(F.col("scope_root"), "/page-", F.col("e"))})
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,17 +86,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every derived page with its HTML."""
     modified = F.when(F.col("d") % 9 == 4, "Wed, 21 Oct 2015 07:28:00 GMT")
     return docs(spark, sf_dir).select(
-        "site_key", F.col("d").cast("int").alias("page_ord"), "url", page_html().alias("html"), modified.alias("last_modified")
-    )
-
-
-def sampled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first fifteen pages of each site."""
-    # Rank on the key columns; the page bodies are built for the sample only.
-    kept = first_n(docs(spark, sf_dir), ["site_key"], ["d"], K.SAMPLE_PAGES)
-    modified = F.when(F.col("d") % 9 == 4, "Wed, 21 Oct 2015 07:28:00 GMT")
-    return kept.select(
-        "site_key", F.col("d").cast("int").alias("page_ord"), "url", page_html().alias("html"), modified.alias("last_modified")
+        "site_key", F.col("d").alias("page_ord"), "url", page_html().alias("html"), modified.alias("last_modified")
     )
 
 
@@ -113,10 +103,11 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs(spark, sf_dir).select(
         "site_key", "d",
         F.explode(
-            F.array(
+            F.array_distinct(F.array(
                 target(page(d + 1), d + 1, (d + 1) % 10), target(page(d + 20), d + 20, (d + 20) % 10),
                 target(outside, d % 17, ext_code), target(F.col("url"), d, d % 10),
-            )
+                target(F.col("entry_url"), F.col("e"), d % 10),
+            ))
         ).alias("t"),
     ).select("site_key", "d", "t.*")
     code = F.col("code")
@@ -124,7 +115,7 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def answer(method: str, ordinal: int, status: Column, body: Column) -> Column:
         return F.struct(
-            F.lit(method).alias("method"), (d * 10 + ordinal).cast("int").alias("fetch_ord"), status.alias("status"), body.alias("body")
+            F.lit(method).alias("method"), (d * 10 + ordinal).alias("fetch_ord"), status.alias("status"), body.alias("body")
         )
 
     head = F.when(code == 0, 404).when(code == 1, 405).when(code == 2, 403).when(code == 3, 500).when(failure.isNull(), 200)
@@ -161,12 +152,12 @@ def robots_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sitemap_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``url, body``: an index per site and url sets of at most ten pages each (two thirds of the pages)."""
+    """``url, body``: an index per site that names ten url sets, of which four exist (two thirds of the pages)."""
     rows = docs(spark, sf_dir).filter((F.col("d") % 3 != 0) & (F.col("sn") % 5 != 4))
     origin = text("https://", F.col("site_key"))
     lastmod = F.when(F.col("d") % 2 == 0, text("<lastmod>2024-01-", lit2(F.col("d") % 28 + 1), "</lastmod>")).otherwise("")
-    entry = text("<url><loc>", F.col("url"), "</loc>", lastmod, "</url>")
-    chunk = F.floor(F.col("d") / 200)
+    entry = text("<url><loc>", F.col("entry_url"), "</loc>", lastmod, "</url>")
+    chunk = F.col("d") % 4
     children = rows.groupBy("site_key", chunk.alias("chunk")).agg(
         F.array_sort(F.collect_list(F.struct("d", entry.alias("e")))).alias("entries")
     )
@@ -250,7 +241,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     facts = F.when(d % 19 == 0, F.array().cast("array<string>")).otherwise(first_words("text", 3))
     return docs(spark, sf_dir).select(
-        "site_key", d.cast("int").alias("candidate_ord"), d.cast("int").alias("question_ord"),
+        "site_key", d.alias("candidate_ord"), d.alias("question_ord"),
         text("What about topic ", d % 37, "? ").alias("question"), F.col("url").alias("source_url"),
         facts.alias("answer_facts"), quote.alias("evidence_quote"),
     )
@@ -279,7 +270,7 @@ def agent_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = fetch(1, text(F.col("url"), ".md"), status, cut, (F.length("text") > limit) & (d % 7 != 4), F.length("text"))
     other = fetch(2, text(F.col("scope_root"), "/page-", d + 20), F.lit(200), text("Copy: ", F.col("text")), F.lit(False), F.length("text"))
     made = F.array_compact(F.array(entry, F.when(d % 6 != 5, page), F.when(d % 12 == 5, other)))
-    return docs(spark, sf_dir).select("site_key", d.cast("int").alias("question_ord"), F.explode(made).alias("f")).select(
+    return docs(spark, sf_dir).select("site_key", d.alias("question_ord"), F.explode(made).alias("f")).select(
         "site_key", "question_ord", "f.*"
     )
 
@@ -291,7 +282,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     verdict = F.when(d % 9 <= 1, None).when(d % 9 <= 3, "incorrect").when(d % 9 == 4, None).otherwise("correct")
     return docs(spark, sf_dir).select(
-        "site_key", d.cast("int").alias("question_ord"), said.alias("answer"),
+        "site_key", d.alias("question_ord"), said.alias("answer"),
         F.when(d % 23 == 22, "timeout").alias("operational_error"), verdict.alias("judge_verdict"),
         F.lit(" The number differs. ").alias("judge_reason"), (d % 2 == 0).alias("judge_supported"),
     )
@@ -301,13 +292,8 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def check_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Check rows from orders: the site is the customer, credit comes from the order's largest discount.
-
-    A site has each of its 33 checks once, as the method says: the first order per (customer, check) is kept before
-    anything is joined, so even a customer with a third of all orders stays at 33 rows.
-    """
+    """Check rows from orders, one for each: the site is the customer, credit comes from the order's largest discount."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    orders = first_per(orders.withColumn("slot", F.col("o_orderkey") % 33), ["o_custkey", "slot"], ["o_orderkey"])
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_discount").alias("top"))
     rows = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     k = F.col("o_orderkey")
@@ -319,7 +305,7 @@ def check_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     credit = F.least(F.lit(1.0), F.coalesce("top", F.lit(0.0)) * 10)
     earned = F.when(digit < "4", F.floor(top * credit * 10 + 0.5) / 10)
     return rows.select(
-        F.col("o_custkey").cast("string").alias("site_key"), k.cast("int").alias("check_ord"), text("check-", k).alias("id"),
+        F.col("o_custkey").cast("string").alias("site_key"), k.alias("check_ord"), text("check-", k).alias("id"),
         group.alias("group"), category.alias("category"), text("Check ", k).alias("title"), status.alias("status"),
         F.lit("native").alias("source"), top.alias("max"), earned.alias("earned"), text("Order ", k).alias("message"),
         F.when(k % 5 != 0, text("Fix ", k)).alias("fix"), F.lit(None).cast("array<string>").alias("evidence"),
@@ -352,12 +338,13 @@ def answer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agent_docs_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One of the 23 results per line item of an order; the site is the order."""
+    """One of the 23 results per line item. The site is the order; where its lines give a check again, that is a second
+    site of the order (``<order>#2``), and so on."""
     ids = F.array(*[F.lit(i) for i, _, _ in K.AGENT_DOCS_CHECKS])
     categories = F.array(*[F.lit(c) for _, _, c in K.AGENT_DOCS_CHECKS])
     n, q = F.col("l_linenumber"), F.col("l_quantity").cast("int")
-    # Seven line numbers map to the checks that matter to caps first, then to others.
-    place = F.when(n == 1, 0).when(n == 2, 9).when(n == 3, 21).otherwise((n * 3 + F.col("l_orderkey") % 2).cast("int"))
+    # The first three lines are the checks that matter to caps, the others go through all.
+    place = F.when(n == 1, 0).when(n == 2, 9).when(n == 3, 21).otherwise(F.pmod(n * 3 + F.col("l_orderkey"), F.lit(23)).cast("int"))
     status = (
         F.when(q % 5 == 0, "fail").when(q % 5 == 1, "warn").when(q % 5 == 2, "pass").when(q % 5 == 3, "skip").otherwise("error")
     )
@@ -366,8 +353,11 @@ def agent_docs_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = lambda i: text("https://x.example.com/", F.col("l_partkey"), "/", F.lit(i))
     page = lambda i, s: F.struct(url(i).alias("url"), F.lit(s).alias("status"))
     found = F.array(page(1, "pass"), page(2, "fail"), page(3, "warn"), page(4, "fail"), page(5, "fail"))
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").cast("string").alias("site_key"), F.get(ids, place).alias("id"), F.get(categories, place).alias("category"),
+    order = Window.partitionBy("l_orderkey", "place").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_discount", q)
+    lines = table(spark, sf_dir, "lineitem").withColumn("place", place).withColumn("again", F.row_number().over(order))
+    repeat = F.when(F.col("again") > 1, text("#", F.col("again"))).otherwise("")
+    return lines.select(
+        text(F.col("l_orderkey"), repeat).alias("site_key"), F.get(ids, F.col("place")).alias("id"), F.get(categories, F.col("place")).alias("category"),
         n.alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), status.alias("status"),
         text("Part ", F.col("l_partkey")).alias("message"),
         F.lit("Serve the page. Run with --fixes to see more. See the config file.").alias("resolution"),
@@ -376,11 +366,6 @@ def agent_docs_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def one_result_per_check(rows: DataFrame) -> DataFrame:
-    """Orders may repeat a line number; a runner never reports one check twice."""
-    return first_per(rows, ["site_key", "id"], ["part", "supp", "line", "proportion"])
-
-
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").filter(k % 10 < 2).select(

@@ -27,7 +27,7 @@ def day(column: str):
 def facts(spark, sf, sampled=False):
     """Facts of all derived pages, or of the sample; the sample's facts feed several checks and are computed once."""
     if sampled:
-        return kept(P.page_facts(C.sampled_pages(spark, sf), now()))
+        return kept(P.page_facts(C.pages(spark, sf), now()))
     return P.page_facts(C.pages(spark, sf), now())
 
 
@@ -148,12 +148,14 @@ def _to_date(spark, sf):
 
 @query(
     "dates_in",
-    """SELECT o_orderkey, strftime(greatest(o_orderdate, TIMESTAMP '2001-02-03'), '%Y-%m-%d') AS newest, 2 AS n
-    FROM orders WHERE year(o_orderdate) BETWEEN 2000 AND 2099""",
+    """SELECT o_orderkey, strftime(greatest(shipped, TIMESTAMP '2001-02-03'), '%Y-%m-%d') AS newest, 2 AS n
+    FROM (SELECT o_orderkey, o_orderdate + to_years(CASE WHEN year(o_orderdate) < 2000 THEN CAST(2000 + year(o_orderdate) % 20 - year(o_orderdate) AS INTEGER) ELSE 0 END) AS shipped FROM orders)""",
 )
 def _dates_in(spark, sf):
-    at = F.col("o_orderdate")
-    orders = C.table(spark, sf, "orders").filter(F.year(at).between(2000, 2099))
+    """Orders before 2000, a year the pattern does not know, are dated to this century."""
+    year = F.year("o_orderdate")
+    at = F.when(year < 2000, F.add_months("o_orderdate", (2000 + year % 20 - year) * 12)).otherwise(F.to_date("o_orderdate"))
+    orders = C.table(spark, sf, "orders")
     said = F.concat(F.lit("Shipped "), F.date_format(at, "MMM d, yyyy"), F.lit(", first on 2001-02-03, due 1 May 2099."))
     rows = orders.select("o_orderkey", D.dates_in(said, now()).alias("dates"))
     return rows.select("o_orderkey", F.date_format(F.get("dates", F.lit(0)), "yyyy-MM-dd").alias("newest"), F.size("dates").alias("n"))
@@ -161,8 +163,8 @@ def _dates_in(spark, sf):
 
 _MENTIONS = f"""
 mentions AS (
-  SELECT site_key, d AS page_ord, url AS page, 0 AS mention_ord, 'GET /v1/items/' || (d % 40) AS operation FROM sampled
-  UNION ALL SELECT site_key, d, url, 1, 'POST /v1/orders/{{}}/lines' FROM sampled)
+  SELECT site_key, d AS page_ord, url AS page, 0 AS mention_ord, 'GET /v1/items/' || (d % 40) AS operation FROM docs
+  UNION ALL SELECT site_key, d, url, 1, 'POST /v1/orders/{{}}/lines' FROM docs)
 """
 
 
@@ -251,7 +253,7 @@ def _platform_signals_match(spark, sf):
     UNION ALL SELECT site_key, d, md5(left(repeat(text || ' ', 20), 5000)), TRUE FROM thin WHERE rn <= 2 AND length(text) * 20 + 20 >= 400""",
 )
 def _source_page_filter(spark, sf):
-    rendered = C.docs(spark, sf).select("site_key", "url", F.repeat(F.concat("text", F.lit(" ")), F.lit(20)).alias("rendered"))
+    rendered = C.docs(spark, sf).select("site_key", F.col("d").alias("page_ord"), "url", F.repeat(F.concat("text", F.lit(" ")), F.lit(20)).alias("rendered"))
     kept = P.source_pages(rendered, facts(spark, sf))
     return kept.select("site_key", "page_ord", F.md5("prompt_text").alias("prompt"), "needs_javascript")
 
@@ -301,7 +303,7 @@ def _agent_text_cut(spark, sf):
 
 # --- samples and verdicts ----------------------------------------------------------------------
 
-_LINKS = f"WITH {DOCS}, {refs('sampled')}, {TARGETS}"
+_LINKS = f"WITH {DOCS}, {refs('docs')}, {TARGETS}"
 
 
 @query("choose_link_targets", f"{_LINKS} SELECT site_key, page_ord, ref_ord, url, internal FROM targets")
@@ -392,9 +394,9 @@ def _choose_scope_sitemap(spark, sf):
 
 @query(
     "sitemap_entries",
-    f"""WITH {DOCS} SELECT 'https://' || site_key || '/sitemap-' || (d // 200) || '.xml' AS url, url AS loc,
+    f"""WITH {DOCS} SELECT 'https://' || site_key || '/sitemap-' || (d % 4) || '.xml' AS url, entry_url AS loc,
     CASE WHEN d % 2 = 0 THEN '2024-01-' || lpad(CAST(d % 28 + 1 AS VARCHAR), 2, '0') END AS lastmod,
-    row_number() OVER (PARTITION BY site_key, d // 200 ORDER BY d) - 1 AS ord FROM docs WHERE d % 3 <> 0 AND sn % 5 <> 4""",
+    row_number() OVER (PARTITION BY site_key, d % 4 ORDER BY d) - 1 AS ord FROM docs WHERE d % 3 <> 0 AND sn % 5 <> 4""",
 )
 def _sitemap_entries(spark, sf):
     return sitemaps.sitemap_entries(C.sitemap_documents(spark, sf))
@@ -402,8 +404,8 @@ def _sitemap_entries(spark, sf):
 
 @query(
     "sitemap_index_expand",
-    f"""WITH {DOCS} SELECT site_key, url AS loc, row_number() OVER (PARTITION BY site_key ORDER BY d) AS entry_ord
-    FROM docs WHERE d % 3 <> 0 AND sn % 5 NOT IN (0, 4) AND d < 1000""",
+    f"""WITH {DOCS} SELECT site_key, entry_url AS loc, row_number() OVER (PARTITION BY site_key ORDER BY d % 4, d) AS entry_ord
+    FROM docs WHERE d % 3 <> 0 AND sn % 5 NOT IN (0, 4)""",
 )
 def _sitemap_index_expand(spark, sf):
     roots = C.sites(spark, sf).select(
@@ -413,10 +415,10 @@ def _sitemap_index_expand(spark, sf):
     return sitemaps.sitemap_index_expand(roots, C.sitemap_documents(spark, sf)).select("site_key", "loc", "entry_ord")
 
 
-_REFLINKS = refs("sampled")
+_REFLINKS = refs("docs")
 _DISCOVERED = f"""
 found AS (
-  SELECT site_key, 0 AS kind, d AS p, 0 AS r, url FROM sampled
+  SELECT site_key, 0 AS kind, d AS p, 0 AS r, url FROM docs
   UNION ALL SELECT site_key, 1, n, 0, scope_root || '/extra-' || (n + 1) || '.md' FROM sites, (SELECT unnest([0, 1]) AS n) WHERE sn % 3 <> 0
   UNION ALL SELECT site_key, 2, page_ord, ref_ord, url FROM refs WHERE ref_ord < 3),
 discovered AS (SELECT site_key, regexp_replace(regexp_replace(url, '^https://', ''), '\\.md$', '') AS page_key, url, kind, p, r FROM found
@@ -464,7 +466,7 @@ def _sitemap_coverage(spark, sf):
 @query(
     "sitemap_lastmod",
     f"""{_MAP} SELECT p.site_key, p.d AS page_ord, CASE WHEN {DECLARED.replace('d %', 'p.d %')} IS NOT NULL THEN 'page' WHEN i.lastmod IS NOT NULL THEN 'sitemap' ELSE 'none' END AS dated
-    FROM sampled p LEFT JOIN in_scope i ON p.site_key = i.site_key AND p.d = i.d""",
+    FROM docs p LEFT JOIN in_scope i ON p.site_key = i.site_key AND p.d = i.d""",
 )
 def _sitemap_lastmod(spark, sf):
     return access.sitemap_lastmod(facts(spark, sf, True), scope_sitemap(spark, sf)[1]).select("site_key", "page_ord", "dated")
@@ -473,7 +475,7 @@ def _sitemap_lastmod(spark, sf):
 @query(
     "update_info",
     f"""{_MAP}, x AS (SELECT p.site_key, {DECLARED.replace('d %', 'p.d %')} IS NOT NULL AS on_page, i.lastmod IS NOT NULL AS in_map
-      FROM sampled p LEFT JOIN in_scope i ON p.site_key = i.site_key AND p.d = i.d),
+      FROM docs p LEFT JOIN in_scope i ON p.site_key = i.site_key AND p.d = i.d),
     c AS (SELECT site_key, (sum(on_page::INT) + sum((NOT on_page AND in_map)::INT) * 0.5::DOUBLE) / count(*) AS credit,
       sum(on_page::INT) AS a, count(*) AS n, sum((NOT on_page AND in_map)::INT) AS b FROM x GROUP BY 1)
     SELECT site_key, CASE WHEN credit >= 0.8 THEN 'pass' WHEN credit >= 0.5 THEN 'warn' ELSE 'fail' END AS status,
@@ -486,7 +488,7 @@ def _update_info(spark, sf):
     return rows.select("site_key", "status", "earned", "message")
 
 
-_REST = "rest AS (SELECT i.site_key, i.loc, i.d FROM in_scope i ANTI JOIN sampled p ON i.site_key = p.site_key AND i.d = p.d)"
+_REST = "rest AS (SELECT i.site_key, i.loc, i.d FROM in_scope i ANTI JOIN docs p ON i.site_key = p.site_key AND i.d = p.d)"
 
 
 @query("unsampled_sitemap", f"{_MAP}, {_REST} SELECT site_key, loc FROM rest")

@@ -157,15 +157,16 @@ def _evidence_topk(spark, sf):
 _IDS = "[" + ", ".join(f"'{i}'" for i, _, _ in K.AGENT_DOCS_CHECKS) + "]"
 _RESULTS = f"""
 ids AS (SELECT {_IDS} AS ids),
-all_r AS (SELECT CAST(l_orderkey AS VARCHAR) AS site_key, ids[1 + CAST(CASE l_linenumber WHEN 1 THEN 0 WHEN 2 THEN 9 WHEN 3 THEN 21 ELSE l_linenumber * 3 + l_orderkey % 2 END AS INT)] AS id,
-  l_linenumber AS line, l_partkey AS part, l_suppkey AS supp, CAST(l_quantity AS INT) AS q, l_discount * 10 AS share, l_orderkey AS k FROM lineitem, ids),
-r0 AS (SELECT * FROM all_r QUALIFY row_number() OVER (PARTITION BY site_key, id ORDER BY part, supp, line, share) = 1),
+placed AS (SELECT *, CAST(CASE l_linenumber WHEN 1 THEN 0 WHEN 2 THEN 9 WHEN 3 THEN 21 ELSE (l_linenumber * 3 + l_orderkey) % 23 END AS INT) AS place FROM lineitem),
+again AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, place ORDER BY l_partkey, l_suppkey, l_linenumber, l_discount, CAST(l_quantity AS INT)) AS again FROM placed),
+r0 AS (SELECT l_orderkey || CASE WHEN again > 1 THEN '#' || again ELSE '' END AS site_key, ids[1 + place] AS id,
+  l_linenumber AS line, l_partkey AS part, l_suppkey AS supp, CAST(l_quantity AS INT) AS q, l_discount * 10 AS share, l_orderkey AS k FROM again, ids),
 r AS (SELECT *, CASE q % 5 WHEN 0 THEN 'fail' WHEN 1 THEN 'warn' WHEN 2 THEN 'pass' WHEN 3 THEN 'skip' ELSE 'error' END AS status, q % 11 = 0 AS thin FROM r0)
 """
 
 
 def results(spark, sf):
-    return C.one_result_per_check(C.agent_docs_results(spark, sf))
+    return C.agent_docs_results(spark, sf)
 
 
 @query(
@@ -225,7 +226,7 @@ def _status_counts(spark, sf):
 )
 def _cutoff(spark, sf):
     rows = results(spark, sf)
-    k = F.col("site_key").cast("bigint")
+    k = F.split_part("site_key", F.lit("#"), F.lit(1)).cast("bigint")
     cuts = rows.filter(k % 3 != 2).select("site_key", "id", F.explode(F.when(k % 3 == 0, F.array(F.lit("limit"), F.lit("robots"))).otherwise(F.array(F.lit("robots")))).alias("cut_off"))
     return G.cutoff_reclass(rows, cuts).select("site_key", "id", "status", "message")
 

@@ -69,14 +69,12 @@ def _locale(spark, sf):
 
 @query(
     "version_in_path",
-    "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'v' || p_size WHEN 1 THEN p_size || '.x' WHEN 2 THEN 'Latest' END AS version FROM part",
+    "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'v' || p_size WHEN 1 THEN p_size || '.x' WHEN 2 THEN 'Latest' ELSE 'v9' END AS version FROM part",
 )
 def _version(spark, sf):
     k, size = F.col("p_partkey"), F.col("p_size")
     seg = F.when(k % 4 == 0, C.text("v", size)).when(k % 4 == 1, C.text(size, ".x")).when(k % 4 == 2, "Latest").otherwise("vx")
-    return C.table(spark, sf, "part").select("p_partkey", U.version_in(C.text("/docs/", seg, "/page/v9")).alias("version")).withColumn(
-        "version", F.when(F.col("p_partkey") % 4 != 3, F.col("version"))
-    )
+    return C.table(spark, sf, "part").select("p_partkey", U.version_in(C.text("/docs/", seg, "/page/v9")).alias("version"))
 
 
 @query("is_within", f"WITH {_URLS} SELECT page_id, path = '/en' OR path LIKE '/en/%' AS inside FROM v")
@@ -87,11 +85,11 @@ def _is_within(spark, sf):
 
 @query(
     "in_scope",
-    f"WITH {_URLS} SELECT page_id FROM v WHERE bare = 'blog.tionsh.example.com' AND (path LIKE '/en/%' OR path = '/en')",
+    f"WITH {_URLS} SELECT page_id FROM v WHERE path LIKE '/en/%' OR path = '/en'",
 )
 def _in_scope(spark, sf):
     rows = U.with_url(given(spark, sf), "url")
-    keep = U.in_scope(F.col("u_host"), F.col("u_path"), F.lit("www.blog.tionsh.example.com"), F.lit("/en"))
+    keep = U.in_scope(F.col("u_host"), F.col("u_path"), F.concat(F.lit("www."), F.regexp_replace("u_host", r"^www\.", "")), F.lit("/en"))
     return rows.filter(keep).select("page_id")
 
 
@@ -605,7 +603,7 @@ r AS (SELECT *, (i * CASE p_brand WHEN 'Brand#11' THEN 1.0::DOUBLE WHEN 'Brand#1
 """
 
 
-@query("usage_cost", f"WITH {_PRICED} SELECT p_brand AS model, floor(sum(cost) * 10000 + 0.5::DOUBLE) / 10000 AS cost_usd, sum(i) AS input_tokens FROM r GROUP BY 1", whole=('input_tokens',))
+@query("usage_cost", f"WITH {_PRICED} SELECT p_brand AS model, floor(CAST(sum(CAST(round(cost * 100000000) AS BIGINT)) AS DOUBLE) / 100000000 * 10000 + 0.5::DOUBLE) / 10000 AS cost_usd, sum(i) AS input_tokens FROM r GROUP BY 1", whole=('input_tokens',))
 def _usage_cost(spark, sf):
     priced = A.usage_cost(C.model_usage(spark, sf), A.price_table(spark, C.BRAND_PRICES))
     return priced.groupBy("model").agg((F.floor(F.sum("cost_usd") * 10000 + 0.5) / 10000).alias("cost_usd"), F.sum("input_tokens").alias("input_tokens"))
@@ -613,7 +611,7 @@ def _usage_cost(spark, sf):
 
 @query(
     "cost_per_run",
-    f"WITH {_PRICED} SELECT CAST(l_orderkey AS VARCHAR) AS site_key, floor(sum(cost) * 10000 + 0.5::DOUBLE) / 10000 AS cost_usd, sum(i) AS input_tokens, sum(i) > 700000 AS over_budget FROM r GROUP BY 1",
+    f"WITH {_PRICED} SELECT CAST(l_orderkey AS VARCHAR) AS site_key, floor(CAST(sum(CAST(round(cost * 100000000) AS BIGINT)) AS DOUBLE) / 100000000 * 10000 + 0.5::DOUBLE) / 10000 AS cost_usd, sum(i) AS input_tokens, sum(i) > 700000 AS over_budget FROM r GROUP BY 1",
     whole=('input_tokens',),
 )
 def _cost_per_run(spark, sf):

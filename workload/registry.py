@@ -34,14 +34,13 @@ def collapse(x: str) -> str:
 
 
 DOCS = """
+numbered AS (SELECT doc_id AS d, text, lang AS l, doc_id // 20 AS b, doc_id + CASE WHEN doc_id % 5 = 4 THEN 1000000000 ELSE 0 END AS e FROM documents),
 docs AS (
-  SELECT doc_id AS d, text, lang AS l, source AS s, CAST(substr(source, 4) AS INTEGER) AS sn,
-         'docs.' || source || '-' || lang || '.example.com' AS site_key,
-         'https://docs.' || source || '-' || lang || '.example.com/docs' AS scope_root,
-         'https://docs.' || source || '-' || lang || '.example.com/docs/page-' || doc_id AS url
-  FROM documents),
-sites AS (SELECT DISTINCT site_key, scope_root, s, l, sn FROM docs),
-sampled AS (SELECT * FROM docs QUALIFY row_number() OVER (PARTITION BY site_key ORDER BY d) <= 15)
+  SELECT d, text, l, 'src' || (b % 20) AS s, CAST(b % 20 AS INTEGER) AS sn, e,
+         'docs.src' || (b % 20) || '-' || l || '-' || b || '.example.com' AS site_key,
+         'https://' || site_key || '/docs' AS scope_root, scope_root || '/page-' || d AS url, scope_root || '/page-' || e AS entry_url
+  FROM numbered),
+sites AS (SELECT DISTINCT site_key, scope_root, s, l, sn FROM docs)
 """
 
 PAGE_TEXT = collapse(
@@ -92,7 +91,7 @@ verdicts AS (
     WHEN NOT t.internal THEN CASE WHEN (page_ord % 13 + page_ord % 17) % 4 = 0 THEN '404' ELSE '200' END
     WHEN k % 10 = 0 THEN '404' WHEN k % 10 = 1 THEN '200' WHEN k % 10 = 2 THEN '403' WHEN k % 10 = 3 THEN '500'
     WHEN k % 10 = 4 THEN 'dns' WHEN k % 10 = 5 THEN 'timeout' ELSE '200' END AS code
-  FROM targets t LEFT JOIN sampled p ON t.internal AND t.site_key = p.site_key AND t.k = p.d),
+  FROM targets t LEFT JOIN docs p ON t.internal AND t.site_key = p.site_key AND t.k = p.d),
 link_out AS (
   SELECT *, CASE WHEN code IN ('sampled', '200') THEN 'ok' WHEN code IN ('404', 'dns') THEN 'broken' ELSE 'unverified' END AS state,
     CASE code WHEN 'sampled' THEN 'sampled page' WHEN 'dns' THEN 'host not found' ELSE code END AS detail
@@ -110,16 +109,16 @@ anchor_out AS (
       WHEN v.state <> 'ok' THEN v.detail
       WHEN a.k % 10 = 0 THEN '404' WHEN a.k % 10 = 2 THEN '403' WHEN a.k % 10 = 3 THEN '500' WHEN a.k % 10 = 4 THEN 'dns'
       WHEN a.k % 10 = 5 THEN 'timeout' WHEN a.fragment = 'top-' || (a.k % 5) THEN 'section found' ELSE 'no such section' END AS detail
-  FROM anchor_refs a LEFT JOIN sampled p ON a.site_key = p.site_key AND a.k = p.d
+  FROM anchor_refs a LEFT JOIN docs p ON a.site_key = p.site_key AND a.k = p.d
   LEFT JOIN link_out v ON v.site_key = a.site_key AND v.url = a.url)
 """
 
-# Sitemap entries in scope: five children of 200 document numbers each, two thirds of the pages.
+# Sitemap entries in scope: four children, two thirds of the pages.
 IN_SCOPE = """
 in_scope AS (
-  SELECT site_key, d, url AS loc, CASE WHEN d % 2 = 0 THEN '2024-01-' || lpad(CAST(d % 28 + 1 AS VARCHAR), 2, '0') END AS lastmod,
-         row_number() OVER (PARTITION BY site_key ORDER BY d) AS entry_ord
-  FROM docs WHERE d % 3 <> 0 AND sn % 5 <> 4 AND d < 1000),
+  SELECT site_key, e AS d, entry_url AS loc, CASE WHEN d % 2 = 0 THEN '2024-01-' || lpad(CAST(d % 28 + 1 AS VARCHAR), 2, '0') END AS lastmod,
+         row_number() OVER (PARTITION BY site_key ORDER BY d % 4, d) AS entry_ord
+  FROM docs WHERE d % 3 <> 0 AND sn % 5 <> 4),
 chosen AS (
   SELECT site_key, CASE WHEN sn % 5 = 0 THEN scope_root || '/sitemap.xml' ELSE 'https://' || site_key || '/sitemap-index.xml' END AS sitemap_url
   FROM sites WHERE sn % 5 <> 4)
@@ -136,7 +135,7 @@ checks AS (
       CASE o_orderkey % 4 WHEN 0 THEN 10.0::DOUBLE WHEN 1 THEN 7.0 WHEN 2 THEN 4.0 ELSE 2.0 END
       * least(1.0::DOUBLE, coalesce(top, 0.0::DOUBLE) * 10) * 10 + 0.5::DOUBLE) / 10 END AS earned,
     CASE WHEN o_orderkey % 5 <> 0 THEN 'Fix ' || o_orderkey END AS fix
-  FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderkey % 33 ORDER BY o_orderkey) = 1)
+  FROM orders
   LEFT JOIN (SELECT l_orderkey, max(l_discount) AS top FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey),
 totals AS (
   SELECT site_key,
