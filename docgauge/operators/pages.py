@@ -112,18 +112,21 @@ def endpoint_mentions(facts: DataFrame) -> DataFrame:
         ),
         lambda acc: acc["starts"],
     )
-    rows = numbered(
-        found.withColumn("starts", spans), ["site_key", "page_ord", "url", "text", "starts"], "found", "mention_ord", "mention"
-    )
-    start = F.get("starts", F.col("mention_ord"))
-    begin = F.greatest(start - K.CONTEXT_CHARS, F.lit(0))
-    context = F.substr("text", begin + 1, start - begin + F.length("mention") + K.CONTEXT_CHARS)
+    def with_context(zipped: Column) -> Column:
+        start = zipped["starts"]
+        begin = F.greatest(start - K.CONTEXT_CHARS, F.lit(0))
+        context = F.substr("text", begin + 1, start - begin + F.length(zipped["found"]) + K.CONTEXT_CHARS)
+        return F.struct(zipped["found"].alias("mention"), context.alias("context"))
+
+    # The words around are cut inside the array, so that the page's text is not copied once for every mention.
+    told = found.withColumn("starts", spans).select("site_key", "page_ord", "url", F.transform(F.arrays_zip("found", "starts"), with_context).alias("told"))
+    rows = numbered(told, ["site_key", "page_ord", "url"], "told", "mention_ord", "m").select("*", "m.*")
     method = F.regexp_extract("mention", r"^([A-Z]+)", 1)
     path = F.regexp_extract("mention", r"(/\S+)$", 1)
     return rows.select(
         "site_key", "page_ord", F.col("url").alias("page"), "mention_ord",
         F.concat_ws(" ", method, normalize_api_path(path)).alias("operation"),
-        context.alias("context"),
+        "context",
     )
 
 
