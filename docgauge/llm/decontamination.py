@@ -86,7 +86,7 @@ def _seeds(items: DataFrame, least: int) -> DataFrame:
 def _bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
     """Which values the low bits of the seeds take: a bitmap of 2^bits bits, however many seeds there are."""
     low = F.col("seed").bitwiseAND((1 << bits) - 1)
-    words = seeds.select(F.shiftright(low, 5).alias("w"), F.expr(f"shiftleft(1L, cast(seed & 31 as int))").alias("b"))
+    words = seeds.select(F.shiftright(low, 5).alias("w"), F.expr("shiftleft(1L, cast(seed & 31 as int))").alias("b"))
     out = np.zeros(1 << (bits - 5), np.uint32)
     for row in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():  # at most 2^(bits - 5) rows
         out[row.w] = row.b

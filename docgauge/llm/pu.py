@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 #: Byte n-grams: lengths, and bits of the hash space.
 GRAMS, SPACE_BITS = (4, 6), 22
 _PAD = bytes(max(GRAMS))
-_STYLE = 34
 _SLICE = 1 << 20
 
 
@@ -68,7 +67,7 @@ def style(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     )
     ratio = np.log(np.maximum(distinct, 1) / w) / np.maximum(np.log1p(n_words), 1)
     loose = counts[:, [9, 11, 12]].sum(1) / s
-    return np.column_stack([base, ratio, np.sqrt(loose), np.sqrt(counts[:, 4] / s), np.sqrt(again / w), base[:, 12:14] ** 2, base[:, 14:19] ** 2, n_words == 0])[:, :_STYLE]
+    return np.column_stack([base, ratio, np.sqrt(loose), np.sqrt(counts[:, 4] / s), np.sqrt(again / w), base[:, 12:14] ** 2, base[:, 14:19] ** 2, n_words == 0])
 
 
 def grams(data: np.ndarray) -> Iterator[np.ndarray]:
