@@ -20,12 +20,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docgauge.llm.common import written
 
 _BASE = 0x9E3779B97F4A7C15
-_SLICE = 1 << 20
+_SLICE = 1 << 19
+#: Suffixes that are merged at a time.
+_TIES = 100_000
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out, out=out)
 
 
 class Prefixes:
@@ -33,8 +42,11 @@ class Prefixes:
 
     def __init__(self, data: np.ndarray) -> None:
         self.data = data
-        self.powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(data), _BASE, np.uint64))))
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[:-1])))
+        self.powers = _powers(_BASE, len(data))
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.add(data, np.uint64(1), out=self.sums[1:])
+        self.sums[1:] *= self.powers[:-1]
+        np.cumsum(self.sums, out=self.sums)
 
     def same(self, a: np.ndarray, b: np.ndarray, n: np.ndarray | int) -> np.ndarray:
         """Whether the n bytes from a and from b have equal hashes."""
@@ -62,9 +74,8 @@ class Prefixes:
 
     def grams(self, size: int) -> np.ndarray:
         """A mixed hash of the ``size`` bytes at every position, whatever their position in the array."""
-        inverse = pow(_BASE, -1, 1 << 64)
-        back = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(self.data), inverse, np.uint64))))
-        h = (self.sums[size:] - self.sums[:-size]) * back[: len(self.data) - size + 1]
+        h = self.sums[size:] - self.sums[:-size]
+        h *= _powers(pow(_BASE, -1, 1 << 64), len(self.data))[: len(h)]
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xD6E8FEB86659FD93)
         return h ^ (h >> np.uint64(32))
@@ -80,8 +91,16 @@ def suffix_sort(hashes: Prefixes, starts: np.ndarray, group: np.ndarray, most: i
     begin = np.flatnonzero(new)
     size = np.diff(np.append(begin, len(order)))
     begin, size = begin[size > 1], size[size > 1]
+    part = np.cumsum(size) // _TIES  # some ties at a time, for memory
+    for p in np.unique(part):
+        _merge_ties(hashes, starts, order, begin[part == p], size[part == p], most)
+    return order
+
+
+def _merge_ties(hashes: Prefixes, starts: np.ndarray, order: np.ndarray, begin: np.ndarray, size: np.ndarray, most: int) -> None:
+    """Merge sort, in place, of the stretches of ``order`` that start at ``begin``: runs of one width in pairs, in all of them at once."""
     width = 1
-    while len(begin):  # merge runs of this width in pairs, in all ties at once
+    while len(begin):
         place = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
         base, end = np.repeat(begin, size), np.repeat(begin + size, size)
         run = (place - base) // width
@@ -90,7 +109,8 @@ def suffix_sort(hashes: Prefixes, starts: np.ndarray, group: np.ndarray, most: i
         low = np.where(right, pair, np.minimum(pair + width, end))
         other = low.copy()
         high = np.where(right, pair + width, np.minimum(pair + 2 * width, end))
-        mine = starts[order[place]]
+        moved = order[place]
+        mine = starts[moved]
         active = np.flatnonzero(low < high)
         while len(active):  # binary search for the place among the other run
             middle = (low[active] + high[active]) // 2
@@ -100,13 +120,9 @@ def suffix_sort(hashes: Prefixes, starts: np.ndarray, group: np.ndarray, most: i
             low[active] = np.where(goes_on, middle + 1, low[active])
             high[active] = np.where(goes_on, high[active], middle)
             active = active[low[active] < high[active]]
-        target = pair + (place - pair - np.where(right, width, 0)) + (low - other)
-        moved = order.copy()
-        moved[target] = order[place]
-        order = moved
+        order[pair + (place - pair - np.where(right, width, 0)) + (low - other)] = moved
         width *= 2
         begin, size = begin[size > width], size[size > width]
-    return order
 
 
 def repeated(hashes: Prefixes, starts: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
@@ -162,17 +178,22 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int,
     return number[text[first]], h[at[first]], at[first] - own, s[first] - own, count
 
 
-def _runs(batch: pa.RecordBatch, texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    at = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= _SLICE or i + 1 == len(texts):
-            yield at, i + 1
-            at, held = i + 1, 0
+def _bytes(batch: pa.RecordBatch) -> Iterator[bytes]:
+    """Texts that ``_distinct_texts`` has packed, one by one."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return (unpack(t.as_buffer()) for t in batch.column("text"))
 
 
-def _bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
-    return [t.as_py() or b"" for t in batch.column(name).cast(pa.binary())]
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Rows of a batch from and to, and their texts, some at a time."""
+    texts: list[bytes] = []
+    at = held = 0
+    for i, t in enumerate(_bytes(batch), 1):
+        texts.append(t)
+        held += len(t)
+        if held >= _SLICE or i == batch.num_rows:
+            yield at, i, texts
+            texts, at, held = [], i, 0
 
 
 def _laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,24 +202,38 @@ def _laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), starts, starts + sizes
 
 
+def _firsts(batch: pa.RecordBatch, seen: set[tuple[int, int]]) -> list[int]:
+    """Rows whose keys are not among those seen before."""
+    keep = []
+    for i, key in enumerate(zip(batch.column("k").to_pylist(), batch.column("k2").to_pylist())):
+        if key not in seen:
+            seen.add(key)
+            keep.append(i)
+    return keep
+
+
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first of equal keys in this task."""
     seen: set[tuple[int, int]] = set()
     for batch in batches:
-        keys = list(zip(batch.column("k").to_pylist(), batch.column("k2").to_pylist()))
-        keep = []
-        for i, key in enumerate(keys):
-            if key not in seen:
-                seen.add(key)
-                keep.append(i)
-        if keep:
-            yield pa.RecordBatch.from_struct_array(batch.to_struct_array().take(pa.array(keep)))
+        keep = pa.array(_firsts(batch, seen), pa.int64())
+        yield batch if len(keep) == batch.num_rows else batch.take(keep)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(3).compress
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        keep, text = _firsts(batch, seen), batch.column("text")
+        texts = pa.array([pack(text[i].as_buffer()) for i in keep], pa.binary())
+        at = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("k").take(at), batch.column("k2").take(at), texts], ["k", "k2", "text"])
 
 
 def _distinct_texts(docs: DataFrame, partitions: int) -> DataFrame:
-    """``k, k2, text``: every text once, dealt by ``k``; each task drops the copies it sees before anything is shuffled."""
-    kind = "k long, k2 int, text string"
-    return docs.select("k", "k2", "text").mapInArrow(_once, kind).repartition(partitions, "k").mapInArrow(_once, kind)
+    """``k, k2, text``: every text once, packed, dealt by ``k``; each task drops the copies it sees before anything is shuffled."""
+    kind = "k long, k2 int, text binary"
+    return docs.select("k", "k2", "text").mapInArrow(_packed, kind).repartition(partitions, "k").mapInArrow(_once, kind)
 
 
 def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -206,10 +241,9 @@ def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = _bytes(batch)
             keys, keys2 = batch.column("k").to_numpy(), batch.column("k2").to_numpy()
-            for a, b in _runs(batch, every):
-                number, h, place, first, count = anchors(*_laid(every[a:b]), length, gram)
+            for a, b, some in _runs(batch):
+                number, h, place, first, count = anchors(*_laid(some), length, gram)
                 packed = first << 20 | (place - first) << 10 | (count - 1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), pa.array(keys[a:b][number]), pa.array(keys2[a:b][number]), pa.array(packed)], ["g", "k", "k2", "at"]
@@ -246,10 +280,10 @@ def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
     def solve(held: list[tuple]) -> pa.RecordBatch:
         data, begin, _ = _laid([h[5] for h in held])
         strings = np.array([len(h[5]) for h in held]) - length + 1
-        row = np.repeat(np.arange(len(held)), strings)
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(strings) - strings, strings)
+        row = np.repeat(np.arange(len(held), dtype=np.int32), strings)
+        nth = np.arange(len(row), dtype=np.int32) - np.repeat((np.cumsum(strings) - strings).astype(np.int32), strings)
         group = np.cumsum([i > 0 and held[i][:2] != held[i - 1][:2] for i in range(len(held))])
-        found = repeated(Prefixes(data), begin[row] + nth, group[row], length)
+        found = repeated(Prefixes(data), begin[row] + nth, group.astype(np.int32)[row], length)
         edge = np.diff(np.concatenate(([0], np.where(found, row + 1, 0), [0])))
         start, end = np.flatnonzero((edge != 0)[:-1] & found), np.flatnonzero((edge != 0)[1:] & found)
         base = np.array([h[3] for h in held])[row[start]]
@@ -263,7 +297,7 @@ def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
         size = 0
         for batch in batches:
             for item in zip(*(batch.column(c).to_pylist() for c in ("g", "salt", "ch", "base", "n", "ctx"))):
-                if size >= _SLICE // 2 and item[:2] != held[-1][:2]:
+                if size >= _SLICE and item[:2] != held[-1][:2]:
                     yield solve(held)
                     held, size = [], 0
                 held.append(item)
@@ -311,7 +345,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"text": text}).withColumns({"k": F.xxhash64("text"), "k2": F.hash("text"), "n_bytes": F.octet_length("text").cast("long")})
 
 
-def cut_texts(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 1000) -> DataFrame:
+def cut_texts(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 20_000) -> DataFrame:
     """``k, k2, n_removed, n_spans, kept binary, kept_sha256`` for every distinct text of ``docs`` (keyed) that has something to lose."""
     texts, spans = repeated_spans(docs, length, gram, crowd)
     copies = docs.groupBy("k", "k2").agg(F.count("*").alias("copies")).where("copies > 1")
@@ -342,7 +376,7 @@ def cut_texts(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 1
     return joined.mapInArrow(run, "k long, k2 int, n_removed long, n_spans long, kept binary, kept_sha256 string").where("n_removed > 0")
 
 
-def deduplicated(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 1000) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 20_000) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs`` (doc_id, text).
 
     Each byte covered by a string of ``length`` bytes that also starts elsewhere, in the same or another row, is removed, all occurrences
@@ -359,7 +393,7 @@ def deduplicated(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int
     )
 
 
-def without_repeats(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 1000) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 20_000) -> DataFrame:
     """``docs`` (all columns) with repeated strings cut from ``text``; characters that lose a part of their bytes go, ``n_chars`` follows.
 
     Every row stays, also with nothing left of its text. Null texts that lose nothing stay null.
