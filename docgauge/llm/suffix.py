@@ -26,9 +26,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from docgauge.llm.common import written
 
 _BASE = 0x9E3779B97F4A7C15
-_SLICE = 1 << 19
+_SLICE = 1 << 18
 #: Suffixes that are merged at a time.
-_TIES = 100_000
+_TIES = 50_000
 
 
 def _powers(base: int, n: int) -> np.ndarray:
