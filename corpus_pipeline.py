@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docgauge.llm import decontamination, mixing, quality, simhash, suffix
+from docgauge.llm import decontamination, mixing, quality, similar, suffix
 from docgauge.llm.common import shared_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,8 +23,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of fingerprints of five-word shingles that links of at most 3 bits connect."""
-    return simhash.first_of_groups(docs.select(*COLUMNS), width=5)
+    """Keeps the smallest id of each group that five-word shingles link: by fingerprints of at most 3 bits or a similarity of 0.8."""
+    return similar.first_of_groups(docs.select(*COLUMNS), width=5)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

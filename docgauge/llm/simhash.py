@@ -191,14 +191,3 @@ def simhash_groups(docs: DataFrame, width: int = 3) -> DataFrame:
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(rooted.join(ids, "root").select("fp", "component_id"), "simhash-components")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def first_of_groups(docs: DataFrame, width: int = 5) -> DataFrame:
-    """The rows of ``docs`` (all columns) that are the first of their near-duplicate group: the one with the smallest id.
-
-    Of rows with one id, one stays. Rows without an id belong to no group and all stay.
-    """
-    groups = simhash_groups(docs.where("doc_id IS NOT NULL"), width)
-    first = written(groups.where("doc_id = component_id").select("doc_id").distinct(), "simhash-first")
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id IS NULL"))

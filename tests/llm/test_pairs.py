@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from docgauge.llm import ann, decontamination, simhash, suffix
+from docgauge.llm import ann, decontamination, similar, simhash, suffix
 from docgauge.llm.graph import components
 from docgauge.llm.wordhash import word_hashes
 from tests.llm.helpers import clashing, documents, odd_rows, rows_of, words
@@ -101,12 +101,55 @@ def test_components_of_a_long_chain_and_a_star(spark):
 
 
 def test_first_of_groups_keeps_rows_without_id(spark):
-    got = simhash.first_of_groups(documents(spark, odd_rows(random.Random(1))))
+    got = similar.first_of_groups(documents(spark, odd_rows(random.Random(1))))
     ids = [r.doc_id for r in got.collect()]
     assert ids.count(None) == 2 and sorted(i for i in ids if i is not None) == [-9, 1, 3, 6, 7, 8]
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _shingles(text):
+    return set(simhash.shingle_hashes(text, 5))
+
+
+def test_near_groups_match_all_pairs(spark):
+    """Families whose members drift away from their first one, so that only chains connect them, and texts just below the threshold."""
+    rng = random.Random(31)
+    rows = [r for r in odd_rows(rng) if r[0] is not None]
+    for family in range(12):
+        text = words(rng, 150, 10**6).split()
+        for k in range(12):
+            rows.append((100 + family * 20 + rng.randrange(20) * 1000, " ".join(text), None, None, None))
+            for _ in range(rng.randrange(1, 5)):
+                text[rng.randrange(len(text))] = f"new{rng.randrange(10**6)}"
+    sets = [(i, _shingles(t), _print(t, 5)) for i, t, *_ in rows]
+    root = {i: i for i, *_ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    chained = 0
+    for n, (a, x, p) in enumerate(sets):
+        for b, y, q in sets[:n]:
+            if (p ^ q).bit_count() <= 3 or x & y and len(x & y) >= 0.8 * len(x | y):
+                chained += (p ^ q).bit_count() > 3
+                r, s = find(a), find(b)
+                root[max(r, s)] = min(r, s)
+    got = {r.doc_id: r.component_id for r in similar.near_groups(clashing(documents(spark, rows))).collect()}
+    assert chained > 100 and got == {i: find(i) for i in root}
+    left = similar.first_of_groups(documents(spark, rows))
+    assert sorted(r.doc_id for r in left.collect()) == sorted(i for i in root if find(i) == i)
+
+
+def test_band_keys_depend_on_the_set_alone():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 2**63, 50, dtype=np.uint64)
+    both = np.concatenate((x, x[::-1], x[:5]))
+    keys = similar.band_keys(np.concatenate((both, rng.integers(0, 2**63, 9, dtype=np.uint64))), np.array([50, 55, 9]))
+    assert (keys[0] == keys[1]).all() and not (keys[0] == keys[2]).any() and len(set(keys.ravel().tolist())) == 2 * similar.BANDS
+
+
 def _exact(vectors: dict, query: int, k: int) -> list:
     q = np.array(vectors[query], np.float32).astype(float)
     out = []
