@@ -104,13 +104,13 @@ def gram_hits(data: np.ndarray, starts: np.ndarray, wanted: np.ndarray) -> tuple
 
 def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Rows of a batch in runs of about a megabyte of text."""
-    texts = [(t.as_py() or "").encode() for t in batch.column("text")]
-    at = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= _SLICE or i + 1 == len(texts):
-            yield batch.slice(at, i + 1 - at), texts[at : i + 1]
-            at, held = i + 1, 0
+    at, held, texts = 0, 0, []
+    for i, t in enumerate(batch.column("text")):
+        texts.append((t.as_py() or "").encode())
+        held += len(texts[-1])
+        if held >= _SLICE or i + 1 == batch.num_rows:
+            yield batch.slice(at, i + 1 - at), texts
+            at, held, texts = i + 1, 0, []
 
 
 @dataclass(frozen=True)
