@@ -75,25 +75,29 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return wanted.mapInArrow(run, "doc_id long, fp long, size long, digest binary, bands array<long>")
 
 
-def alike(docs: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
-    """The rows of ``pairs`` (a, b: ids of ``docs``) whose whole texts have shingle sets of Jaccard similarity ``least`` or more."""
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """``doc_id, shingles``: the distinct shingle hashes of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, ours = [], None, np.zeros(0, np.uint64)
-            for x, y in zip(batch.column("text_a"), batch.column("text_b")):
-                x = x.as_py()
-                if x != last:
-                    last, ours = x, np.unique(np.array(shingle_hashes(x, width), np.uint64))
-                theirs = np.unique(np.array(shingle_hashes(y.as_py(), width), np.uint64))
-                both = len(np.intersect1d(ours, theirs, True))
-                keep.append(both > 0 and both >= least * (len(ours) + len(theirs) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), "near-texts")
-    rows = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                sets = [np.unique(np.array(shingle_hashes(t.as_py(), width), np.uint64)).view(np.int64) for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
+
+
+def alike(docs: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b: ids of ``docs``) whose whole texts have shingle sets of Jaccard similarity ``least`` or more.
+
+    The ids are written first, so that Spark knows their size when it chooses how to pick their texts.
+    """
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
+    sets = written(shingle_sets(docs.join(ids, "doc_id", "left_semi"), width), "near-sets")
+    rows = pairs.join(sets.toDF("b", "of_b"), "b").join(sets.toDF("a", "of_a"), "a")
+    rows = rows.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("both"), (F.size("of_a") + F.size("of_b")).alias("total"))
+    return rows.where((F.col("both") > 0) & (F.col("both") >= least * (F.col("total") - F.col("both")))).select("a", "b")
 
 
 def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
