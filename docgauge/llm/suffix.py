@@ -10,7 +10,8 @@
    the byte after it. Neighbours that agree in ``length`` bytes by hash are verified byte by byte.
 4. Repeated strings become spans of their texts, which are merged and cut.
 
-A gram with more than ``crowd`` different contexts is split by the hashes of its single strings, which equal strings share.
+The strings of a gram with more than ``crowd`` different contexts are not sorted but counted by their hashes (128 bits of SHA-256), which
+each task sums before anything is shuffled. Runs of strings whose common bytes occur once are left out before their strings are counted.
 """
 
 from __future__ import annotations
@@ -275,53 +276,93 @@ def _cut_contexts(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
-    """``g, ch, low, high``: repeated strings of contexts, as ranges of their numbers; rows of one (g, salt) come together, in order."""
+    """``g, ch, low, high``: repeated strings of contexts, as ranges of their numbers; rows of one g come together, in order."""
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
-        data, begin, _ = _laid([h[5] for h in held])
-        strings = np.array([len(h[5]) for h in held]) - length + 1
+        data, begin, _ = _laid([h[2] for h in held])
+        strings = np.array([len(h[2]) for h in held]) - length + 1
         row = np.repeat(np.arange(len(held), dtype=np.int32), strings)
         nth = np.arange(len(row), dtype=np.int32) - np.repeat((np.cumsum(strings) - strings).astype(np.int32), strings)
-        group = np.cumsum([i > 0 and held[i][:2] != held[i - 1][:2] for i in range(len(held))])
+        group = np.cumsum([i > 0 and held[i][0] != held[i - 1][0] for i in range(len(held))])
         found = repeated(Prefixes(data), begin[row] + nth, group.astype(np.int32)[row], length)
         edge = np.diff(np.concatenate(([0], np.where(found, row + 1, 0), [0])))
         start, end = np.flatnonzero((edge != 0)[:-1] & found), np.flatnonzero((edge != 0)[1:] & found)
-        base = np.array([h[3] for h in held])[row[start]]
-        columns = ([h[0] for h in held], [h[2] for h in held])
+        columns = ([h[0] for h in held], [h[1] for h in held])
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.array(c, np.int64)[row[start]]) for c in columns] + [pa.array(base + nth[start]), pa.array(base + nth[end])], ["g", "ch", "low", "high"]
+            [pa.array(np.array(c, np.int64)[row[start]]) for c in columns] + [pa.array(nth[k].astype(np.int64)) for k in (start, end)], ["g", "ch", "low", "high"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for item in zip(*(batch.column(c).to_pylist() for c in ("g", "salt", "ch", "base", "n", "ctx"))):
-                if size >= _SLICE and item[:2] != held[-1][:2]:
+            for item in zip(*(batch.column(c).to_pylist() for c in ("g", "ch", "ctx"))):
+                if size >= _SLICE and item[0] != held[-1][0]:
                     yield solve(held)
                     held, size = [], 0
                 held.append(item)
-                size += len(item[5])
+                size += len(item[2])
         if held:
             yield solve(held)
 
     return rows.mapInArrow(run, "g long, ch long, low long, high long")
 
 
+def _digest(part: Column) -> Column:
+    return F.unhex(F.substring(F.sha2(part, 256), 1, 32))
+
+
+def _again(rows: DataFrame, keys: list[str], crowd: int) -> DataFrame:
+    """The rows of ``rows`` whose keys occur at least twice, a row with ``n`` counting n times.
+
+    Keys that occur more than ``crowd`` times are few, at most one in ``crowd`` rows; they go to the rows, and their rows are not shuffled.
+    """
+    times = written(rows.groupBy(*keys).agg(F.sum("n").alias("times")).where("times > 1"), "suffix-again")
+    hot = times.where(F.col("times") > crowd).select(*keys, F.lit(True).alias("hot"))
+    told = rows.join(F.broadcast(hot), keys, "left")
+    rest = told.where("hot IS NULL").join(times.where(F.col("times") <= crowd).select(*keys), keys, "left_semi")
+    return told.where("hot").select(*rows.columns).union(rest.select(*rows.columns))
+
+
+def _counted_crowds(crowded: DataFrame, length: int, crowd: int) -> DataFrame:
+    """``g, ch, low, high`` as from ``_sorted_groups``, for contexts (g, ch, n, off, ctx) of grams with more than ``crowd`` of them.
+
+    Equal strings have their anchor at the same distance. Strings of up to ``step`` such distances are a piece; the bytes that all of them
+    have in common are its core, and strings of a piece whose core occurs once occur once.
+    """
+    step = max(1, length // 12)
+    strings = crowded.withColumn("last", F.octet_length("ctx").cast("long") - length)
+    pieces = strings.select("g", "ch", "n", "off", "ctx", F.explode(F.expr(f"sequence((off - last) div {step}, off div {step})")).alias("piece"))
+    core = F.substring("ctx", (F.col("off") - F.col("piece") * step + 1).cast("int"), F.lit(length - step + 1))
+    pieces = pieces.select("g", "ch", "n", "piece", _digest(core).alias("core"))
+    open_ = _again(pieces, ["g", "piece", "core"], crowd).groupBy("g", "ch").agg(F.collect_set("piece").alias("pieces"))
+    strings = written(strings.join(open_, ["g", "ch"]), "suffix-open")
+
+    strings = strings.select("g", "ch", "n", "off", "ctx", "pieces", F.explode(F.expr("sequence(0L, last)")).alias("base"))
+    strings = strings.where(F.expr(f"array_contains(pieces, (off - base) div {step})"))
+    string = F.substring("ctx", (F.col("base") + 1).cast("int"), F.lit(length))
+    found = _again(strings.select("g", "ch", "n", "base", _digest(string).alias("string")), ["g", "string"], crowd)
+    found = found.where("n = 1").groupBy("g", "ch").agg(F.sort_array(F.collect_set("base")).alias("bases"))
+    low, high = (f"filter(bases, x -> NOT array_contains(bases, x {sign} 1L))" for sign in "-+")
+    return found.select("g", "ch", F.inline(F.expr(f"arrays_zip({low}, {high})")).alias("low", "high"))
+
+
 def _repeated_ranges(cut: DataFrame, length: int, crowd: int) -> DataFrame:
     """``g, ch, low, high``: the numbers of the repeated strings of every context."""
-    classes = written(cut.groupBy("g", "ch").agg(F.count("*").alias("n"), F.first("ctx", ignorenulls=True).alias("ctx")), "suffix-contexts")
+    off = F.first(F.expr("shiftright(at, 10) & 1023")).alias("off")
+    classes = written(cut.groupBy("g", "ch").agg(F.count("*").alias("n"), off, F.first("ctx", ignorenulls=True).alias("ctx")), "suffix-contexts")
     last = F.octet_length("ctx").cast("long") - length
     whole = classes.where("n > 1").select("g", "ch", F.lit(0).cast("long").alias("low"), last.alias("high"))
     sizes = classes.groupBy("g").agg(F.count("*").alias("m"), F.max((F.col("n") == 1).cast("int")).alias("open")).where("m > 1 AND open = 1").drop("open")
     several = classes.join(sizes, "g")
-    plain = several.where(F.col("m") <= crowd).select("g", F.lit(0).cast("long").alias("salt"), "ch", F.lit(0).cast("long").alias("base"), "n", "ctx")
-    each = several.where(F.col("m") > crowd).select("g", "ch", "n", "ctx", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("base"))
-    each = each.select("g", "ch", "n", "base", F.substring("ctx", (F.col("base") + 1).cast("int"), F.lit(length)).alias("ctx"))
-    each = each.select("g", (F.pmod(F.xxhash64("ctx"), F.lit(1 << 20)) + 1).alias("salt"), "ch", "base", "n", "ctx")
     parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = plain.union(each).repartition(parts, "g", "salt").sortWithinPartitions("g", "salt")
-    return whole.union(_sorted_groups(rows, length))
+    rows = several.where(F.col("m") <= crowd).select("g", "ch", "ctx").repartition(parts, "g").sortWithinPartitions("g")
+    ranges = whole.union(_sorted_groups(rows, length))
+    crowds = sizes.where(F.col("m") > crowd).select("g")
+    if crowds.isEmpty():
+        return ranges
+    crowded = written(classes.join(F.broadcast(crowds), "g").select("g", "ch", "n", "off", "ctx"), "suffix-crowds")
+    return ranges.union(_counted_crowds(crowded, length, crowd))
 
 
 def repeated_spans(docs: DataFrame, length: int, gram: int, crowd: int) -> tuple[DataFrame, DataFrame]:

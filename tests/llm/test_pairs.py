@@ -220,6 +220,27 @@ def test_repeats_match_brute_force(spark):
     assert suffix.deduplicated(documents(spark, [])).count() == 0
 
 
+def test_crowded_strings_are_counted_not_sorted(spark, monkeypatch):
+    """A passage in all texts, cut off at many places, with different text around it."""
+    rng = random.Random(12)
+    passage = words(rng, 40)
+    rows = []
+    for i in range(150):
+        a, b = sorted(rng.sample(range(len(passage)), 2)) if i % 3 == 0 else (0, len(passage))
+        rows.append((i, words(rng, 6, 10**6) + passage[a:b] + words(rng, 6, 10**6), None, None, None))
+    plain, most = suffix._sorted_groups, []
+
+    def sorted_groups(given, length):
+        most.append(given.groupBy("g", "ctx").count().agg(F.max("count")).first()[0] or 0)
+        return plain(given, length)
+
+    monkeypatch.setattr(suffix, "_sorted_groups", sorted_groups)
+    want = _plain(rows, 40)
+    for crowd in (3, 20, 60):
+        assert rows_of(suffix.deduplicated(documents(spark, rows), 40, 16, crowd)) == want
+    assert len(most) == 3 and max(most) <= 1
+
+
 def test_suffix_sort_orders_like_bytes():
     rng = random.Random(9)
     data = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(3000)), np.uint8)
