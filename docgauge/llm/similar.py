@@ -4,9 +4,12 @@ Two sets of similarity 0.8 differ in about 10 of 64 SimHash bits, where no segme
 pipeline therefore adds these links to those of ``simhash``. Sets meet in a bucket if all ``ROWS`` least hashes of a band agree: of
 ``BANDS`` bands at least one does so for 99.997 % of the pairs at 0.8, for more of those above.
 
-No bucket writes all its pairs. Every member is first compared with the bucket's smallest id. Where this leaves a bucket in more than one
-component, the members outside its largest one are compared with all others outside their own component: each pair that could
-still join two components has such a member, so no link between components is lost.
+No bucket writes all its pairs. Every member is first compared with the bucket's smallest id. Where this leaves buckets in more than one
+component, their members are compared where they share rare shingles: of two sets of the wanted similarity, ordered by how often
+their shingles occur, rarest first, the first few of the one hold one of the first few of the other (``rarest``). A passage that unlike
+documents share is last in their order, so they do not meet. Of those who meet at a shingle, the members outside the largest component
+are compared with all others outside their own: each pair that could still join two components has such a member, so no link
+between components is lost.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from docgauge.llm.wordhash import mixed
 BANDS, ROWS = 20, 4
 _SEEDS = np.random.default_rng(20).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
 _HELD = 300_000
+#: At most so many shingles are told apart as common; the others count as equally rare.
+_COMMON = 1_000_000
 
 
 def band_keys(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -88,13 +93,36 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def alike(docs: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """``shingle_sets`` of the texts with these ids, which are written first, so that Spark knows their size when it chooses how to pick texts."""
+    ids = written(ids.distinct(), "near-ids")
+    return written(shingle_sets(docs.join(ids, "doc_id", "left_semi"), width), "near-sets")
+
+
+def rarest(sets: DataFrame, least: float) -> DataFrame:
+    """``doc_id, size, s, short``: the rarest shingles of every set, as many as the partners of ``least`` need to meet.
+
+    Two sets of similarity ``least`` or more, the smaller of size n and the larger of size m, share at least 2 least / (1 + least) n and
+    least * m shingles. So in one order of all shingles the first n - 2 least / (1 + least) n + 1 of the smaller set (``short``) and the
+    first m - least * m + 1 of the larger one have one in common.
+    """
+    total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    rows = sets.select("doc_id", F.xxhash64("shingles").alias("tag"), F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
+    common = rows.groupBy("s").agg(F.count("*").alias("times")).where(F.col("times") > max(16, total // _COMMON))
+    rows = rows.join(F.broadcast(written(common, "near-common")), "s", "left")
+    ranked = rows.groupBy("doc_id", "tag", "size").agg(F.sort_array(F.collect_set(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "s"))).alias("all"))
+    many, few = (F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1 for share in (least, 2 * least / (1 + least)))
+    first = ranked.select("doc_id", "size", few.alias("few"), F.posexplode(F.slice("all", F.lit(1), many.cast("int"))).alias("place", "one"))
+    return first.select("doc_id", "size", F.col("one.s").alias("s"), (F.col("place") < F.col("few")).alias("short"))
+
+
+def alike(docs: DataFrame, pairs: DataFrame, width: int, least: float, sets: DataFrame | None = None) -> DataFrame:
     """The rows of ``pairs`` (a, b: ids of ``docs``) whose whole texts have shingle sets of Jaccard similarity ``least`` or more.
 
-    The ids are written first, so that Spark knows their size when it chooses how to pick their texts.
+    ``sets`` may give the shingle sets of these ids.
     """
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
-    sets = written(shingle_sets(docs.join(ids, "doc_id", "left_semi"), width), "near-sets")
+    if sets is None:
+        sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), width)
     rows = pairs.join(sets.toDF("b", "of_b"), "b").join(sets.toDF("a", "of_a"), "a")
     rows = rows.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("both"), (F.size("of_a") + F.size("of_b")).alias("total"))
     return rows.where((F.col("both") > 0) & (F.col("both") >= least * (F.col("total") - F.col("both")))).select("a", "b")
@@ -130,12 +158,19 @@ def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
 
     rooted = shared.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "near-rooted")
-    parts = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
-    parts = parts.agg(F.count("*").alias("parts"), F.max(F.struct("n", "root"))["root"].alias("largest")).where("parts > 1")
-    outside = rooted.join(parts, "key").where("root <> largest").select("key", F.col("node").alias("out"), F.col("size").alias("other"), F.col("root").alias("out_root"))
-    second = rooted.join(outside, "key").where((F.col("root") != F.col("out_root")) & sizes)
+    parted = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    known_roots = written(rooted.join(parted, "key", "left_semi").groupBy("node").agg(F.any_value("root").alias("root")), "near-parted")
+    sets = sets_of(known, known_roots.select(F.col("node").alias("doc_id")), width)
+    rare = written(rarest(sets, least).withColumnRenamed("doc_id", "node").join(known_roots, "node"), "near-rarest")
+    parts = rare.groupBy("s", "root").agg(F.count("*").alias("n"), F.max("short").alias("short")).groupBy("s")
+    parts = parts.agg(F.count("*").alias("parts"), F.max(F.struct("n", "root"))["root"].alias("largest"), F.max("short").alias("short"))
+    meeting = written(rare.join(parts.where("parts > 1 AND short").select("s", "largest"), "s"), "near-meeting")
+    outside = meeting.where("root <> largest").select("s", F.col("node").alias("out"), F.col("size").alias("other"), F.col("root").alias("out_root"), F.col("short").alias("out_short"))
+    apart = (F.col("root") != F.col("out_root")) & sizes
+    second = meeting.where("short").join(outside, "s").where(apart & (F.col("size") <= F.col("other")))
+    second = second.select("node", "out").union(meeting.join(outside.where("out_short"), "s").where(apart & (F.col("other") <= F.col("size"))).select("node", "out"))
     second = second.select(F.least("node", "out").alias("a"), F.greatest("node", "out").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = written(alike(known, written(second, "near-rest"), width, least), "near-more")
+    more = written(alike(known, written(second, "near-rest"), width, least, sets), "near-more")
     if not more.isEmpty():
         roots = components(edges.union(more))
     named = tied.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))

@@ -142,6 +142,35 @@ def test_near_groups_match_all_pairs(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted(i for i in root if find(i) == i)
 
 
+def test_a_shared_passage_does_not_pair_unlike_texts(spark, monkeypatch):
+    """Texts that meet in buckets by three fifths of their shingles, and pairs among them just above and below the threshold."""
+    rng = random.Random(17)
+    passage = words(rng, 90, 10**6)
+    rows = [(i, f"{passage} {words(rng, 60, 10**6)}", None, None, None) for i in range(200)]
+    for i in range(20):
+        text = rows[i][1].split()
+        for k in range(2 + i % 4):
+            text[100 + 8 * k] = f"new{rng.randrange(10**6)}"
+        rows.append((1000 + i, " ".join(text), None, None, None))
+    sets = {i: _shingles(t) for i, t, *_ in rows}
+    prints = {i: _print(t, 5) for i, t, *_ in rows}
+    want = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and ((prints[a] ^ prints[b]).bit_count() <= 3 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                want[b] = min(want[b], want[a])
+    plain, written_pairs = similar.alike, []
+
+    def alike(docs, pairs, *others):
+        written_pairs.append(pairs.count())
+        return plain(docs, pairs, *others)
+
+    monkeypatch.setattr(similar, "alike", alike)
+    got = {r.doc_id: r.component_id for r in similar.near_groups(documents(spark, rows)).collect()}
+    assert got == want and 5 < sum(i != r for i, r in want.items())
+    assert written_pairs[1] < len(rows)
+
+
 def test_band_keys_depend_on_the_set_alone():
     rng = np.random.default_rng(6)
     x = rng.integers(0, 2**63, 50, dtype=np.uint64)
