@@ -48,10 +48,15 @@ def _brute(pair, texts):
                     break
                 links[i].append((x, y))
         common = sorted({e for _, e, _ in spans[0]} & {e for _, e, _ in spans[1]})
-        told, low = [], 0
+        told, at = [], [0, 0]
         for high in common:
-            told.append("|".join(",".join(str(x) for s, e, x in side if low <= s and e <= high) for side in spans))
-            low = high
+            sides = []
+            for k, side in enumerate(spans):
+                first = at[k]
+                while at[k] < len(side) and side[at[k]][1] <= high:
+                    at[k] += 1
+                sides.append(",".join(str(x) for _, _, x in side[first : at[k]]))
+            told.append("|".join(sides))
         numbers[i] = (len(a), len(b), len(common), hashlib.sha256(";".join(told).encode()).hexdigest())
     held = Counter(p for found in links.values() for p in set(found))
     best = defaultdict(int)
