@@ -36,6 +36,21 @@ _KINDS[list(b".,;:!?\n\x0b\x0c\r")] = 2
 _BASES = (0xA24BAED4963EE407 | 1, 0xC2B2AE3D27D4EB4F | 1)
 
 
+_KNOWN_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """Powers 0 to n at least of ``base`` modulo 2^64; a worker keeps those of an ordinary chunk."""
+    known = _KNOWN_POWERS.get(base)
+    if known is None or len(known) <= n:
+        out = np.full(max(n, _CHUNK) + 1, base, np.uint64)
+        out[0] = 1
+        known = np.multiply.accumulate(out, out=out)
+        if n <= 2 * _CHUNK:
+            _KNOWN_POWERS[base] = known
+    return known
+
+
 @dataclass
 class Words:
     """The words of some texts, one after another: their bytes, places, pieces and texts."""
@@ -48,10 +63,9 @@ class Words:
 
     def hashes(self, seeds: np.ndarray, base: int) -> np.ndarray:
         """A hash of every word and of the seed of its text."""
-        n = len(self.data)
-        powers = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((self.data + np.uint64(1)) * powers[:-1])))
-        back = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64))))
+        powers, back = _powers(base, len(self.data)), _powers(pow(base, -1, 1 << 64), len(self.data))
+        sums = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum((self.data + np.uint64(1)) * powers[: len(self.data)], out=sums[1:])
         return mixed((sums[self.end] - sums[self.begin]) * back[self.begin] + (self.end - self.begin).astype(np.uint64) + seeds[self.text])
 
     def phrases(self, words: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -225,11 +239,31 @@ def frequent(docs: DataFrame, longest: int, least: int, shards: int, most_slots:
     return state.where(F.col("c") >= least).select("key")
 
 
-def _recounted(docs: DataFrame, keys: DataFrame, longest: int, most_slots: int) -> DataFrame:
+def _bitmap(keys: DataFrame, n: int) -> np.ndarray:
+    """``n`` packed bits, set where ``keys`` have their slot, gathered block by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slots = np.sort(batch.column("slot").to_numpy())
+            blocks, starts = np.unique(slots // _BLOCK, return_index=True)
+            for block, part in zip(blocks.tolist(), np.split(slots % _BLOCK, starts[1:])):
+                made.setdefault(block, np.zeros(_BLOCK, bool))[part] = True
+        blobs = [pa.compress(np.packbits(bits).tobytes(), codec="zstd", asbytes=True) for bits in made.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array(blobs, pa.binary())], ["block", "bits"])
+
+    slots = keys.select(F.expr(f"CAST(shiftright(key, {_LENGTH_BITS}) & {n - 1} AS LONG)").alias("slot")).distinct()
+    out = np.zeros(n // 8, np.uint8)
+    size = _BLOCK // 8
+    for row in slots.repartition(F.expr(f"slot div {_BLOCK}")).mapInArrow(run, "block long, bits binary").toLocalIterator():
+        out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(pa.decompress(bytes(row["bits"]), size, codec="zstd", asbytes=True), np.uint8)
+    return out
+
+
+def _recounted(docs: DataFrame, keys: DataFrame, longest: int, most_bits: int) -> DataFrame:
     """``lang, size, phrase, n``: exact counts, by their words, of the phrases whose keys are among ``keys`` (and of few others), and in
     rows of size 0 the number of all words."""
-    marks, _ = _blocks(keys.select("key", F.lit(1).alias("value")), _sized(keys.count(), most_slots))
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marks == 1))
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(keys, _sized(4 * keys.count(), most_bits)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -291,7 +325,8 @@ def scored(counts: DataFrame, least: int) -> DataFrame:
 
 
 def collocations(
-    docs: DataFrame, longest: int = 3, least: int = 10, cover: int = 50, top: int = 2000, shards: int = 2, most_slots: int = 1 << 23, salts: int = 32
+    docs: DataFrame, longest: int = 3, least: int = 10, cover: int = 50, top: int = 2000, shards: int = 2,
+    most_slots: int = 1 << 23, most_bits: int = 1 << 30, salts: int = 32,
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's first ``top`` phrases of 2 to ``longest`` (at most 15) words, all numbers long.
 
@@ -299,12 +334,13 @@ def collocations(
     floor(1000000 a a / (l r)); the lowest counts, of equal ones that with the shorter first part. Phrases inside a longer one that occurs in at
     least ``cover`` percent of their places are dropped. Order: score and a descending, then the phrase by its bytes. ``n``: all words of the
     language. A null text is empty, a null language ``und``; a repeated row counts again; without phrases there are no rows. Other columns are
-    left out. ``shards``: parts of the corpus scanned in turn; ``most_slots``: bound of the tables that tasks are given.
+    left out. ``shards``: parts of the corpus scanned in turn; ``most_slots`` (bytes) and ``most_bits`` bound the tables that tasks are given:
+    beyond a sixteenth and a sixty-fourth of them in phrases, tasks count more phrases that come to nothing, with the same result.
     """
     shard = F.pmod(F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns]), F.lit(shards))
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text", shard.alias("shard"))
     keys = frequent(rows, longest, least, shards, most_slots)
-    counts = written(_recounted(rows, keys, longest, most_slots).where((F.col("n") >= least) | (F.col("size") == 0)), "phrases-counts")
+    counts = written(_recounted(rows, keys, longest, most_bits).where((F.col("n") >= least) | (F.col("size") == 0)), "phrases-counts")
     phrases = written(scored(counts, least), "phrases-scored")
     sizes = F.sequence(F.lit(2), F.col("size") - 1)
     inside = phrases.where("size > 2").select("lang", "size", "phrase", "a", F.explode(sizes).alias("of"))
