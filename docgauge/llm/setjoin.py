@@ -12,13 +12,14 @@ their two counts; below 4/9 of their sizes together (for a similarity of 0.8) th
 * Points. Pairs in opened leaves must reach the bound with their own counts. What survives is verified on the whole sets.
 
 Only components are asked for, so pairs within one are never compared. Stars come first: in each region one point is held against all of other
-components; links are verified, components merged, and this repeats until it finds none. Then all pairs of a region that are still in
+components; links are verified, components merged, and this repeats while it finds many. Then all pairs of a region that are still in
 different components are compared, in tiles if the region is crowded, so no task holds more than two tiles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,10 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from docgauge.llm.common import written
+from docgauge.llm.collocation import _powers
+from docgauge.llm.common import discarded, written
 from docgauge.llm.graph import components
-from docgauge.llm.simhash import shingle_hashes
+from docgauge.llm.wordhash import mixed, runs
 
 GROUPS = 32
 _TABLE = 1 << 22
@@ -36,13 +38,45 @@ _BLOCK = 1 << 16
 _LEAF = 16
 #: Regions up to this size are compared point by point, many at once.
 _SMALL = 48
-_HELD = 300_000
-
-
-def _shingles(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    for text in texts:
-        yield np.unique(np.array(shingle_hashes(text.as_py(), width), np.uint64))
+_BASE = 0x9FB21C651E98DF25 | 1
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\x0b\x0c\r")] = True
+
+
+def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text: 64 bits over the hashes of its words, all texts at once."""
+    encoded = [(t or "").encode() for t in texts]
+    data = np.frombuffer(b"\n".join(encoded) + b"\n", np.uint8)
+    data = data + np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
+    edges = np.diff((~_BLANK[data]).astype(np.int8), prepend=0, append=0)
+    begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    text = np.searchsorted(np.cumsum(np.array([len(t) + 1 for t in encoded], np.int64)), begin, "right")
+    powers, back = _powers(_BASE, len(data)), _powers(pow(_BASE, -1, 1 << 64), len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * powers[: len(data)], out=sums[1:])
+    words = mixed((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64))
+    hashes, first = runs(words, text, width)
+    counts = np.bincount(text, minlength=len(texts))
+    cuts = np.searchsorted(text[first], np.arange(1, len(texts)))
+    out = [np.unique(part) for part in np.split(hashes, cuts)]
+    for i in np.flatnonzero((counts > 0) & (counts < width)).tolist():  # too short: all words as one
+        n = int(counts[i])
+        at = int(np.searchsorted(text, i))
+        out[i] = runs(words[at : at + n], text[at : at + n], n)[0] + np.uint64(n)
+    return out
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """Texts some at a time, each time with the number of those before."""
+    at = 0
+    while at < len(texts):
+        some: list[str | None] = []
+        size = 0
+        while at + len(some) < len(texts) and size < 1_000_000 and len(some) < 1024:
+            some.append(texts[at + len(some)].as_py())
+            size += len(some[-1] or "")
+        yield at, some
+        at += len(some)
 
 
 def _slots(hashes: np.ndarray) -> np.ndarray:
@@ -55,14 +89,8 @@ def commonness(docs: DataFrame, width: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(_TABLE, np.int64)
         for batch in batches:
-            held: list[np.ndarray] = []
-            for hashes in _shingles(batch.column("text"), width):
-                held.append(_slots(hashes))
-                if sum(map(len, held[-1:])) and len(held) >= 256:
-                    np.add.at(counts, np.concatenate(held), 1)
-                    held = []
-            if held:
-                np.add.at(counts, np.concatenate(held), 1)
+            for _, some in _slices(batch.column("text")):
+                np.add.at(counts, _slots(np.concatenate(shingle_sets(some, width))), 1)
         full = [b for b in range(_TABLE // _BLOCK) if counts[b * _BLOCK : (b + 1) * _BLOCK].any()]
         blobs = [pa.compress(counts[b * _BLOCK : (b + 1) * _BLOCK].view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True) for b in full]
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(blobs, pa.binary())], ["block", "counts"])
@@ -98,10 +126,10 @@ def _points(docs: DataFrame, common: np.ndarray, width: int, percent: int) -> Da
         task, made = TaskContext.get().partitionId() << 36, 0
         order_of = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at, some in _slices(batch.column("text")):
+                part = batch.slice(at, len(some))
                 sizes, digests, regions, counts = [], [], [], []
-                for hashes in _shingles(part.column("text"), width):
+                for hashes in shingle_sets(some, width):
                     n = len(hashes)
                     sizes.append(n)
                     digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
@@ -227,22 +255,30 @@ def _tiled(boxes: DataFrame, sizes: DataFrame, tile: int, seed: int, star: bool)
 
 
 def _verified(docs: DataFrame, points: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets have the wanted similarity."""
+    """The pairs whose whole sets have the wanted similarity. Each point's text is that of one row: its id and two hashes find it, and only
+    where a row is repeated are its copies dropped."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    wanted = written(points.join(ids, "row").select("row", "k", "k2"), "sets-wanted")
+    key = ["id", "k", "k2"]
+    wanted = points.join(ids, "row").select("row", F.coalesce("doc_id", F.lit(-1)).alias("id"), "k", "k2")
+    same = points.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "k", "k2").join(wanted, key, "left_semi")
+    wanted = written(wanted.join(same.groupBy(*key).agg(F.count("*").alias("times")), key), "sets-wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                sets = [s.view(np.int64) for s in _shingles(part.column("text"), width)]
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(sets, pa.list_(pa.int64()))], ["row", "shingles"])
-
-    found = docs.join(wanted, ["k", "k2"]).select("row", "text").mapInArrow(run, "row long, shingles array<long>")
-    sets = written(found.dropDuplicates(["row"]), "sets")
+            for at, some in _slices(batch.column("text")):
+                sets = [s.view(np.int64) for s in shingle_sets(some, width)]
+                part = batch.slice(at, len(some))
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("times"), pa.array(sets, pa.list_(pa.int64()))], ["row", "times", "shingles"])
+
+    texts = docs.withColumn("id", F.coalesce("doc_id", F.lit(-1))).join(wanted, key).select("row", "times", "text")
+    found = written(texts.mapInArrow(run, "row long, times long, shingles array<long>"), "sets")
+    repeats = found.where("times > 1").select("row", "shingles").dropDuplicates(["row"])
+    sets = found.where("times = 1").select("row", "shingles").union(repeats)
     rows = pairs.join(sets.toDF("b", "of_b"), "b").join(sets.toDF("a", "of_a"), "a")
     both, total = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-    return rows.where(100 * both >= percent * (total - both)).select("a", "b")
+    links = written(rows.where(100 * both >= percent * (total - both)).select("a", "b"), "sets-links")
+    discarded(found)
+    return links
 
 
 def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, tile: int = 1024) -> DataFrame:
@@ -264,24 +300,28 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, tile: int =
     boxes = written(entered.join(sizes, "region", "left_semi").join(nodes.select("node", "n", "counts"), "node"), "sets-boxes")
     sizes = sizes.withColumn("m", F.col("m").cast("int"))
 
-    edges = tested = roots = None
-    seed = 0
-    while True:
-        rooted = boxes.withColumn("root", F.col("node")) if roots is None else boxes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted, edges, tested, roots, most = boxes.withColumn("root", F.col("node")), None, None, None, 0
+    for seed in count():
         pairs = _compared(_tiled(rooted, sizes, tile, seed, True), True, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "sets-stars")
-        found = written(_verified(rows, points, pairs, width, percent), "sets-links")
-        if found.isEmpty():
-            break
+        found = _verified(rows, points, pairs, width, percent)
+        n = found.count()
         tested = pairs if tested is None else tested.union(pairs)
-        edges = found if edges is None else edges.union(found)
-        roots, seed = components(edges), seed + 1
-    pairs = _compared(_tiled(rooted, sizes, tile, seed, False), False, percent)
-    if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    rest = written(_verified(rows, points, written(pairs, "sets-rest"), width, percent), "sets-links")
+        if n:
+            edges = found if edges is None else edges.union(found)
+            roots = components(edges)
+            placed = boxes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            parted = placed.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("region")
+            before, rooted = rooted, written(placed.join(parted, "region", "left_semi"), "sets-boxes")
+            if seed:
+                discarded(before)
+        most = max(most, n)
+        if n <= most // 8:  # stars have found most of what they can; the rest is compared in full
+            break
+    pairs = _compared(_tiled(rooted, sizes, tile, 0, False), False, percent).join(tested, ["a", "b"], "left_anti")
+    rest = _verified(rows, points, written(pairs, "sets-rest"), width, percent)
     if not rest.isEmpty():
         roots = components(rest if edges is None else edges.union(rest))
 
