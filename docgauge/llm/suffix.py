@@ -10,8 +10,9 @@
    the byte after it. Neighbours that agree in ``length`` bytes by hash are verified byte by byte.
 4. Repeated strings become spans of their texts, which are merged and cut.
 
-The strings of a gram with more than ``crowd`` different contexts are not sorted but counted by their hashes (128 bits of SHA-256), which
-each task sums before anything is shuffled. Runs of strings whose common bytes occur once are left out before their strings are counted.
+Contexts of a gram that has more than ``crowd`` different ones are cut into pieces by the distance of their strings from the anchor. Equal
+pieces are one row, so a passage that very many texts share is sorted once; the others are sorted as above. Where even the pieces of one
+gram and distance are too many, they are single strings, and equal ones are found as equal rows (128 bits of SHA-256).
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from docgauge.llm.common import written
 
@@ -308,61 +309,76 @@ def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "g long, ch long, low long, high long")
 
 
-def _digest(part: Column) -> Column:
-    return F.unhex(F.substring(F.sha2(part, 256), 1, 32))
+def _pieces(strings: DataFrame, length: int, step: int) -> DataFrame:
+    """``g, ch, base, gp, sub, sh``: contexts cut into pieces of up to ``step`` strings whose anchors lie at neighbouring distances.
 
+    Equal strings have their anchor at the same distance, so they lie in pieces of one ``gp`` (gram and distances). ``sub`` are the bytes of the
+    piece, ``sh`` their hash with the first distance: equal pieces have equal ``sh``. ``base`` is the number of the piece's first string.
+    """
+    last = F.octet_length("ctx").cast("long") - length
+    rows = strings.withColumn("last", last)
+    rows = rows.select("g", "ch", "off", "last", "ctx", F.explode(F.expr(f"sequence((off - last) div {step}, off div {step})")).alias("piece"))
+    base = F.greatest(F.lit(0), F.col("off") - (F.col("piece") * step + step - 1)).cast("long")
+    end = F.least(F.col("last"), F.col("off") - F.col("piece") * step).cast("long")
+    rows = rows.select("g", "ch", "off", "piece", "ctx", base.alias("base"), end.alias("end"))
+    sub = F.substring("ctx", (F.col("base") + 1).cast("int"), (F.col("end") - F.col("base") + length).cast("int"))
+    rows = rows.select("g", "ch", "base", F.xxhash64("g", "piece").alias("gp"), sub.alias("sub"), (F.col("off") - F.col("base")).cast("string").alias("far"))
+    digest = F.unhex(F.substring(F.sha2(F.concat("sub", F.lit("/").cast("binary"), F.col("far").cast("binary")), 256), 1, 32))
+    return rows.select("g", "ch", "base", "gp", "sub", digest.alias("sh"))
 
-def _again(rows: DataFrame, keys: list[str], crowd: int) -> DataFrame:
-    """The rows of ``rows`` whose keys occur at least twice, a row with ``n`` counting n times.
 
-    Keys that occur more than ``crowd`` times are few, at most one in ``crowd`` rows; they go to the rows, and their rows are not shuffled.
-    """
-    times = written(rows.groupBy(*keys).agg(F.sum("n").alias("times")).where("times > 1"), "suffix-again")
-    hot = times.where(F.col("times") > crowd).select(*keys, F.lit(True).alias("hot"))
-    told = rows.join(F.broadcast(hot), keys, "left")
-    rest = told.where("hot IS NULL").join(times.where(F.col("times") <= crowd).select(*keys), keys, "left_semi")
-    return told.where("hot").select(*rows.columns).union(rest.select(*rows.columns))
+def _classes(pieces: DataFrame) -> DataFrame:
+    """``gp, sh, n, sub, key``: equal pieces as one row, with ``key`` for the sort."""
+    classes = pieces.groupBy("gp", "sh").agg(F.count("*").alias("n"), F.first("sub").alias("sub"))
+    return written(classes.withColumn("key", F.xxhash64("sh")), "suffix-classes")
 
 
-def _counted_crowds(crowded: DataFrame, length: int, crowd: int) -> DataFrame:
-    """``g, ch, low, high`` as from ``_sorted_groups``, for contexts (g, ch, n, off, ctx) of grams with more than ``crowd`` of them.
+def _open_sizes(classes: DataFrame, group: str) -> DataFrame:
+    """``m`` by ``group``: how many different ones there are, where there are several and one of them occurs once."""
+    sizes = classes.groupBy(group).agg(F.count("*").alias("m"), F.max((F.col("n") == 1).cast("int")).alias("open"))
+    return written(sizes.where("m > 1 AND open = 1").drop("open"), "suffix-sizes")
 
-    Equal strings have their anchor at the same distance. Strings of up to ``step`` such distances are a piece; the bytes that all of them
-    have in common are its core, and strings of a piece whose core occurs once occur once.
-    """
-    step = max(1, length // 12)
-    strings = crowded.withColumn("last", F.octet_length("ctx").cast("long") - length)
-    pieces = strings.select("g", "ch", "n", "off", "ctx", F.explode(F.expr(f"sequence((off - last) div {step}, off div {step})")).alias("piece"))
-    core = F.substring("ctx", (F.col("off") - F.col("piece") * step + 1).cast("int"), F.lit(length - step + 1))
-    pieces = pieces.select("g", "ch", "n", "piece", _digest(core).alias("core"))
-    open_ = _again(pieces, ["g", "piece", "core"], crowd).groupBy("g", "ch").agg(F.collect_set("piece").alias("pieces"))
-    strings = written(strings.join(open_, ["g", "ch"]), "suffix-open")
-
-    strings = strings.select("g", "ch", "n", "off", "ctx", "pieces", F.explode(F.expr("sequence(0L, last)")).alias("base"))
-    strings = strings.where(F.expr(f"array_contains(pieces, (off - base) div {step})"))
-    string = F.substring("ctx", (F.col("base") + 1).cast("int"), F.lit(length))
-    found = _again(strings.select("g", "ch", "n", "base", _digest(string).alias("string")), ["g", "string"], crowd)
-    found = found.where("n = 1").groupBy("g", "ch").agg(F.sort_array(F.collect_set("base")).alias("bases"))
-    low, high = (f"filter(bases, x -> NOT array_contains(bases, x {sign} 1L))" for sign in "-+")
-    return found.select("g", "ch", F.inline(F.expr(f"arrays_zip({low}, {high})")).alias("low", "high"))
+
+def _placed(pieces: DataFrame, found: DataFrame) -> DataFrame:
+    """Ranges ``gp, key, low, high`` of pieces as ranges ``g, ch, low, high`` of their contexts."""
+    ranges = found.groupBy("gp", "key").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    rows = pieces.select("g", "ch", "base", "gp", F.xxhash64("sh").alias("key")).join(ranges, ["gp", "key"])
+    rows = rows.select("g", "ch", "base", F.explode("ranges").alias("r"))
+    return rows.select("g", "ch", (F.col("base") + F.col("r.low")).alias("low"), (F.col("base") + F.col("r.high")).alias("high"))
+
+
+def _whole(classes: DataFrame, length: int) -> DataFrame:
+    """All strings of a piece that occurs twice or more are repeated."""
+    last = F.octet_length("sub").cast("long") - length
+    return classes.where("n > 1").select("gp", "key", F.lit(0).cast("long").alias("low"), last.alias("high"))
 
 
 def _repeated_ranges(cut: DataFrame, length: int, crowd: int) -> DataFrame:
-    """``g, ch, low, high``: the numbers of the repeated strings of every context."""
+    """``g, ch, ranges``: the numbers of the repeated strings of every context that has some, as ranges (low, high) that may overlap."""
     off = F.first(F.expr("shiftright(at, 10) & 1023")).alias("off")
     classes = written(cut.groupBy("g", "ch").agg(F.count("*").alias("n"), off, F.first("ctx", ignorenulls=True).alias("ctx")), "suffix-contexts")
     last = F.octet_length("ctx").cast("long") - length
     whole = classes.where("n > 1").select("g", "ch", F.lit(0).cast("long").alias("low"), last.alias("high"))
-    sizes = classes.groupBy("g").agg(F.count("*").alias("m"), F.max((F.col("n") == 1).cast("int")).alias("open")).where("m > 1 AND open = 1").drop("open")
+    sizes = _open_sizes(classes, "g")
     several = classes.join(sizes, "g")
+    rows = several.where(F.col("m") <= crowd).select("g", "ch", "ctx")
+    crowded = not sizes.where(F.col("m") > crowd).isEmpty()
+    if crowded:
+        contexts = written(several.where(F.col("m") > crowd).select("g", "ch", "off", "ctx"), "suffix-crowded")
+        pieces = written(_pieces(contexts, length, max(1, length // 12)), "suffix-pieces")
+        distinct = _classes(pieces)
+        left = _open_sizes(distinct, "gp")
+        rows = rows.union(distinct.join(left.where(F.col("m") <= crowd), "gp").select("gp", "key", "sub"))
     parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = several.where(F.col("m") <= crowd).select("g", "ch", "ctx").repartition(parts, "g").sortWithinPartitions("g")
-    ranges = whole.union(_sorted_groups(rows, length))
-    crowds = sizes.where(F.col("m") > crowd).select("g")
-    if crowds.isEmpty():
-        return ranges
-    crowded = written(classes.join(F.broadcast(crowds), "g").select("g", "ch", "n", "off", "ctx"), "suffix-crowds")
-    return ranges.union(_counted_crowds(crowded, length, crowd))
+    ordered = _sorted_groups(rows.repartition(parts, "g").sortWithinPartitions("g"), length)
+    ranges = whole.union(ordered)
+    if crowded:
+        ordered = written(ordered, "suffix-ranges")
+        ranges = whole.union(ordered).union(_placed(pieces, _whole(distinct, length).union(ordered.toDF("gp", "key", "low", "high"))))
+        left = pieces.join(left.where(F.col("m") > crowd), "gp", "left_semi").select("g", "ch").distinct()
+        single = written(_pieces(contexts.join(left, ["g", "ch"], "left_semi"), length, 1), "suffix-strings")
+        ranges = ranges.union(_placed(single, _whole(_classes(single), length)))
+    return ranges.groupBy("g", "ch").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 
 
 def repeated_spans(docs: DataFrame, length: int, gram: int, crowd: int) -> tuple[DataFrame, DataFrame]:
@@ -374,10 +390,11 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, crowd: int) -> tuple
     marks = found.join(again.hint("shuffle_hash"), "g").groupBy("k", "k2").agg(F.collect_list(F.struct("g", "at")).alias("marks"))
     marked = texts.join(marks.withColumnRenamed("k2", "own"), "k").where("k2 = own").select("k", "k2", "text", "marks")
     cut = written(_cut_contexts(marked, length), "suffix-anchors")
-    ranges = _repeated_ranges(cut, length, crowd)
+    # One row a context: its ranges stay together, however many there are and however often the context occurs.
+    held = cut.drop("ctx").join(_repeated_ranges(cut, length, crowd), ["g", "ch"])
     first = F.expr("at div 1048576")
-    spans = cut.drop("ctx").join(ranges, ["g", "ch"]).select("k", "k2", F.struct((first + F.col("low")).alias("start"), (first + F.col("high") + length).alias("end")).alias("span"))
-    return texts, spans.groupBy("k", "k2").agg(F.collect_list("span").alias("spans"))
+    spans = F.transform("ranges", lambda r: F.struct((first + r["low"]).alias("start"), (first + r["high"] + length).alias("end")))
+    return texts, held.select("k", "k2", spans.alias("spans")).groupBy("k", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -386,7 +403,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"text": text}).withColumns({"k": F.xxhash64("text"), "k2": F.hash("text"), "n_bytes": F.octet_length("text").cast("long")})
 
 
-def cut_texts(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 20_000) -> DataFrame:
+def cut_texts(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 256) -> DataFrame:
     """``k, k2, n_removed, n_spans, kept binary, kept_sha256`` for every distinct text of ``docs`` (keyed) that has something to lose."""
     texts, spans = repeated_spans(docs, length, gram, crowd)
     copies = docs.groupBy("k", "k2").agg(F.count("*").alias("copies")).where("copies > 1")
@@ -417,7 +434,7 @@ def cut_texts(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 2
     return joined.mapInArrow(run, "k long, k2 int, n_removed long, n_spans long, kept binary, kept_sha256 string").where("n_removed > 0")
 
 
-def deduplicated(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 20_000) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 256) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs`` (doc_id, text).
 
     Each byte covered by a string of ``length`` bytes that also starts elsewhere, in the same or another row, is removed, all occurrences
@@ -434,7 +451,7 @@ def deduplicated(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int
     )
 
 
-def without_repeats(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 20_000) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 256) -> DataFrame:
     """``docs`` (all columns) with repeated strings cut from ``text``; characters that lose a part of their bytes go, ``n_chars`` follows.
 
     Every row stays, also with nothing left of its text. Null texts that lose nothing stay null.
