@@ -115,6 +115,23 @@ def commonness(docs: DataFrame, width: int) -> np.ndarray:
     return np.ceil(np.log2(over + 1)).astype(np.uint8)
 
 
+def count_vector(hashes: np.ndarray) -> bytes:
+    """How many shingles lie in each of ``GROUPS`` groups; 65,535 stands for that many or more."""
+    grouped = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    return np.minimum(grouped, 65535).astype("<u2").tobytes()
+
+
+def count_vectors(sets: DataFrame) -> DataFrame:
+    """``row, counts`` for rows of ``doc_id, shingles``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = [count_vector(s.values.to_numpy().view(np.uint64)) for s in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(vectors, pa.binary())], ["row", "counts"])
+
+    return sets.select("doc_id", "shingles").mapInArrow(run, "row long, counts binary")
+
+
 _POINTS = "row long, doc_id long, k long, k2 int, n long, digest binary, regions array<long>, counts binary"
 
 
@@ -136,8 +153,7 @@ def _points(docs: DataFrame, common: np.ndarray, width: int, percent: int) -> Da
                     first = n - -(-percent * n // 100) + 1 if n else 0
                     order = np.lexsort((hashes, order_of[_slots(hashes)]))[:first]
                     regions.append(hashes[order].view(np.int64))
-                    grouped = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
-                    counts.append(np.minimum(grouped, 65535).astype("<u2").tobytes())
+                    counts.append(count_vector(hashes))
                 rows = pa.array(np.arange(task + made, task + made + part.num_rows))
                 made += part.num_rows
                 yield pa.RecordBatch.from_arrays(
@@ -214,7 +230,7 @@ def region_pairs(key: np.ndarray, counts: np.ndarray, n: np.ndarray, root: np.nd
     return tuple(np.concatenate(side) for side in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _compared(rows: DataFrame, star: bool, percent: int) -> DataFrame:
+def compared(rows: DataFrame, star: bool, percent: int) -> DataFrame:
     """``a, b`` for regions (key, node, n, counts, root) whose rows come together."""
 
     def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -241,7 +257,7 @@ def _compared(rows: DataFrame, star: bool, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _tiled(boxes: DataFrame, sizes: DataFrame, tile: int, seed: int, star: bool) -> DataFrame:
+def tiled(boxes: DataFrame, sizes: DataFrame, tile: int, seed: int, star: bool) -> DataFrame:
     """The rows of ``boxes`` with a ``key`` for the region, or for the tile or pair of tiles of a region of more than ``tile`` points."""
     rows = boxes.join(sizes, "region")
     tiles = F.ceil(F.col("m") / tile).cast("int")
@@ -302,7 +318,7 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, tile: int =
 
     rooted, edges, tested, roots, most = boxes.withColumn("root", F.col("node")), None, None, None, 0
     for seed in count():
-        pairs = _compared(_tiled(rooted, sizes, tile, seed, True), True, percent)
+        pairs = compared(tiled(rooted, sizes, tile, seed, True), True, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "sets-stars")
@@ -320,7 +336,7 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, tile: int =
         most = max(most, n)
         if n <= most // 8:  # stars have found most of what they can; the rest is compared in full
             break
-    pairs = _compared(_tiled(rooted, sizes, tile, 0, False), False, percent).join(tested, ["a", "b"], "left_anti")
+    pairs = compared(tiled(rooted, sizes, tile, 0, False), False, percent).join(tested, ["a", "b"], "left_anti")
     rest = _verified(rows, points, written(pairs, "sets-rest"), width, percent)
     if not rest.isEmpty():
         roots = components(rest if edges is None else edges.union(rest))

@@ -7,9 +7,8 @@ pipeline therefore adds these links to those of ``simhash``. Sets meet in a buck
 No bucket writes all its pairs. Every member is first compared with the bucket's smallest id. Where this leaves buckets in more than one
 component, their members are compared where they share rare shingles: of two sets of the wanted similarity, ordered by how often
 their shingles occur, rarest first, the first few of the one hold one of the first few of the other (``rarest``). A passage that unlike
-documents share is last in their order, so they do not meet. Of those who meet at a shingle, the members outside the largest component
-are compared with all others outside their own: each pair that could still join two components has such a member, so no link
-between components is lost.
+documents share is last in their order, so they do not meet. Those who meet at a shingle and are in different components are points of
+one region of ``setjoin``: a tree over their count vectors lets only pairs through that can be similar, and these are verified.
 """
 
 from __future__ import annotations
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from docgauge.llm.common import written
 from docgauge.llm.graph import components
+from docgauge.llm.setjoin import compared, count_vectors, tiled
 from docgauge.llm.simhash import fold, links, shingle_hashes
 from docgauge.llm.wordhash import mixed
 
@@ -162,14 +162,12 @@ def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
     known_roots = written(rooted.join(parted, "key", "left_semi").groupBy("node").agg(F.any_value("root").alias("root")), "near-parted")
     sets = sets_of(known, known_roots.select(F.col("node").alias("doc_id")), width)
     rare = written(rarest(sets, least).withColumnRenamed("doc_id", "node").join(known_roots, "node"), "near-rarest")
-    parts = rare.groupBy("s", "root").agg(F.count("*").alias("n"), F.max("short").alias("short")).groupBy("s")
-    parts = parts.agg(F.count("*").alias("parts"), F.max(F.struct("n", "root"))["root"].alias("largest"), F.max("short").alias("short"))
-    meeting = written(rare.join(parts.where("parts > 1 AND short").select("s", "largest"), "s"), "near-meeting")
-    outside = meeting.where("root <> largest").select("s", F.col("node").alias("out"), F.col("size").alias("other"), F.col("root").alias("out_root"), F.col("short").alias("out_short"))
-    apart = (F.col("root") != F.col("out_root")) & sizes
-    second = meeting.where("short").join(outside, "s").where(apart & (F.col("size") <= F.col("other")))
-    second = second.select("node", "out").union(meeting.join(outside.where("out_short"), "s").where(apart & (F.col("other") <= F.col("size"))).select("node", "out"))
-    second = second.select(F.least("node", "out").alias("a"), F.greatest("node", "out").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    parts = rare.groupBy("s").agg(F.countDistinct("root").alias("parts"), F.max("short").alias("short"), F.count("*").cast("int").alias("m"))
+    parts = written(parts.where("parts > 1 AND short").select(F.col("s").alias("region"), "m"), "near-meeting")
+    boxes = rare.select(F.col("s").alias("region"), "node", F.col("size").cast("long").alias("n"), "root").join(parts.select("region"), "region", "left_semi")
+    boxes = written(boxes.join(count_vectors(sets).withColumnRenamed("row", "node"), "node"), "near-boxes")
+    percent = int(least * 100 + 1e-9)
+    second = compared(tiled(boxes, parts, 1024, 0, False), False, percent).join(first, ["a", "b"], "left_anti")
     more = written(alike(known, written(second, "near-rest"), width, least, sets), "near-more")
     if not more.isEmpty():
         roots = components(edges.union(more))
