@@ -33,6 +33,10 @@ _BLOCK = 1 << 16
 _KINDS = np.zeros(256, np.uint8)
 _KINDS[list(b" \t")] = 1
 _KINDS[list(b".,;:!?\n\x0b\x0c\r")] = 2
+#: A-Z in lower case, and a tab as the space that words are joined by.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LOWER[9] = 32
 _BASES = (0xA24BAED4963EE407 | 1, 0xC2B2AE3D27D4EB4F | 1)
 
 
@@ -77,14 +81,22 @@ class Words:
             keys = (mixed(h + np.uint64(size)) & ~np.uint64((1 << _LENGTH_BITS) - 1)) | np.uint64(size)
             yield size, keys, self.piece[:n] == self.piece[size - 1 : size - 1 + n]
 
-    def told(self, at: int, size: int) -> bytes:
-        return b" ".join([self.data[self.begin[i] : self.end[i]].tobytes() for i in range(at, at + size)])
+    def told(self, at: np.ndarray, size: int) -> list[bytes]:
+        """The runs of ``size`` words from each place, joined by single spaces; most stand so in the text."""
+        raw = self.data.tobytes()
+        begin, end = self.begin[at], self.end[at + size - 1]
+        letters = np.concatenate(([0], np.cumsum(self.end - self.begin)))
+        spaced = end - begin == letters[at + size] - letters[at] + size - 1
+        return [
+            raw[b:e] if plain else b" ".join([raw[self.begin[i] : self.end[i]] for i in range(k, k + size)])
+            for k, b, e, plain in zip(at.tolist(), begin.tolist(), end.tolist(), spaced.tolist())
+        ]
 
 
 def words_of(texts: list[str | None]) -> Words:
     encoded = [(t or "").encode() for t in texts]
     data = np.frombuffer(b"\n".join(encoded) + b"\n", np.uint8)
-    data = data + np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
+    data = _LOWER[data]
     kinds = _KINDS[data]
     edges = np.diff((kinds == 0).astype(np.int8), prepend=0, append=0)
     begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
@@ -145,7 +157,7 @@ def _sized(n: int, most: int) -> int:
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
     if not len(first):
@@ -293,10 +305,16 @@ def _recounted(docs: DataFrame, keys: DataFrame, longest: int, most_bits: int) -
                 others = next(second)[1]
                 slots = _slots(keys, n_slots)
                 at = np.flatnonzero(whole & ((bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1).astype(bool))
-                order = at[np.lexsort((others[at], keys[at]))]
-                first = np.flatnonzero((np.diff(keys[order], prepend=~keys[order[:1]]) != 0) | (np.diff(others[order], prepend=~others[order[:1]]) != 0))
-                for i, n in zip(order[first].tolist(), np.diff(np.append(first, len(order))).tolist()):
-                    key = (langs[words.text[i]], size, words.told(i, size))
+                order = at[np.argsort(keys[at])]
+                first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
+                times = np.diff(np.append(first, len(order)))
+                if (others[order] != np.repeat(others[order[first]], times)).any():  # different phrases of one key
+                    order = at[np.lexsort((others[at], keys[at]))]
+                    first = np.flatnonzero((np.diff(keys[order], prepend=~keys[order[:1]]) != 0) | (np.diff(others[order], prepend=~others[order[:1]]) != 0))
+                    times = np.diff(np.append(first, len(order)))
+                places = order[first]
+                for text, said, n in zip(words.text[places].tolist(), words.told(places, size), times.tolist()):
+                    key = (langs[text], size, said)
                     held[key] = held.get(key, 0) + n
             if len(held) > 400_000:
                 yield from out()
