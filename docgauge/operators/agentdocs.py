@@ -321,6 +321,11 @@ def afdocs_cap(results: DataFrame, diagnostics: DataFrame) -> DataFrame:
     return lowest.select("site_key", "cap.cap_value", "cap.cap_check", "cap.cap_reason")
 
 
+def _summed(points: Column) -> Column:
+    """Sum of points to one decimal; as decimals, so that it does not depend on the order of rows."""
+    return round1(F.sum(points.cast("decimal(20,8)")).cast("double"))
+
+
 def afdocs_summary(results: DataFrame, caps: DataFrame) -> DataFrame:
     """Earned, possible and passed per site with its cap; sites where no check is numeric have no row."""
     numeric = F.col("display_mode") == "numeric"
@@ -328,7 +333,7 @@ def afdocs_summary(results: DataFrame, caps: DataFrame) -> DataFrame:
         F.count_if(numeric).alias("numeric"),
         F.count_if(F.col("status") == "pass").alias("passed"),
         F.count("*").alias("total"),
-        round1(F.sum(F.when(numeric, F.coalesce("earned", F.lit(0.0))))).alias("earned"),
-        round1(F.sum(F.when(numeric, F.col("max")))).alias("possible"),
+        _summed(F.when(numeric, F.coalesce("earned", F.lit(0.0)))).alias("earned"),
+        _summed(F.when(numeric, F.col("max"))).alias("possible"),
     )
     return rows.filter(F.col("numeric") > 0).drop("numeric").join(caps, "site_key", "left")

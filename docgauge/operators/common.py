@@ -34,6 +34,30 @@ def first_n(df: DataFrame, keys: list[str], order: list[str | Column], n: int, r
     return ranked if rank else ranked.drop(position)
 
 
+def order_buckets(
+    df: DataFrame, keys: list[str], order: Column, wanted: Column | None = None, per_bucket: int = 100_000, most: int = 4096, salts: int = 16
+) -> DataFrame:
+    """Adds ``__bucket`` (rising with ``order`` within a group) and ``__total`` (rows of the group): what ranks and running sums over groups
+    of any size start from, as no group needs to lie in one task.
+
+    A group of n rows gets about n / ``per_bucket`` splitters, ``most`` of them at the most expected: values of ``order`` whose hash, as a share
+    of all hashes, is below that many in n. So buckets depend on the rows alone, and computing any of them again gives the same. Equal values
+    share a bucket. Groups meet their splitters in ``salts`` parts.
+    """
+    rows = df.withColumns({"__order": order})
+    hashed = F.xxhash64(*keys, "__order")
+    rows = rows.withColumns({"__salt": F.pmod(hashed, F.lit(salts)), "__lot": F.shiftrightunsigned(hashed, 11) / F.lit(float(1 << 53))})
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("__salt")
+    totals = df.groupBy(*keys).agg(F.count("*").alias("__total"))
+    target = F.least(F.ceil(F.col("__total") / per_bucket), F.lit(most))
+    drawn = rows.select(*keys, "__order", "__salt", "__lot").join(totals.select("*", every), [*keys, "__salt"])
+    drawn = drawn.filter((F.col("__lot") * F.col("__total") < target) & F.col("__order").isNotNull())
+    splits = drawn.groupBy(*keys).agg(F.sort_array(F.collect_set("__order")).alias("__splits"))
+    known = totals.join(splits, keys, "left").select("*", every)
+    bucket = F.coalesce(F.size(F.filter("__splits", lambda s: s <= F.col("__order"))), F.lit(0))
+    return rows.join(known, [*keys, "__salt"]).withColumn("__bucket", bucket).drop("__splits", "__salt", "__lot", "__order")
+
+
 def first_per(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """One row per key, the first in the given order."""
     return first_n(df, keys, order, 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docgauge import constants as K
 from docgauge.functions.dates import to_date
-from docgauge.operators.common import first_n
+from docgauge.operators.common import first_n, order_buckets
 
 
 def crawl_plan(requests: DataFrame, delays: DataFrame | None = None, budget: int = K.REQUEST_BUDGET) -> DataFrame:
@@ -48,22 +48,20 @@ def spacing_after(refusals: Column) -> Column:
     return F.when(refusals > 0, F.least(F.lit(K.MAX_REFUSED_INTERVAL_MS), doubled)).otherwise(F.lit(K.MIN_INTERVAL_MS))
 
 
-def refusal_backoff(log: DataFrame, settled: int = 3) -> DataFrame:
-    """Adds ``refusals`` so far (counted up to ``settled``) and ``spacing_ms`` to fetches.
+def refusal_backoff(log: DataFrame, per_bucket: int = 100_000) -> DataFrame:
+    """Adds ``refusals``, an origin's refused answers up to and with this one, and ``spacing_ms`` to fetches.
 
-    ``log``: ``origin, fetched_at, fetch_ord, status`` and more. Spacing stops growing at the third refusal, so only
-    the times of an origin's first three refusals matter. They come from a bounded top-k and join back on origin:
-    no window ever holds the whole history of an origin.
+    ``log``: ``origin, fetched_at, fetch_ord, status`` and more. Histories are cut into buckets in order of time; refusals are counted in
+    each, the sums of the earlier ones are carried over, and only within a bucket does a window run. So an origin with most of the log is
+    spread like any other. Rows of one time and ordinal count each other.
     """
-    refused = log.filter(F.col("status").isin(429, 503)).select("origin", "fetched_at", "fetch_ord")
-    first = first_n(refused, ["origin"], ["fetched_at", "fetch_ord"], settled)
-    marks = first.groupBy("origin").agg(
-        F.array_sort(F.collect_list(F.struct("fetched_at", "fetch_ord"))).alias("marks")
-    )
-    here = F.struct("fetched_at", "fetch_ord")
-    joined = log.join(marks, "origin", "left")
-    seen = F.coalesce(F.size(F.filter("marks", lambda m: m <= here)), F.lit(0))
-    return joined.withColumn("refusals", seen).withColumn("spacing_ms", spacing_after(F.col("refusals"))).drop("marks")
+    refused = F.coalesce(F.col("status").isin(429, 503), F.lit(False)).cast("int")
+    placed = order_buckets(log.withColumn("__refused", refused), ["origin"], F.struct("fetched_at", "fetch_ord"), per_bucket=per_bucket)
+    sums = placed.groupBy("origin", "__bucket").agg(F.sum("__refused").alias("__n"))
+    carried = sums.withColumn("__before", F.sum("__n").over(Window.partitionBy("origin").orderBy("__bucket")) - F.col("__n")).drop("__n")
+    here = F.sum("__refused").over(Window.partitionBy("origin", "__bucket").orderBy("fetched_at", "fetch_ord"))
+    rows = placed.join(carried, ["origin", "__bucket"]).withColumn("refusals", F.col("__before") + here)
+    return rows.withColumn("spacing_ms", spacing_after(F.col("refusals"))).select(*log.columns, "refusals", "spacing_ms")
 
 
 def fetch_stats(log: DataFrame) -> DataFrame:

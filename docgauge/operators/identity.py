@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docgauge import constants as K
@@ -10,12 +12,23 @@ from docgauge.functions.let import bind
 from docgauge.operators.common import first_per
 
 
-def suffix_table(spark: SparkSession, public=K.PUBLIC_SUFFIXES, private=K.PRIVATE_SUFFIXES) -> DataFrame:
-    """The suffix dimension in the shape ``registrable`` expects; pass the full public list for real runs."""
+def suffix_table(spark: SparkSession, public: Iterable[str], private: Iterable[str]) -> DataFrame:
+    """The suffix dimension in the shape ``registrable`` expects, from rules as the public list writes them: ``co.uk``, ``*.ck``, ``!www.ck``."""
     rows = [(s, False) for s in public] + [(s, True) for s in private]
     return spark.createDataFrame(rows, "suffix string, private boolean")
 
 
+def read_suffix_list(spark: SparkSession, path: str) -> DataFrame:
+    """The public suffix list as a file: a rule a line, comments after ``//``, private rules between their two marks."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
+    opened, closed = F.col("line").contains("BEGIN PRIVATE DOMAINS"), F.col("line").contains("END PRIVATE DOMAINS")
+    marks = lines.agg(F.min(F.when(opened, F.col("at"))).alias("first"), F.min(F.when(closed, F.col("at"))).alias("last"))
+    first, last = marks.first()
+    private = F.lit(False) if first is None else (F.col("at") > first) & (F.lit(last is None) | (F.col("at") < F.lit(last)))
+    rule = F.regexp_extract(F.trim("line"), r"^([^\s/]\S*)", 1)
+    return lines.filter(rule != "").select(F.lower(rule).alias("suffix"), private.alias("private"))
+
+
 def normalize_submitted_url(df: DataFrame, url: str = "url") -> DataFrame:
     """Adds https, lower-cases the host, drops its closing dot and tracking parameters.
 
@@ -64,8 +77,9 @@ def guess_scope(df: DataFrame, url: str = "submitted", prefix: str = "") -> Data
 def registrable(df: DataFrame, host: str, suffixes: DataFrame, prefix: str = "") -> DataFrame:
     """Adds ``base_domain`` (private suffixes allowed), ``subdomain_label`` and ``name_core`` of a host column.
 
-    Distinct hosts are matched once, each exploded into its own suffixes and joined on equality; the longest match
-    wins. The result joins back on host, so a host holding most rows costs one dimension row.
+    Distinct hosts are matched once, each exploded into the rules that could name its suffixes (plain, with a wildcard for the first label, an
+    exception) and joined on equality; the longest match wins, and an exception above all, whose suffix is one label shorter. The result
+    joins back on host, so a host holding most rows costs one dimension row.
     """
     hosts = df.select(F.col(host).alias("__host")).filter(F.col("__host").isNotNull()).distinct()
     labels = F.split(U.bare_host(F.col("__host")), r"\.")
@@ -73,13 +87,18 @@ def registrable(df: DataFrame, host: str, suffixes: DataFrame, prefix: str = "")
     exploded = (
         hosts.withColumn("labels", labels)
         .select("__host", "labels", F.explode(F.sequence(F.lit(1), size)).alias("n"))
-        .withColumn("suffix", F.array_join(F.slice("labels", size - F.col("n") + 1, F.col("n")), "."))
+        .withColumn("plain", F.array_join(F.slice("labels", size - F.col("n") + 1, F.col("n")), "."))
     )
+    wild = F.concat(F.lit("*"), F.regexp_replace("plain", r"^[^.]*", ""))
+    written = ((F.col("plain"), 0), (wild, 0), (F.concat(F.lit("!"), F.col("plain")), 1))
+    rules = F.array(*[F.struct(suffix.alias("suffix"), F.lit(exception).alias("exception")) for suffix, exception in written])
+    exploded = exploded.select("__host", "labels", "n", F.inline(rules)).filter((F.col("suffix") != "*") | (F.col("n") == 1))
     matched = exploded.join(suffixes, "suffix", "left")
+    rank = F.struct("exception", (F.col("n") - F.col("exception")).alias("size"))
     best = matched.groupBy("__host").agg(
         F.first("labels").alias("labels"),
-        F.max(F.when(F.col("private").isNotNull(), F.col("n"))).alias("any_n"),
-        F.max(F.when(~F.col("private"), F.col("n"))).alias("public_n"),
+        F.max(F.when(F.col("private").isNotNull(), rank))["size"].alias("any_n"),
+        F.max(F.when(~F.col("private"), rank))["size"].alias("public_n"),
     )
     # An unknown top-level label counts as a suffix of its own, as the public list's default rule says.
     any_n, public_n = F.coalesce("any_n", F.lit(1)), F.coalesce("public_n", F.lit(1))

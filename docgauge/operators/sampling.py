@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docgauge import constants as K
 from docgauge.functions import urls as U
-from docgauge.operators.common import first_n, first_per
-from docgauge.session import cut_lineage
+from docgauge.operators.common import first_n, first_per, order_buckets
 
 
 def even_index(position: Column, total: Column, count: int) -> Column:
@@ -25,8 +24,9 @@ def pick_evenly(df: DataFrame, keys: list[str], value: str, count: int, bounded:
     """Every Nth distinct value of a group in sorted order, ``count`` in all.
 
     ``bounded`` says a limit upstream already holds groups to a few thousand rows (a sitemap's 5,000 entries), so
-    ranking inside one window is safe. Otherwise rows are range-partitioned on (key, value) and ranked from
-    per-partition counts, so no group is ever sorted in one task.
+    ranking inside one window is safe. Otherwise groups are cut into buckets by splitters that hashes of their own values choose, and only
+    buckets that hold a wanted rank are sorted (``_ranked_buckets``): no group is sorted in one task, and computing any part of it
+    again gives the same rows.
     """
     distinct = df.select(*keys, value).distinct()
     if bounded:
@@ -38,23 +38,22 @@ def pick_evenly(df: DataFrame, keys: list[str], value: str, count: int, bounded:
             }
         )
     else:
-        ranked = _ranked_by_range(distinct, keys, value)
+        ranked = _ranked_buckets(distinct, keys, value, count)
     return ranked.filter(even_index(F.col("__pos"), F.col("__total"), count)).drop("__pos", "__total")
 
 
-def _ranked_by_range(distinct: DataFrame, keys: list[str], value: str) -> DataFrame:
-    # The partition number of a range shuffle must not change between the two uses, hence the checkpoint.
-    placed = cut_lineage(distinct.repartitionByRange(*keys, value).withColumn("__pid", F.spark_partition_id()))
-    counts = placed.groupBy(*keys, "__pid").agg(F.count("*").alias("__n"))
-    group = Window.partitionBy(*keys)
-    offsets = counts.select(
-        *keys, "__pid",
-        (F.sum("__n").over(group.orderBy("__pid")) - F.col("__n")).alias("__before"),
-        F.sum("__n").over(group).alias("__total"),
-    )
-    local = placed.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys, "__pid").orderBy(value)))
-    joined = local.join(offsets, [*keys, "__pid"])
-    return joined.withColumn("__pos", F.col("__before") + F.col("__rn") - 1).drop("__pid", "__before", "__rn")
+def _ranked_buckets(distinct: DataFrame, keys: list[str], value: str, count: int) -> DataFrame:
+    """Adds ``__pos`` and ``__total`` to the rows of buckets that hold a rank of ``even_index``; the other rows are left out."""
+    placed = order_buckets(distinct, keys, F.col(value))
+    sizes = placed.groupBy(*keys, "__bucket", "__total").agg(F.count("*").alias("__n"))
+    order = Window.partitionBy(*keys).orderBy("__bucket")  # at most some thousand buckets a group
+    sizes = sizes.withColumn("__before", F.sum("__n").over(order) - F.col("__n"))
+    ranks = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.floor(i * (F.col("__total") / F.lit(float(count)))))
+    held = F.exists(ranks, lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__n")))
+    sizes = sizes.filter((F.col("__total") <= count) | held).select(*keys, "__bucket", "__before")
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(value)
+    rows = placed.join(sizes, [*keys, "__bucket"])
+    return rows.withColumn("__pos", F.col("__before") + F.row_number().over(inside) - 1).drop("__bucket", "__before")
 
 
 def choose_link_targets(references: DataFrame, sites: DataFrame) -> DataFrame:

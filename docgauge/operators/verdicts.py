@@ -10,7 +10,7 @@ from docgauge.functions.numbers import plural
 from docgauge.operators.common import native_check, ordered_texts
 
 from docgauge.operators.sampling import anchor_sample, choose_link_targets, pick_evenly
-from docgauge.session import kept
+from docgauge.session import Scope, kept
 
 _HEAD_UNRELIABLE = (403, 404, 405, 410, 501)
 
@@ -112,10 +112,12 @@ def anchor_verdicts(
     )
 
 
-def links_and_anchors(sites: DataFrame, facts: DataFrame, references: DataFrame, responses: DataFrame) -> DataFrame:
+def links_and_anchors(
+    sites: DataFrame, facts: DataFrame, references: DataFrame, responses: DataFrame, scope: Scope | None = None
+) -> DataFrame:
     """The check row per site. ``references`` from ``collect_references``; at most 60 verdicts per site reach it."""
     targets = choose_link_targets(references, sites)
-    links = kept(link_verdicts(targets, facts, responses))
+    links = kept(link_verdicts(targets, facts, responses), scope)
     anchors = anchor_verdicts(anchor_sample(references, sites), facts, links, responses)
     entries = links.select(
         "site_key", F.when(F.col("internal"), 0).otherwise(1).alias("kind"), "page_ord", "ref_ord",

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from docgauge import constants as K
 from docgauge.functions import urls as U
 from docgauge.operators.common import first_n, first_per, numbered
-from docgauge.session import kept
+from docgauge.session import Scope, kept
 
 
 def decode_xml(value: Column) -> Column:
@@ -95,7 +95,7 @@ def sitemap_candidates(sites: DataFrame, robots_sitemaps: DataFrame) -> DataFram
 
 
 def choose_scope_sitemap(
-    sites: DataFrame, robots_sitemaps: DataFrame, documents: DataFrame
+    sites: DataFrame, robots_sitemaps: DataFrame, documents: DataFrame, scope: Scope | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """The first candidate with entries in scope, else the first that parsed.
 
@@ -112,7 +112,7 @@ def choose_scope_sitemap(
         F.col("u_valid") & U.in_scope(F.col("u_host"), F.col("u_path"), F.col("r_host"), F.col("r_path"), pages_only=False)
     )
     # Read twice below: to find the first useful candidate and to return its entries.
-    inside = kept(inside.select("site_key", "candidate_ord", "entry_ord", "loc", "lastmod"))
+    inside = kept(inside.select("site_key", "candidate_ord", "entry_ord", "loc", "lastmod"), scope)
     useful = inside.groupBy("site_key").agg(F.min("candidate_ord").alias("useful_ord"))
     found = parsed.groupBy("site_key").agg(
         F.min(F.struct("candidate_ord", "candidate")).alias("first_found")

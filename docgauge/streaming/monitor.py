@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docgauge.operators import scoring
+from docgauge.sources.sinks import ReportStore
 
 
 def stream_fetch_monitor(log: DataFrame, window: str = "10 minutes", lateness: str = "5 minutes") -> DataFrame:
@@ -51,6 +52,8 @@ def stream_report_upsert(
     load_coverage: Callable[[], DataFrame],
     write: Callable[[DataFrame, int], None],
     checkpoint: str,
+    state: DataFrame | None = None,
+    caps: DataFrame | None = None,
 ) -> StreamingQuery:
     """Each batch of new check results rescored with everything known about the touched sites.
 
@@ -58,7 +61,7 @@ def stream_report_upsert(
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        write(refresh_touched(rows, load_checks(), load_coverage()), number)
+        write(refresh_touched(rows, load_checks(), load_coverage(), state, caps), number)
 
     return (
         arriving.writeStream.foreachBatch(batch)
@@ -66,3 +69,13 @@ def stream_report_upsert(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def upsert_into(store: ReportStore, version: str, first_run: int = 0) -> Callable[[DataFrame, int], None]:
+    """A ``write`` for ``stream_report_upsert``: batch n becomes run ``first_run`` + n of a report store. A batch that is run again, by
+    a restart or from a new checkpoint, replaces its own run, and readers see the latest run of each site."""
+
+    def write(reports: DataFrame, number: int) -> None:
+        store.write(reports, version, first_run + number)
+
+    return write

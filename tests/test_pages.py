@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from docgauge import schemas as S
+from docgauge import constants as K, schemas as S
 from docgauge.functions import dates as D, html as H, text as T, urls as U
 from docgauge.operators import agent_text as AT, crawl, identity as I, pages as P, protocols
 from docgauge.sources import llms, robots, sitemaps
@@ -75,8 +75,16 @@ def test_identity(spark):
         [("docs.github.com", "github.com"), ("docs.example.co.uk", "example.co.uk"), ("www.example.co.uk", "example.co.uk"), ("foo.readthedocs.io", "foo.readthedocs.io")],
         "h string, want string",
     )
-    for r in I.registrable(rows, "h", I.suffix_table(spark)).collect():
+    for r in I.registrable(rows, "h", I.suffix_table(spark, K.PUBLIC_SUFFIXES, K.PRIVATE_SUFFIXES)).collect():
         assert r.base_domain == r.want
+    rules = ("com", "kr", "co.kr", "mx", "com.mx", "ck", "*.ck", "!www.ck", "jp", "*.kawasaki.jp", "!city.kawasaki.jp")
+    hosts = spark.createDataFrame(
+        [("docs.acme.co.kr", "acme.co.kr", "acme"), ("docs.acme.com.mx", "acme.com.mx", "acme"), ("a.b.shop.ck", "b.shop.ck", "b"), ("www.ck", "ck", None), ("x.www.ck", "www.ck", "www"),
+         ("a.b.c.kawasaki.jp", "b.c.kawasaki.jp", "b"), ("a.city.kawasaki.jp", "city.kawasaki.jp", "city"), ("docs.acme.unknown", "acme.unknown", "acme"), ("docs.my.hosted.com", "my.hosted.com", "my")],
+        "h string, want string, core string",
+    )
+    for r in I.registrable(hosts, "h", I.suffix_table(spark, rules, ("hosted.com",))).collect():
+        assert r.base_domain == r.want and (r.core is None or r.name_core == r.core), r
     urls = spark.createDataFrame(
         [("https://github.com/", "github.com"), ("https://www.example.co.uk/", "example.co.uk"), ("https://example.com/blog/", "example.com/blog"),
          ("https://support.example.com/hc/en-us?utm_source=x#top", "support.example.com/hc/en-us"), ("https://docs.example.com/en-us/v2/start", "docs.example.com/en-us/v2/start")],
@@ -90,6 +98,12 @@ def test_identity(spark):
     assert not value(spark, U.same_page(F.lit("https://d.test/docs/keys"), F.lit("https://d.test/docs/keys-old")))
 
 
+def test_suffix_list_file(spark, tmp_path):
+    path = tmp_path / "list.dat"
+    path.write_text("// ===BEGIN ICANN DOMAINS===\n\nco.kr\n*.ck  // a note\n!www.ck\n// ===END ICANN DOMAINS===\n// ===BEGIN PRIVATE DOMAINS===\nhosted.com\n// ===END PRIVATE DOMAINS===\n")
+    assert sorted(map(tuple, I.read_suffix_list(spark, str(path)).collect())) == [("!www.ck", False), ("*.ck", False), ("co.kr", False), ("hosted.com", True)]
+
+
 PRIVATE = (
     "127.0.0.1 0.0.0.0 10.1.2.3 172.16.0.1 192.168.1.1 169.254.169.254 100.64.1.1 198.18.0.1 224.0.0.1 255.255.255.255 [::1] [::] [::ffff:127.0.0.1] "
     "[::ffff:10.0.0.1] [::7f00:1] [::a00:1] [64:ff9b::7f00:1] [64:ff9b:1::1] [2002:7f00:1::] [2001:0:4136:e378:8000:63bf:3fff:fdd2] [fc00::1] [fd12::1] "

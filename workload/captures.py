@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from docgauge import constants as K
+from docgauge.operators.identity import suffix_table
 
 SPEC_JSON = (
     '{"openapi":"3.0.0","servers":[{"url":"https://api.example.com/v1"}],"paths":{'
@@ -28,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def suffixes(spark: SparkSession) -> DataFrame:
+    """The few suffixes that the derived hosts have."""
+    return suffix_table(spark, K.PUBLIC_SUFFIXES, K.PRIVATE_SUFFIXES)
+
+
 def lit2(n: Column) -> Column:
     return F.lpad(n.cast("string"), 2, "0")
 

@@ -11,7 +11,7 @@ from docgauge.operators import access, agent_text as AT, apispec, identity as I,
 from docgauge.session import kept
 from docgauge.sources import llms, robots, sitemaps, specs
 from workload import captures as C
-from workload.registry import DECLARED, DOCS, IN_SCOPE, PAGE_TEXT, TARGETS, collapse, query, refs
+from workload.registry import DECLARED, DOCS, IN_SCOPE, PAGE_TEXT, TARGETS, collapse, query, refs, scope
 
 NOW = "2026-09-30"
 
@@ -27,7 +27,7 @@ def day(column: str):
 def facts(spark, sf, sampled=False):
     """Facts of all derived pages, or of the sample; the sample's facts feed several checks and are computed once."""
     if sampled:
-        return kept(P.page_facts(C.pages(spark, sf), now()))
+        return kept(P.page_facts(C.pages(spark, sf), now()), scope())
     return P.page_facts(C.pages(spark, sf), now())
 
 
@@ -208,7 +208,7 @@ def _normalize_api_path(spark, sf):
     FROM entry LEFT JOIN voted v USING (site_key) JOIN n USING (site_key)""",
 )
 def _site_name(spark, sf):
-    sites = I.registrable(C.sites(spark, sf), "domain", I.suffix_table(spark))
+    sites = I.registrable(C.sites(spark, sf), "domain", C.suffixes(spark))
     return P.site_name(facts(spark, sf), sites)
 
 
@@ -354,7 +354,7 @@ def _anchor_verdicts(spark, sf):
 def _links_and_anchors(spark, sf):
     page_facts = facts(spark, sf, True)
     collected = P.collect_references(P.content_references(page_facts))
-    rows = verdicts.links_and_anchors(C.sites(spark, sf), page_facts, collected, C.fetch_log(spark, sf))
+    rows = verdicts.links_and_anchors(C.sites(spark, sf), page_facts, collected, C.fetch_log(spark, sf), scope())
     return rows.select("site_key", "status", "earned", F.array_join("evidence", "; ").alias("evidence"))
 
 
@@ -376,7 +376,7 @@ def _pick_evenly(spark, sf):
 
 def scope_sitemap(spark, sf):
     files = robots.robots_file_state(C.robots_responses(spark, sf))
-    return sitemaps.choose_scope_sitemap(C.sites(spark, sf), robots.robots_sitemaps(files), C.sitemap_documents(spark, sf))
+    return sitemaps.choose_scope_sitemap(C.sites(spark, sf), robots.robots_sitemaps(files), C.sitemap_documents(spark, sf), scope())
 
 
 # A robots.txt that cannot be read or does not exist declares no sitemap.
@@ -517,7 +517,7 @@ def _sitemap_live(spark, sf):
 
 @query(
     "page_sample",
-    f"""{_MAP}, few AS (SELECT site_key, d, url FROM docs WHERE l = 'en' OR d % 50 = 0),
+    f"""{_MAP}, few AS (SELECT site_key, d, url FROM docs WHERE d % 10 = 1 OR d % 10 > 5),
     f AS (SELECT site_key, count(*) AS found FROM few GROUP BY 1), g AS (SELECT site_key, count(*) AS listed FROM in_scope GROUP BY 1),
     ch AS (SELECT coalesce(f.site_key, g.site_key) AS site_key, listed, coalesce(found, 0) < 5 AND coalesce(listed, 0) >= 5 AS from_map FROM f FULL JOIN g ON f.site_key = g.site_key),
     src AS (SELECT i.site_key, loc FROM in_scope i JOIN ch ON i.site_key = ch.site_key AND from_map),
@@ -526,9 +526,10 @@ def _sitemap_live(spark, sf):
     UNION ALL SELECT p.site_key, p.loc, listed FROM picks p JOIN ch ON p.site_key = ch.site_key""",
 )
 def _page_sample(spark, sf):
-    sampled = C.docs(spark, sf).filter((F.col("l") == "en") | (F.col("d") % 50 == 0)).select(
-        "site_key", F.col("d").cast("int").alias("page_ord"), "url", F.lit(99).alias("total_pages")
-    )
+    """Every document's page, found if the log says that it answered; sites where too few did take pages from their sitemap."""
+    answered = C.fetch_log(spark, sf).filter((F.col("method") == "GET") & (F.col("status") == 200)).select("site_key", "url").distinct()
+    pages = C.docs(spark, sf).join(answered, ["site_key", "url"], "left_semi")
+    sampled = pages.select("site_key", F.col("d").cast("int").alias("page_ord"), "url", F.lit(99).alias("total_pages"))
     return sampling.page_sample(sampled, scope_sitemap(spark, sf)[1]).select("site_key", "url", "total_pages")
 
 
@@ -607,7 +608,7 @@ def spec_tables(spark, sf, page_facts=None):
     page_facts = facts(spark, sf, True) if page_facts is None else page_facts
     links = P.content_links(P.content_references(page_facts))
     candidates = specs.spec_candidates(C.sites(spark, sf), C.llms_txt(spark, sf), links)
-    return specs.load_spec(candidates, C.spec_answers(spark, sf))
+    return specs.load_spec(candidates, C.spec_answers(spark, sf), scope())
 
 
 @query(
@@ -700,7 +701,7 @@ def _advertised(spark, sf):
       ELSE 'No MCP server was found for these docs.' END AS message FROM sites""",
 )
 def _mcp_server(spark, sf):
-    rows = protocols.mcp_server(C.sites(spark, sf), C.llms_txt(spark, sf), C.interface_answers(spark, sf), I.suffix_table(spark))
+    rows = protocols.mcp_server(C.sites(spark, sf), C.llms_txt(spark, sf), C.interface_answers(spark, sf), C.suffixes(spark))
     return rows.select("site_key", "status", "message")
 
 
@@ -732,5 +733,5 @@ def _agent_skills(spark, sf):
       UNION ALL SELECT 'agent-skills', CASE WHEN sn % 5 = 2 THEN 'found' ELSE 'missing' END FROM sites) GROUP BY 1, 2""",
 )
 def _additional(spark, sf):
-    rows = protocols.additional_checks(C.sites(spark, sf), C.llms_txt(spark, sf), C.interface_answers(spark, sf), I.suffix_table(spark))
+    rows = protocols.additional_checks(C.sites(spark, sf), C.llms_txt(spark, sf), C.interface_answers(spark, sf), C.suffixes(spark))
     return rows.groupBy("id", "status").agg(F.count("*").alias("sites"))

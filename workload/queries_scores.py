@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from docgauge import constants as K
+from docgauge import constants as K, schemas as SCHEMAS
 from docgauge.functions import urls as U
 from docgauge.functions.numbers import grade_for, status_for_credit
-from docgauge.operators import agentdocs as G, crawl, fixes as X, report as R, scoring as S
+from docgauge.operators import agentdocs as G, answers as A, crawl, fixes as X, report as R, scoring as S
 from docgauge.operators.common import first_n, ordered_texts
-from docgauge.plans.final import finalize_report
+from docgauge.plans.final import Findings, final_report, finalize_report
+from docgauge.session import shared_folder, stored
 from docgauge.sources.llms import llms_links
-from docgauge.streaming.monitor import refresh_touched
+from docgauge.sources.sinks import ReportStore
+from docgauge.streaming.monitor import stream_report_upsert, upsert_into
 from workload import captures as C
 from workload.queries_sites import label_rollup, labelled
-from workload.registry import CHECKS, DOCS, GRADE, REASONS, query
+from workload.registry import CHECKS, DOCS, GRADE, REASONS, query, scope
 
 _PCT = "CASE WHEN possible > 0 THEN CAST(floor(earned / possible * 100 + 0.5::DOUBLE) AS INT) END"
 
@@ -111,11 +115,21 @@ def _leaderboard(spark, sf):
     f"""{_SCORE_REPORT} SELECT site_key, score, len(rs) > 0 AS provisional FROM rep WHERE site_key IN (SELECT site_key FROM checks WHERE k % 50 = 0)""",
 )
 def _refresh(spark, sf):
-    """One batch of the upsert job: the sites that arriving results touch, rescored with everything known."""
-    known = C.check_results(spark, sf)
-    capped = C.site_caps(spark, sf)
-    arrived = known.filter(F.col("check_ord") % 50 == 0)
-    return refresh_touched(arrived, known, C.site_coverage(spark, sf), C.answer_states(spark, sf), capped).select("site_key", "score", "provisional")
+    """The stream itself: results arrive as files, one a batch, and the touched sites' reports are upserted into a store. The stream runs
+    twice from one checkpoint and once more from a new one, which repeats all its batches."""
+    folder = f"{shared_folder(spark)}/docgauge-{spark.sparkContext.applicationId}/upsert-{uuid.uuid4().hex}"
+    C.check_results(spark, sf).write.parquet(f"{folder}/checks")
+    known = spark.read.schema(SCHEMAS.CHECK_RESULTS).parquet(f"{folder}/checks")
+    known.filter(F.col("check_ord") % 50 == 0).repartition(4, "check_ord").write.parquet(f"{folder}/arriving")
+    reports = scores(spark, sf)
+    store = ReportStore.like(reports, f"{folder}/reports")
+    for checkpoint in ("first", "first", "again"):
+        arriving = spark.readStream.schema(SCHEMAS.CHECK_RESULTS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arriving")
+        stream_report_upsert(
+            arriving, lambda: known, lambda: C.site_coverage(spark, sf), upsert_into(store, K.METHODOLOGY_VERSION), f"{folder}/checkpoint-{checkpoint}",
+            C.answer_states(spark, sf), C.site_caps(spark, sf),
+        ).awaitTermination()
+    return store.read(K.METHODOLOGY_VERSION).select("site_key", "score", "provisional")
 
 
 _FIX = """
@@ -434,6 +448,98 @@ def _report_sink(spark, sf):
     checks = C.check_results(spark, sf)
     scored = scores(spark, sf)
     report = R.nested_report(scored.select("site_key"), checks, extras, X.top_fixes(checks), scored)
-    return report.select(
+    store = ReportStore.like(report, f"{shared_folder(spark)}/docgauge-{spark.sparkContext.applicationId}/reports-{uuid.uuid4().hex}")
+    for _ in range(2):  # the same run again replaces itself
+        store.write(report, K.METHODOLOGY_VERSION, 1)
+    return store.read(K.METHODOLOGY_VERSION).select(
         "site_key", "score", F.size("checks").alias("n_checks"), F.coalesce(F.size("top_fixes"), F.lit(0)).alias("n_fixes"), "methodology_version"
     )
+
+
+def question_entries(spark, sf):
+    """Six graded questions on each document, for the site of the customer that follows its number."""
+    d, q = F.col("doc_id"), F.col("question_ord")
+    rows = C.table(spark, sf, "documents").select("doc_id", F.length("text").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(5)).cast("array<bigint>")).alias("question_ord"))
+    h = (d * 7 + q * 3 + F.col("n")) % 10
+    verdict = F.when(h < 2, "not-found").when(h < 5, "incorrect").otherwise("correct")
+    reason = F.when(h < 2, C.text("The agent never reached /page-", d, ", the page with the answer.")).when(
+        h < 5, C.text("The agent read /page-", d, " but answered incorrectly: no.")
+    ).otherwise(C.text("Answered correctly from /page-", d, "."))
+    return rows.select(
+        (d + 1).cast("string").alias("site_key"), q, C.text("What does part ", q, " of the ", F.col("n"), " characters say?").alias("question"),
+        C.text("https://docs.example.com/page-", d).alias("source_url"), F.lit("It says so.").alias("answer"), verdict.alias("verdict"), reason.alias("reason"),
+        F.lit(None).cast("string").alias("cause"), (h != 1).alias("retrieved"), F.when(h >= 2, h % 2 == 0).alias("supported"),
+        F.array(C.text("https://docs.example.com/page-", d)).alias("pages_visited"), F.array().cast("array<string>").alias("cited_urls"),
+    )
+
+
+def findings(spark, sf):
+    sites, _, extras = prompt_inputs(spark, sf)
+    notes, _ = technical_notes(spark, sf)
+    checks = stored(C.check_results(spark, sf), scope())
+    return Findings(sites.drop("pages_tested", "answer_state"), checks, extras, C.site_coverage(spark, sf), stored(notes, scope()), C.site_caps(spark, sf))
+
+
+_OF = "https://docs.example.com/page-"
+_ENTRIES = f"""
+h AS (SELECT doc_id AS d, q, (doc_id * 7 + q * 3 + length(text)) % 10 AS h, length(text) AS n FROM documents, (SELECT unnest(range(6)) AS q)),
+entry AS (SELECT CAST(d + 1 AS VARCHAR) AS site_key, q, 'What does part ' || q || ' of the ' || n || ' characters say?' AS question, '{_OF}' || d AS source_url,
+  CASE WHEN h < 2 THEN 'not-found' WHEN h < 5 THEN 'incorrect' ELSE 'correct' END AS verdict, h <> 1 AS retrieved, CASE WHEN h >= 2 THEN h % 2 = 0 END AS supported,
+  CASE WHEN h < 2 THEN 'The agent never reached /page-' || d || ', the page with the answer.' WHEN h < 5 THEN 'The agent read /page-' || d || ' but answered incorrectly: no.' END AS reason FROM h),
+roll AS (SELECT site_key, count(*) AS total, sum((verdict = 'correct')::INT) AS correct, sum(retrieved::INT) AS retrieved, sum((verdict <> 'not-found')::INT) AS answered,
+  sum(coalesce(supported, FALSE)::INT) AS supported, sum((verdict = 'not-found')::INT) AS reach, sum((verdict = 'incorrect')::INT) AS wrong FROM entry GROUP BY 1),
+parts AS (SELECT site_key, 31 AS k, 7.0::DOUBLE AS max, retrieved AS good, total AS base FROM roll UNION ALL SELECT site_key, 32, 14.0::DOUBLE, correct, total FROM roll
+  UNION ALL SELECT site_key, 33, 7.0::DOUBLE, supported, answered FROM roll),
+checks AS (SELECT * FROM checks0 WHERE grp <> 'answerability' UNION ALL
+  SELECT site_key, k, 'answerability', '', CASE WHEN base = 0 THEN 'skip' WHEN good = base THEN 'pass' WHEN good::DOUBLE / base >= 0.5 THEN 'warn' ELSE 'fail' END, max,
+    CASE WHEN base > 0 THEN floor(max * (good::DOUBLE / base) * 10 + 0.5::DOUBLE) / 10 END, CASE WHEN good < base THEN 'x' END
+  FROM parts WHERE site_key IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer)),
+st AS (SELECT CAST(c_custkey AS VARCHAR) AS site_key, CASE WHEN roll.site_key IS NULL THEN 'unavailable' ELSE 'complete' END AS state
+  FROM customer LEFT JOIN roll ON roll.site_key = CAST(c_custkey AS VARCHAR)),
+"""
+# The notes of the technical stage count its own unverified checks; only the provisional line is restated.
+_FINAL_NOTES = _NOTES.replace("unverified > 0", "u0.n > 0").replace("FROM rep)", "FROM rep JOIN (SELECT site_key, sum((status = 'unverified')::INT) AS n FROM checks0 GROUP BY 1) u0 USING (site_key))")
+_FINAL = (
+    f"WITH {CHECKS}, {_CAPPED}, {_GROUPS}, {_REPORT}, {_FIX}, {_FINAL_NOTES}"
+    .replace("checks AS (", "checks0 AS (", 1)
+    .replace("totals AS (", _ENTRIES.lstrip() + "totals AS (", 1)
+    .replace(_GROUPS[_GROUPS.index("st AS ("):_GROUPS.index("grid AS (")], "", 1)
+)
+
+
+@query(
+    "final_report",
+    _FINAL + """,
+    lost AS (SELECT site_key, floor(sum(max - earned) * 10 + 0.5::DOUBLE) / 10 AS points FROM checks WHERE grp = 'answerability' AND earned IS NOT NULL GROUP BY 1),
+    lead AS (SELECT r.site_key, 'Agents could not answer ' || (reach + wrong) || ' of ' || total || ' questions' AS title, points, 0 AS o FROM roll r JOIN lost USING (site_key)
+      WHERE correct::DOUBLE / total < 0.8 AND reach + wrong >= 2),
+    merged AS (SELECT site_key, title, points, o FROM lead UNION ALL
+      SELECT t.site_key, CASE t.k WHEN 31 THEN 'Agents reached the pages they needed' WHEN 32 THEN 'Agents answered correctly' WHEN 33 THEN 'Answers were supported' ELSE 'Check ' || t.k END, t.points, t.fix_ord
+      FROM top t LEFT JOIN lead l USING (site_key) WHERE l.site_key IS NULL OR t.grp <> 'answerability'),
+    fixed AS (SELECT site_key, title, points, row_number() OVER (PARTITION BY site_key ORDER BY points DESC, o) AS fix_ord FROM merged QUALIFY row_number() OVER (PARTITION BY site_key ORDER BY points DESC, o) <= 3),
+    f AS (SELECT site_key, string_agg(CASE WHEN title LIKE 'Agents could%' OR title LIKE 'Check %' THEN title ELSE 'answer check' END || '=' || points, '; ' ORDER BY fix_ord) AS fixes FROM fixed GROUP BY 1),
+    n AS (SELECT site_key, count(*) AS n_checks FROM checks GROUP BY 1),
+    miss AS (SELECT site_key, count(*) AS n, string_agg(CASE WHEN rn <= 8 THEN '- "' || question || '": ' || reason || ' (source: ' || source_url || ')' END, chr(10) ORDER BY q) AS lines
+      FROM (SELECT *, row_number() OVER (PARTITION BY site_key ORDER BY q) AS rn FROM entry WHERE verdict <> 'correct') GROUP BY 1)
+    SELECT CAST(c_custkey AS VARCHAR) AS site_key, rep.score, rep.earned, n_checks, fixes, CASE WHEN lim.site_key IS NOT NULL THEN array_to_string(list_concat(lim.notes, CASE WHEN st.state = 'unavailable'
+        THEN ['Too few questions could be tested to give a fair score.'] ELSE [] END), ' ') END AS notes,
+      CASE WHEN miss.n IS NULL THEN NULL ELSE 'Questions an agent could not answer (' || miss.n || ')' END AS missed_heading, miss.lines AS missed_lines, roll.total AS n_transcript
+    FROM customer JOIN rep ON rep.site_key = CAST(c_custkey AS VARCHAR) JOIN st USING (site_key) LEFT JOIN lim USING (site_key) LEFT JOIN n USING (site_key) LEFT JOIN f USING (site_key)
+    LEFT JOIN miss USING (site_key) LEFT JOIN roll USING (site_key)""",
+)
+def _final_report(spark, sf):
+    """The whole way: findings of the technical stage and transcripts, the final report of every site, written, read back and digested."""
+    found = findings(spark, sf)
+    entries = stored(question_entries(spark, sf), scope())
+    report = final_report(found, A.answerability_rollup(found.sites, entries), entries, scope())
+    store = ReportStore.like(report, f"{shared_folder(spark)}/docgauge-{spark.sparkContext.applicationId}/final-{uuid.uuid4().hex}")
+    store.write(report, K.METHODOLOGY_VERSION, 1)
+    back = store.read(K.METHODOLOGY_VERSION)
+    title = lambda f: F.when(f["title"].rlike("^(Agents could|Check )"), f["title"]).otherwise("answer check")
+    fixes = F.transform("top_fixes", lambda f: F.concat(title(f), F.lit("="), f["points"].cast("string")))
+    heading = F.nullif(F.regexp_extract("fix_prompt", r"## (Questions an agent could not answer \(\d+\))", 1), F.lit(""))
+    lines = F.array_join(F.filter(F.split("fix_prompt", "\n"), lambda x: F.startswith(x, F.lit('- "'))), "\n")
+    return back.filter(F.col("earned").isNotNull()).select(
+        "site_key", "score", "earned", F.size("checks").alias("n_checks"), F.array_join(fixes, "; ").alias("fixes"), F.array_join("limitations", " ").alias("notes"),
+        heading.alias("missed_heading"), F.when(heading.isNotNull(), lines).alias("missed_lines"), F.size("transcript").alias("n_transcript"),
+    )

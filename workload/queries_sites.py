@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from docgauge.functions import text as T, urls as U
 from docgauge.operators import answers as A, crawl, identity as I, protocols
+from docgauge.session import shared_folder
 from docgauge.sources import capture
 from docgauge.streaming.monitor import stream_fetch_monitor
 from workload import captures as C
@@ -107,7 +111,7 @@ _BASE = r"""regexp_extract(bare, '([^.]+\.[^.]+)$', 1)"""
     CASE WHEN len(string_split(host, '.')) > 2 THEN string_split(host, '.')[1] END AS subdomain_label FROM v""",
 )
 def _base_domain(spark, sf):
-    rows = I.registrable(U.with_url(given(spark, sf), "url"), "u_host", I.suffix_table(spark))
+    rows = I.registrable(U.with_url(given(spark, sf), "url"), "u_host", C.suffixes(spark))
     return rows.select("page_id", "base_domain", "subdomain_label")
 
 
@@ -119,7 +123,7 @@ def _infer_profile(spark, sf):
     k = F.col("p_partkey")
     url = C.text("https://", F.when(k % 3 == 0, "support").otherwise("docs"), ".acme.co.uk", F.when(k % 5 == 1, "/HC/x").otherwise("/guide/hc"))
     rows = U.with_url(C.table(spark, sf, "part").select("p_partkey", url.alias("url")), "url")
-    rows = I.registrable(rows, "u_host", I.suffix_table(spark))
+    rows = I.registrable(rows, "u_host", C.suffixes(spark))
     return rows.select("p_partkey", I.infer_profile(F.col("subdomain_label"), F.col("u_path")).alias("profile"))
 
 
@@ -129,7 +133,7 @@ def _infer_profile(spark, sf):
     lower(list_filter(segs[1:3], lambda x: regexp_matches(x, '{_LOCALE}'))[1]) AS locale, 'developer-docs' AS profile FROM v""",
 )
 def _url_identity(spark, sf):
-    rows = I.url_identity(given(spark, sf), "url", I.suffix_table(spark))
+    rows = I.url_identity(given(spark, sf), "url", C.suffixes(spark))
     return rows.select("page_id", "page_key", "scope_key", "base_domain", "locale", "profile")
 
 
@@ -233,7 +237,7 @@ def _docs_elsewhere(spark, sf):
         .when(k % 5 == 4, "https://other.com/docs").otherwise(F.concat(docs, F.lit("start"))).alias("final_url"),
     )
     responses = customers.select(answer.alias("a")).select("a.*", F.lit(200).alias("status"), F.lit("text/html").alias("content_type"))
-    return I.docs_elsewhere(sites, responses, I.suffix_table(spark))
+    return I.docs_elsewhere(sites, responses, C.suffixes(spark))
 
 
 # --- crawl planning and counters on the event history ---------------------------------------------
@@ -260,11 +264,11 @@ def _crawl_plan(spark, sf):
 
 @query(
     "refusal_backoff",
-    f"""WITH {_HIST}, r AS (SELECT event_id, sum((status IN (429, 503))::INT) OVER (PARTITION BY origin ORDER BY ts, event_id) AS n FROM h)
-    SELECT event_id AS fetch_ord, CASE WHEN coalesce(n, 0) = 0 THEN 200 WHEN n = 1 THEN 1000 WHEN n = 2 THEN 2000 ELSE 4000 END AS spacing_ms FROM r""",
+    f"""WITH {_HIST}, r AS (SELECT event_id, sum((status IN (429, 503))::INT) OVER (PARTITION BY origin ORDER BY ts, event_id)::BIGINT AS n FROM (SELECT * REPLACE (coalesce(status, 0) AS status) FROM h))
+    SELECT event_id AS fetch_ord, n AS refusals, CASE WHEN coalesce(n, 0) = 0 THEN 200 WHEN n = 1 THEN 1000 WHEN n = 2 THEN 2000 ELSE 4000 END AS spacing_ms FROM r""",
 )
 def _refusal_backoff(spark, sf):
-    return crawl.refusal_backoff(C.fetch_history(spark, sf)).select("fetch_ord", "spacing_ms")
+    return crawl.refusal_backoff(C.fetch_history(spark, sf)).select("fetch_ord", "refusals", "spacing_ms")
 
 
 @query(
@@ -292,10 +296,26 @@ def _fetch_stats(spark, sf):
 
 @query(
     "read_fetch_log",
-    f"""WITH {_HIST} SELECT site_key, status, failure, count(*) AS n FROM h GROUP BY 1, 2, 3""",
+    f"""WITH {_HIST}, days AS (SELECT *, CAST(ts AS DATE) AS day, event_id % 31 = 7 AS cut FROM h)
+    SELECT CAST(day AS VARCHAR) AS fetch_date, count(*) FILTER (NOT cut) AS n_rows, count(*) FILTER (cut) AS n_bad,
+      count(*) FILTER (NOT cut AND status IN (429, 503)) AS refused, count(failure) FILTER (NOT cut) AS failed,
+      coalesce(CAST(sum(CASE WHEN NOT cut THEN event_id END) AS BIGINT), 0) AS ords, coalesce(CAST(sum(CASE WHEN NOT cut THEN length('https://o' || user_id || '.example.com/' || event_id) END) AS BIGINT), 0) AS url_chars
+    FROM days WHERE day > (SELECT min(day) FROM days) GROUP BY 1""",
 )
 def _read_fetch_log(spark, sf):
-    return C.fetch_history(spark, sf).groupBy("site_key", "status", "failure").agg(F.count("*").alias("n"))
+    """The derived log as JSON lines by day, some of them cut short; read back without the first day, bad lines counted."""
+    folder = f"{shared_folder(spark)}/docgauge-{spark.sparkContext.applicationId}/log-{uuid.uuid4().hex}"
+    log = C.fetch_history(spark, sf).withColumn("fetch_date", F.to_date("fetched_at"))
+    line = F.to_json(F.struct("site_key", "fetch_ord", "url", "status", "failure", "fetched_at"))
+    cut = F.when(F.col("fetch_ord") % 31 == 7, F.left(line, F.lit(25))).otherwise(line)
+    log.select(cut.alias("value"), "fetch_date").write.partitionBy("fetch_date").text(folder)
+    second = log.agg(F.date_add(F.min("fetch_date"), 1).cast("string")).first()[0]
+    found = capture.read_fetch_log(spark, folder, "json", since=second)
+    digests = found.rows.groupBy("fetch_date").agg(
+        F.count_if(F.col("status").isin(429, 503)).alias("refused"), F.count("failure").alias("failed"), F.sum("fetch_ord").alias("ords"), F.sum(F.length("url")).alias("url_chars")
+    )
+    rows = found.accounting().join(digests, "fetch_date", "left")
+    return rows.select(F.col("fetch_date").cast("string").alias("fetch_date"), "n_rows", "n_bad", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("refused", "failed", "ords", "url_chars")])
 
 
 @query(
@@ -472,15 +492,27 @@ def _support_rule(spark, sf):
 
 @query(
     "read_transcripts",
-    """SELECT CAST(conv_id AS VARCHAR) AS site_key, sum((role = 'user')::INT) AS questions, sum((role = 'assistant')::INT) AS answers,
-    sum(length(text)) AS chars FROM conversations GROUP BY 1""",
-    whole=('questions', 'answers', 'chars'),
+    f"""WITH {DOCS}, f AS (SELECT site_key, length('Welcome') AS n FROM docs
+      UNION ALL SELECT site_key, CASE WHEN d % 7 = 4 THEN 0 ELSE least(length(text), (d % 5) * 400 + 300) END FROM docs WHERE d % 6 <> 5
+      UNION ALL SELECT site_key, length(text) + 6 FROM docs WHERE d % 12 = 5)
+    SELECT 'questions' AS part, site_key, count(*) AS n, CAST(sum(length('What about topic ' || (d % 37) || '? ')) AS BIGINT) AS chars FROM docs GROUP BY 2
+    UNION ALL SELECT 'source_pages', site_key, count(*), CAST(sum(length(text)) AS BIGINT) FROM docs GROUP BY 2
+    UNION ALL SELECT 'agent_fetches', site_key, count(*), CAST(sum(n) AS BIGINT) FROM f GROUP BY 2
+    UNION ALL SELECT 'answers', site_key, count(*), CAST(sum(length(CASE WHEN d % 9 = 0 THEN '' WHEN d % 9 = 1 THEN 'Not found in the docs.'
+      ELSE 'It is so. See ' || url || ', https://' || site_key || '/docs/ and ' || url || '.' END)) AS BIGINT) FROM docs GROUP BY 2
+    UNION ALL SELECT 'model_usage', CAST(l_orderkey AS VARCHAR), count(*), CAST(sum(CAST(l_quantity * 1000 AS BIGINT)) AS BIGINT) FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 2""",
 )
 def _read_transcripts(spark, sf):
-    turns = capture.read_table(spark, f"{sf}/conversations.parquet", "conv_id bigint, turn bigint, role string, text string")
-    return turns.groupBy(F.col("conv_id").cast("string").alias("site_key")).agg(
-        F.count_if(F.col("role") == "user").alias("questions"), F.count_if(F.col("role") == "assistant").alias("answers"), F.sum(F.length("text")).alias("chars")
-    )
+    """The five derived tables, written under one folder and read back by the reader."""
+    folder = f"{shared_folder(spark)}/docgauge-{spark.sparkContext.applicationId}/transcripts-{uuid.uuid4().hex}"
+    measured = {"questions": F.length("question"), "source_pages": F.length("text"), "agent_fetches": F.length("agent_text"), "answers": F.length("answer"), "model_usage": F.col("input_tokens")}
+    for name in measured:
+        getattr(C, name)(spark, sf).write.parquet(f"{folder}/{name}")
+    parts = [
+        rows.groupBy("site_key").agg(F.count("*").alias("n"), F.sum(measured[name]).cast("bigint").alias("chars")).select(F.lit(name).alias("part"), "site_key", "n", "chars")
+        for name, rows in capture.read_transcripts(spark, folder).items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 _WHY = """
@@ -593,7 +625,7 @@ def _answer_checks(spark, sf):
 def _out_of_site(spark, sf):
     url = F.when(F.col("d") % 3 == 0, "https://docs.example.org/x").when(F.col("d") % 3 == 1, "https://other.example.com/y").otherwise(F.col("url"))
     rows = C.docs(spark, sf).select("site_key", F.col("d").alias("question_ord"), url.alias("url"))
-    return A.out_of_site_fetch(rows, C.sites(spark, sf), I.suffix_table(spark)).select("site_key", "question_ord", "refused")
+    return A.out_of_site_fetch(rows, C.sites(spark, sf), C.suffixes(spark)).select("site_key", "question_ord", "refused")
 
 
 _PRICED = """

@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docgauge.session import Scope
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_SCOPE: ContextVar[Scope | None] = ContextVar("scope", default=None)
+
+
+def scope() -> Scope | None:
+    """Where the query that is being built keeps tables; it ends with the last reference to the query's result."""
+    return _SCOPE.get()
 
 
 def query(name: str, sql: str | None = None, whole: tuple[str, ...] = ()):
@@ -16,7 +25,15 @@ def query(name: str, sql: str | None = None, whole: tuple[str, ...] = ()):
         sql = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in whole)}) FROM ({sql})"
 
     def register(build: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = build
+        def scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            held = Scope()
+            token = _SCOPE.set(held)
+            try:
+                return held.tied(build(spark, sf_dir))
+            finally:
+                _SCOPE.reset(token)
+
+        QUERIES[name] = scoped
         if sql is not None:
             ORACLES[name] = sql
         return build
