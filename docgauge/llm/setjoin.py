@@ -9,7 +9,8 @@ their two counts; below 4/9 of their sizes together (for a similarity of 0.8) th
   fixed size counts them over all documents), so a passage that unlike documents share is no region of theirs unless they hold little else.
 * Nodes. Within a region points have ``GROUPS`` coordinates. They are packed by size and widest coordinate into leaves with their
   greatest counts; two leaves are opened if the minima of those reach what their least sizes need.
-* Points. Pairs in opened leaves must reach the bound with their own counts. What survives is verified on the whole sets.
+* Points. Pairs in opened leaves must reach the bound with their own counts. Points without such a pair are done; of the others the whole
+  sets are read, once, and pairs are verified on them.
 
 Only components are asked for, so pairs within one are never compared. Stars come first: in each region one point is held against all of other
 components; links are verified, components merged, and this repeats while it finds many. Then all pairs of a region that are still in
@@ -36,6 +37,8 @@ GROUPS = 32
 _TABLE = 1 << 22
 _BLOCK = 1 << 16
 _LEAF = 16
+#: Points whose keys (40 bytes each) are sent to all tasks; more are joined by a shuffle.
+_FEW = 250_000
 #: Regions up to this size are compared point by point, many at once.
 _SMALL = 48
 _BASE = 0x9FB21C651E98DF25 | 1
@@ -230,13 +233,16 @@ def region_pairs(key: np.ndarray, counts: np.ndarray, n: np.ndarray, root: np.nd
     return tuple(np.concatenate(side) for side in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def compared(rows: DataFrame, star: bool, percent: int) -> DataFrame:
-    """``a, b`` for regions (key, node, n, counts, root) whose rows come together."""
+def compared(rows: DataFrame, star: bool, percent: int, ends: bool = False) -> DataFrame:
+    """``a, b`` for regions (key, node, n, counts, root) whose rows come together; with ``ends`` only ``node``: the points that any pair has."""
 
     def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
         key, node, n, root = (table.column(c).to_numpy() for c in ("key", "node", "n", "root"))
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int32)
         x, y = region_pairs(key, counts, n, root, node, star, percent)
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(node[np.concatenate((x, y))]))], ["node"])
+            return
         pairs = np.unique(np.stack((np.minimum(node[x], node[y]), np.maximum(node[x], node[y]))), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
@@ -254,7 +260,7 @@ def compared(rows: DataFrame, star: bool, percent: int) -> DataFrame:
         if held:
             yield from solve(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "node long" if ends else "a long, b long").distinct()
 
 
 def tiled(boxes: DataFrame, sizes: DataFrame, tile: int, seed: int, star: bool) -> DataFrame:
@@ -270,14 +276,16 @@ def tiled(boxes: DataFrame, sizes: DataFrame, tile: int, seed: int, star: bool)
     return made.select("key", "node", "n", "counts", "root").repartition("key").sortWithinPartitions("key")
 
 
-def _verified(docs: DataFrame, points: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets have the wanted similarity. Each point's text is that of one row: its id and two hashes find it, and only
-    where a row is repeated are its copies dropped."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+def _sets(docs: DataFrame, points: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """``row, shingles`` of the points in ``nodes``. Each point's text is that of one row: its id and two hashes find it, and only where a
+    row is repeated are its copies dropped."""
     key = ["id", "k", "k2"]
-    wanted = points.join(ids, "row").select("row", F.coalesce("doc_id", F.lit(-1)).alias("id"), "k", "k2")
-    same = points.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "k", "k2").join(wanted, key, "left_semi")
+    named = points.select("row", F.coalesce("doc_id", F.lit(-1)).alias("id"), "k", "k2")
+    wanted = named.join(nodes.withColumnRenamed("node", "row"), "row", "left_semi")
+    same = named.drop("row").join(wanted, key, "left_semi")
     wanted = written(wanted.join(same.groupBy(*key).agg(F.count("*").alias("times")), key), "sets-wanted")
+    if wanted.count() <= _FEW:
+        wanted = F.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,12 +297,19 @@ def _verified(docs: DataFrame, points: DataFrame, pairs: DataFrame, width: int,
     texts = docs.withColumn("id", F.coalesce("doc_id", F.lit(-1))).join(wanted, key).select("row", "times", "text")
     found = written(texts.mapInArrow(run, "row long, times long, shingles array<long>"), "sets")
     repeats = found.where("times > 1").select("row", "shingles").dropDuplicates(["row"])
-    sets = found.where("times = 1").select("row", "shingles").union(repeats)
+    return found.where("times = 1").select("row", "shingles").union(repeats)
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole sets have the wanted similarity."""
     rows = pairs.join(sets.toDF("b", "of_b"), "b").join(sets.toDF("a", "of_a"), "a")
     both, total = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-    links = written(rows.where(100 * both >= percent * (total - both)).select("a", "b"), "sets-links")
-    discarded(found)
-    return links
+    return written(rows.where(100 * both >= percent * (total - both)).select("a", "b"), "sets-links")
+
+
+def _crowding(boxes: DataFrame) -> DataFrame:
+    """``region, m`` of regions of several points."""
+    return written(boxes.groupBy("region").agg(F.count("*").cast("int").alias("m")).where("m > 1"), "sets-regions")
 
 
 def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, tile: int = 1024) -> DataFrame:
@@ -312,9 +327,13 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, tile: int =
     heads = written(heads, "sets-heads")
     nodes = points.select("row", "n", "regions", "counts").join(heads.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
     entered = nodes.select("node", F.explode("regions").alias("region"))
-    sizes = written(entered.groupBy("region").agg(F.count("*").alias("m")).where("m > 1"), "sets-regions")
-    boxes = written(entered.join(sizes, "region", "left_semi").join(nodes.select("node", "n", "counts"), "node"), "sets-boxes")
-    sizes = sizes.withColumn("m", F.col("m").cast("int"))
+    sizes = _crowding(entered)
+    met = written(entered.join(sizes, "region", "left_semi").join(nodes.select("node", "n", "counts"), "node"), "sets-boxes")
+    alive = written(compared(tiled(met.withColumn("root", F.col("node")), sizes, tile, 0, False), False, percent, ends=True), "sets-alive")
+    boxes = written(met.join(alive, "node", "left_semi"), "sets-boxes")
+    discarded(met)
+    sizes = _crowding(boxes)
+    sets = _sets(rows, points, alive, width)
 
     rooted, edges, tested, roots, most = boxes.withColumn("root", F.col("node")), None, None, None, 0
     for seed in count():
@@ -322,7 +341,7 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, tile: int =
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "sets-stars")
-        found = _verified(rows, points, pairs, width, percent)
+        found = _verified(sets, pairs, percent)
         n = found.count()
         tested = pairs if tested is None else tested.union(pairs)
         if n:
@@ -337,7 +356,7 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, tile: int =
         if n <= most // 8:  # stars have found most of what they can; the rest is compared in full
             break
     pairs = compared(tiled(rooted, sizes, tile, 0, False), False, percent).join(tested, ["a", "b"], "left_anti")
-    rest = _verified(rows, points, written(pairs, "sets-rest"), width, percent)
+    rest = _verified(sets, written(pairs, "sets-rest"), percent)
     if not rest.isEmpty():
         roots = components(rest if edges is None else edges.union(rest))
 
