@@ -340,11 +340,11 @@ def _open_sizes(classes: DataFrame, group: str) -> DataFrame:
 
 
 def _placed(pieces: DataFrame, found: DataFrame) -> DataFrame:
-    """Ranges ``gp, key, low, high`` of pieces as ranges ``g, ch, low, high`` of their contexts."""
-    ranges = found.groupBy("gp", "key").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    """Ranges ``gp, key, low, high`` of pieces as arrays ``g, ch, ranges`` of their contexts, one row a piece."""
+    ranges = found.groupBy("gp", "key").agg(F.collect_list(F.struct("low", "high")).alias("found"))
     rows = pieces.select("g", "ch", "base", "gp", F.xxhash64("sh").alias("key")).join(ranges, ["gp", "key"])
-    rows = rows.select("g", "ch", "base", F.explode("ranges").alias("r"))
-    return rows.select("g", "ch", (F.col("base") + F.col("r.low")).alias("low"), (F.col("base") + F.col("r.high")).alias("high"))
+    moved = F.transform("found", lambda r: F.struct((F.col("base") + r["low"]).alias("low"), (F.col("base") + r["high"]).alias("high")))
+    return rows.select("g", "ch", moved.alias("ranges"))
 
 
 def _whole(classes: DataFrame, length: int) -> DataFrame:
@@ -371,14 +371,16 @@ def _repeated_ranges(cut: DataFrame, length: int, crowd: int) -> DataFrame:
         rows = rows.union(distinct.join(left.where(F.col("m") <= crowd), "gp").select("gp", "key", "sub"))
     parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = _sorted_groups(rows.repartition(parts, "g").sortWithinPartitions("g"), length)
-    ranges = whole.union(ordered)
     if crowded:
         ordered = written(ordered, "suffix-ranges")
-        ranges = whole.union(ordered).union(_placed(pieces, _whole(distinct, length).union(ordered.toDF("gp", "key", "low", "high"))))
+    one = F.array(F.struct("low", "high")).alias("ranges")
+    ranges = whole.union(ordered).select("g", "ch", one)
+    if crowded:
+        ranges = ranges.union(_placed(pieces, _whole(distinct, length).union(ordered.toDF("gp", "key", "low", "high"))))
         left = pieces.join(left.where(F.col("m") > crowd), "gp", "left_semi").select("g", "ch").distinct()
         single = written(_pieces(contexts.join(left, ["g", "ch"], "left_semi"), length, 1), "suffix-strings")
         ranges = ranges.union(_placed(single, _whole(_classes(single), length)))
-    return ranges.groupBy("g", "ch").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    return ranges.groupBy("g", "ch").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def repeated_spans(docs: DataFrame, length: int, gram: int, crowd: int) -> tuple[DataFrame, DataFrame]:
