@@ -50,3 +50,12 @@ def discarded(df: DataFrame) -> None:
         spark = df.sparkSession
         folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def tidied(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of jobs whose results are written.
+
+    Spark drops them when the driver's heap is collected (every half hour by default); a job of many written steps asks for it, so
+    that its disk holds the files of the step at hand and not of all before. Nothing that is still read is dropped.
+    """
+    spark._jvm.System.gc()

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from docgauge.llm.collocation import _powers
-from docgauge.llm.common import discarded, written
+from docgauge.llm.common import discarded, tidied, written
 from docgauge.llm.graph import components
 from docgauge.llm.wordhash import mixed, runs
 
@@ -327,12 +327,16 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, tile: int =
     heads = written(heads, "sets-heads")
     nodes = points.select("row", "n", "regions", "counts").join(heads.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
     entered = nodes.select("node", F.explode("regions").alias("region"))
+    tidied(docs.sparkSession)
     sizes = _crowding(entered)
+    tidied(docs.sparkSession)
     met = written(entered.join(sizes, "region", "left_semi").join(nodes.select("node", "n", "counts"), "node"), "sets-boxes")
+    tidied(docs.sparkSession)
     alive = written(compared(tiled(met.withColumn("root", F.col("node")), sizes, tile, 0, False), False, percent, ends=True), "sets-alive")
     boxes = written(met.join(alive, "node", "left_semi"), "sets-boxes")
     discarded(met)
     sizes = _crowding(boxes)
+    tidied(docs.sparkSession)
     sets = _sets(rows, points, alive, width)
 
     rooted, edges, tested, roots, most = boxes.withColumn("root", F.col("node")), None, None, None, 0
@@ -343,6 +347,7 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, tile: int =
         pairs = written(pairs, "sets-stars")
         found = _verified(sets, pairs, percent)
         n = found.count()
+        tidied(docs.sparkSession)
         tested = pairs if tested is None else tested.union(pairs)
         if n:
             edges = found if edges is None else edges.union(found)
