@@ -19,11 +19,12 @@ def normalize_for_match(text: Column) -> Column:
 def contains_quote(text: Column, quote: Column) -> Column:
     """Substring of the normalised text first; only when that misses, the share of quote words in the vocabulary."""
     return bind(
-        normalize_for_match(quote), lambda needle: bind(normalize_for_match(text), lambda hay: _holds(hay, needle))
+        normalize_for_match(quote), lambda needle: bind(normalize_for_match(text), lambda hay: holds(hay, needle))
     )
 
 
-def _holds(haystack: Column, needle: Column) -> Column:
+def holds(haystack: Column, needle: Column) -> Column:
+    """``contains_quote`` of texts that are normalised already."""
     words = F.split(needle, " ")
     vocabulary = F.array_intersect(words, F.split(haystack, " "))
     present = bind(vocabulary, lambda known: F.size(F.filter(words, lambda word: F.array_contains(known, word))))

@@ -6,6 +6,8 @@ own; results computed here carry ``definition_basis = 'native'``. Results of ano
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docgauge import constants as K
@@ -185,45 +187,94 @@ def native_results(
     )
 
 
-def check_dependencies(results: DataFrame, dependencies=DEFAULT_DEPENDENCIES) -> DataFrame:
+def _rule_levels(rules) -> list[int]:
+    """The round in which each rule applies: rules of a round see what earlier rounds skipped, as if taken one by one in order."""
+    levels: list[int] = []
+    for check, groups in rules:
+        needs = {d for group in groups for d in group}
+        level = 0
+        for (other, other_groups), at in zip(rules, levels):
+            if other in needs:
+                level = max(level, at + 1)
+            elif check in {d for group in other_groups for d in group}:
+                level = max(level, at)
+        levels.append(level)
+    return levels
+
+
+def check_dependencies(results: DataFrame, dependencies=DEFAULT_DEPENDENCIES, order: list[str] | None = None) -> DataFrame:
     """Marks a check skipped when dependencies ran and some OR-group of them neither passed nor warned.
 
-    Rules apply in the given order, later ones seeing earlier skips: a fold over one small status map per site.
+    Rules apply in the given order, later ones seeing earlier skips. Where a site has a check more than once, its last row by ``order``
+    counts as a dependency (ties: the greater status); without an order, one row that passes or warns is enough. A skip marks all rows of
+    the check. Rows without a site or id stay as they are.
+
+    A site is two short bit masks, the checks it ran and those that passed: rows are first reduced to one per (site, check) among the checks
+    that rules name, rules are tested on the masks in rounds, and only skipped (site, check) pairs are joined back.
     """
-    rules = F.array(
-        *[
-            F.struct(
-                F.lit(check).alias("id"),
-                F.array(*[F.array(*[F.lit(d) for d in group]) for group in groups]).alias("groups"),
-            )
-            for check, groups in dependencies
+    rules = [(check, tuple(tuple(group) for group in groups)) for check, groups in dependencies]
+    named = sorted({i for check, groups in rules for i in (check, *(d for group in groups for d in group))})
+    if not rules:
+        return results
+    words = -(-len(named) // 62)
+    place = {name: divmod(at, 62) for at, name in enumerate(named)}
+
+    def mask(word: int, ids) -> Column:
+        return F.lit(sum({1 << place[i][1] for i in ids if place[i][0] == word})).cast("bigint")
+
+    def touches(kind: str, ids) -> Column:
+        tests = [F.col(f"__{kind}{w}").bitwiseAND(mask(w, ids)) != 0 for w in range(words) if any(place[i][0] == w for i in ids)]
+        return reduce(lambda x, y: x | y, tests, F.lit(False))
+
+    good = F.col("status").isin("pass", "warn")
+    if order:
+        # The status joins the order, so that equal places still give one answer.
+        last = F.max_by("status", F.struct(*order, "status"))
+        ok = F.coalesce(last.isin("pass", "warn"), F.lit(False))
+    else:
+        ok = F.coalesce(F.bool_or(good), F.lit(False))
+    each = results.filter(F.col("id").isin(*named) & F.col("site_key").isNotNull()).groupBy("site_key", "id").agg(ok.alias("__ok"))
+    bits = F.create_map(*[x for name in named for x in (F.lit(name), F.struct(F.lit(place[name][0]).alias("w"), mask(place[name][0], [name]).alias("b")))])
+    at = F.element_at(bits, F.col("id"))
+    masks = []
+    for w in range(words):
+        mine = F.when(at["w"] == w, at["b"])
+        masks += [
+            F.coalesce(F.bit_or(mine), F.lit(0).cast("bigint")).alias(f"__ran{w}"),
+            F.coalesce(F.bit_or(F.when(F.col("__ok"), mine)), F.lit(0).cast("bigint")).alias(f"__ok{w}"),
         ]
-    )
-    statuses = results.groupBy("site_key").agg(
-        F.map_from_entries(F.collect_list(F.struct("id", "status"))).alias("statuses")
-    )
-
-    def apply(acc, rule):
-        ran = F.exists(rule["groups"], lambda g: F.exists(g, lambda d: F.map_contains_key(acc, d)))
-        met = F.forall(
-            rule["groups"],
-            lambda g: F.exists(g, lambda d: F.coalesce(F.try_element_at(acc, d).isin("pass", "warn"), F.lit(False))),
-        )
-        return F.when(
-            ran & ~met,
-            F.transform_values(acc, lambda k, v: F.when(k == rule["id"], F.lit("skip")).otherwise(v)),
-        ).otherwise(acc)
-
-    settled = statuses.select("site_key", F.explode(F.aggregate(rules, F.col("statuses"), apply)).alias("id", "settled"))
-    joined = results.join(settled, ["site_key", "id"])
-    skipped = (F.col("settled") == "skip") & (F.col("status") != "skip")
+    sites = each.groupBy("site_key").agg(*masks).withColumns({f"__out{w}": F.lit(0).cast("bigint") for w in range(words)})
+    levels = _rule_levels(rules)
+    for level in range(max(levels) + 1):
+        failing = []
+        for (check, groups), mine in zip(rules, levels):
+            if mine == level:
+                met = reduce(lambda x, y: x & y, [touches("ok", group) for group in groups], F.lit(True))
+                failing.append((check, touches("ran", [d for group in groups for d in group]) & ~met))
+        out = {
+            w: reduce(
+                lambda x, y: x.bitwiseOR(y),
+                [F.when(fails, mask(w, [check])).otherwise(mask(w, [])) for check, fails in failing if place[check][0] == w],
+                mask(w, []),
+            )
+            for w in range(words)
+        }
+        sites = sites.select("*", *[out[w].alias(f"__new{w}") for w in range(words)])
+        sites = sites.withColumns(
+            {f"__ok{w}": F.col(f"__ok{w}").bitwiseAND(F.bitwise_not(f"__new{w}")) for w in range(words)}
+            | {f"__out{w}": F.col(f"__out{w}").bitwiseOR(F.col(f"__new{w}")) for w in range(words)}
+        ).drop(*[f"__new{w}" for w in range(words)])
+    targets = F.array(*[F.when(touches("out", [check]), F.lit(check)) for check in sorted({check for check, _ in rules})])
+    skips = sites.select("site_key", F.explode(F.array_compact(targets)).alias("id"), F.lit(True).alias("__skip"))
+    joined = results.join(skips, ["site_key", "id"], "left")
+    skipped = F.col("__skip").isNotNull() & ~F.coalesce(F.col("status") == "skip", F.lit(False))
     return joined.withColumns(
         {
             "message": F.when(skipped, "Skipped: dependency check did not pass").otherwise(F.col("message")),
             "earned": F.when(skipped, None).otherwise(F.col("earned")),
-            "status": F.col("settled"),
+            "status": F.when(F.col("__skip").isNotNull(), "skip").otherwise(F.col("status")),
         }
-    ).drop("settled")
+    ).drop("__skip")
 
 
 def cutoff_reclass(results: DataFrame, cutoffs: DataFrame) -> DataFrame:

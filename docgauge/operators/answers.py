@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from docgauge import constants as K
 from docgauge.functions import text as T, urls as U
@@ -24,6 +24,50 @@ def grounded_quotes(questions: DataFrame, source_pages: DataFrame) -> DataFrame:
     return joined.withColumn("grounded", T.contains_quote(F.col("text"), F.col("evidence_quote"))).drop("text")
 
 
+def quote_pages(questions: DataFrame, pages: DataFrame) -> DataFrame:
+    """``site_key, question_ord, url``: every page of the site that holds a question's quote, as ``contains_quote`` decides.
+
+    ``questions``: ``site_key, question_ord, evidence_quote``; ``pages``: ``site_key, url, text``. Empty and null quotes are nowhere.
+
+    A set-containment join. A page may lack at most 15 % of a quote's words, or, where it holds the quote as one string that begins or ends
+    inside words, the first and the last. So of a quote's words, rarest on the site's pages first, one of the shortest run that outweighs what may be
+    lacking is on every page that counts: quotes meet pages at these words only. Quotes of one or two words may lie inside longer words;
+    they meet the site's words that contain their first one, found by equal cuts of the lengths that occur. What meets is tested on the texts.
+    """
+    site, question = "site_key", ["site_key", "question_ord"]
+    asked = questions.select(*question, T.normalize_for_match(F.col("evidence_quote")).alias("needle")).filter(F.col("needle") != "").distinct()
+    # Rows of one question with different quotes stay apart by their quote.
+    question = [*question, "needle"]
+    words = asked.select(*question, F.explode(F.split("needle", " ")).alias("word")).groupBy(*question, "word").agg(F.count("*").alias("times"))
+    held = pages.select(site, "url", T.normalize_for_match(F.col("text")).alias("hay"))
+    on_page = held.select(site, "url", F.explode(F.array_distinct(F.split("hay", " "))).alias("word"))
+    on_page = on_page.filter(F.col("word") != "").distinct()
+
+    # Page words that no quote names are dropped before anything is counted.
+    of_quotes = words.select(site, "word").distinct()
+    known = on_page.join(of_quotes, [site, "word"], "left_semi").groupBy(site, "word").agg(F.count("*").alias("found_on"))
+    n = F.size(F.split("needle", " "))
+    # A little over the exact share: one key too many costs a test, one too few would lose a page.
+    lacking = F.greatest(F.lit(2), F.floor(n * F.lit(1 - K.QUOTE_OVERLAP) + F.lit(0.001)))
+    ranked = words.join(known, [site, "word"], "left").withColumn("found_on", F.coalesce("found_on", F.lit(0)))
+    before = Window.partitionBy(*question).orderBy("found_on", "word").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = ranked.withColumn("before", F.coalesce(F.sum("times").over(before), F.lit(0)))
+    keyed = keyed.filter((n > 2) & (F.col("before") <= lacking) & (F.col("found_on") > 0)).select(*question, "word")
+
+    short = asked.filter(n <= 2).withColumn("piece", F.split_part("needle", F.lit(" "), F.lit(1)))
+    sizes = short.groupBy(site).agg(F.sort_array(F.collect_set(F.length("piece"))).alias("sizes"))
+    vocabulary = on_page.select(site, "word").distinct().join(sizes, site)
+    starts = lambda size: F.sequence(F.lit(1), F.length("word") - size + 1)
+    fitting = F.filter("sizes", lambda size: size <= F.length("word"))
+    pieces = F.flatten(F.transform(fitting, lambda size: F.transform(starts(size), lambda at: F.substring(F.col("word"), at, size))))
+    inside = vocabulary.select(site, "word", F.explode(F.array_distinct(pieces)).alias("piece"))
+    short = short.join(inside, [site, "piece"]).select(*question, "word")
+
+    met = keyed.unionByName(short).join(on_page, [site, "word"]).select(*question, "url").distinct()
+    tested = met.join(held, [site, "url"]).filter(T.holds(F.col("hay"), F.col("needle")))
+    return tested.select(site, "question_ord", "url").distinct()
+
+
 def select_questions(questions: DataFrame, source_pages: DataFrame) -> DataFrame:
     """Greedy choice in candidate order: grounded, with facts, distinct, two per page, eight per site.
 

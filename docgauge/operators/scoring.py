@@ -54,6 +54,32 @@ def group_score(checks: DataFrame, answerability: DataFrame | None = None) -> Da
     return totals.select("site_key", F.explode(F.array(*group_structs())).alias("g")).select("site_key", "g.*")
 
 
+def score_rollup(checks: DataFrame) -> DataFrame:
+    """Points of the whole run, of each site, of its groups and of their categories in one table.
+
+    ``level`` says what a row sums over: 0 the run, 1 a site, 2 a group, 3 a category; keys below it are null (a key that is null in the data
+    keeps its own rows, told apart by ``level``). ``checks`` counts rows, ``counted`` those with points, ``possible`` their most. Points are summed as whole tenths once per
+    category, with partial sums; only these few rows per site are expanded to the four levels. No check gives no rows but that of the run.
+    """
+    counts = F.col("earned").isNotNull()
+    tenths = lambda c: F.coalesce(F.sum(F.when(counts, F.floor(F.col(c) * 10 + 0.5).cast("bigint"))), F.lit(0))
+    fine = checks.groupBy("site_key", "group", "category").agg(
+        F.count("*").alias("n"), F.count_if(counts).alias("c"), tenths("earned").alias("e"), tenths("max").alias("p"),
+        F.count_if(F.col("status") == "unverified").alias("u"),
+    )
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    level = F.lit(3) - F.bit_count(F.grouping_id().cast("bigint"))
+    rows = fine.rollup("site_key", "group", "category").agg(
+        level.cast("int").alias("level"), whole("n").alias("checks"), whole("c").alias("counted"), whole("u").alias("unverified"), whole("e").alias("e"), whole("p").alias("p")
+    )
+    # Half up on whole numbers: 100 e / p + 1/2 as a floor.
+    score = F.when(F.col("p") > 0, F.expr("(200 * e + p) div (2 * p)").cast("int"))
+    return rows.select(
+        "level", "site_key", "group", "category", "checks", "counted", "unverified",
+        (F.col("e") / 10).alias("earned"), (F.col("p") / 10).alias("possible"), score.alias("score"),
+    )
+
+
 def group_structs() -> list[Column]:
     """The three group results as structs over ``site_totals`` joined with the answerability state."""
     structs = []

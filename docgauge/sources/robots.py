@@ -98,12 +98,20 @@ def rule_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(wild, r"\\\$$", "\\$"))
 
 
+def _head(pattern: Column) -> Column:
+    """The part of a pattern before its first ``*`` or closing ``$``: every path it matches begins with it."""
+    return F.regexp_replace(pattern, r"(?s)(\*.*|\$)$", "")
+
+
 def robots_access(targets: DataFrame, files: DataFrame, rules: DataFrame, agents: list[str]) -> DataFrame:
     """Adds ``agent`` and ``allowed`` for each target URL and agent.
 
     ``targets``: ``origin, path`` plus keys. Longest matching rule wins, allow on a tie; null where the file is
-    unreachable; everything is allowed without a file or without a matching rule, and ``/robots.txt`` itself always. Rules join on (origin, agent)
-    and only then on the pattern, so the rule table is never broadcast or crossed.
+    unreachable; everything is allowed without a file or without a matching rule, and ``/robots.txt`` itself always.
+
+    A path meets only rules whose literal head it begins with: it is cut to the head lengths its origin's rules have, and the cuts join the
+    heads by equality. Rules without ``*`` or ``$`` are then decided; only the others are tested as patterns. So a file of n rules and n
+    paths never makes n * n rows, unless its rules begin with ``*``. The rule table is never broadcast by force or crossed.
     """
     keys = [c for c in targets.columns]
     wanted = targets.withColumn("agent", F.explode(F.array(*[F.lit(a) for a in agents])))
@@ -112,9 +120,17 @@ def robots_access(targets: DataFrame, files: DataFrame, rules: DataFrame, agents
     named = rules.select("origin", F.col("agent").alias("token")).distinct().withColumn("own_group", F.lit(True))
     wanted = wanted.join(named, ["origin", "token"], "left")
     wanted = wanted.withColumn("token", F.when(F.col("own_group"), F.col("token")).otherwise("*")).drop("own_group")
-    usable = rules.filter(F.col("pattern") != "").select("origin", F.col("agent").alias("token"), "allow", "pattern")
-    met = wanted.join(usable, ["origin", "token"], "left").withColumn(
-        "hit", F.col("pattern").isNotNull() & F.regexp_like(F.col("path"), rule_regex(F.col("pattern")))
+    usable = rules.filter(F.col("pattern") != "").groupBy("origin", F.col("agent").alias("token"), "pattern").agg(F.max("allow").alias("allow"))
+    usable = usable.withColumn("head", _head(F.col("pattern")))
+    plain = F.col("head") == F.col("pattern")
+    # Of equal plain rules one is left, so a cut meets one plain rule at most.
+    cuts = usable.groupBy("origin", "token").agg(F.sort_array(F.collect_set(F.length("head"))).alias("cuts"))
+    cut = wanted.join(cuts, ["origin", "token"], "left").withColumn(
+        "cut", F.explode_outer(F.filter("cuts", lambda n: n <= F.length("path")))
+    )
+    cut = cut.withColumn("head", F.left("path", F.col("cut"))).drop("cuts", "cut")
+    met = cut.join(usable, ["origin", "token", "head"], "left").withColumn(
+        "hit", F.col("pattern").isNotNull() & F.when(plain, True).otherwise(F.regexp_like(F.col("path"), rule_regex(F.col("pattern"))))
     )
     strength = F.when(F.col("hit"), F.struct(F.length("pattern").alias("n"), F.col("allow").cast("int").alias("a")))
     decided = met.groupBy(*keys, "agent", "state").agg(F.max(strength).alias("winner"))

@@ -77,6 +77,19 @@ def _group(spark, sf):
     return S.group_score(C.check_results(spark, sf), C.answer_states(spark, sf)).drop("group_ord", "label")
 
 
+@query(
+    "score_rollup",
+    f"""WITH {CHECKS}, f AS (SELECT site_key, grp, category, status, earned IS NOT NULL AS c, CASE WHEN earned IS NOT NULL THEN CAST(floor(earned * 10 + 0.5::DOUBLE) AS BIGINT) ELSE 0 END AS e,
+      CASE WHEN earned IS NOT NULL THEN CAST(floor(max * 10 + 0.5::DOUBLE) AS BIGINT) ELSE 0 END AS p FROM checks),
+    u AS (SELECT 3 - bit_count(GROUPING(site_key, grp, category)) AS level, site_key, grp, category, count(*) AS checks, sum(c::INT)::BIGINT AS counted,
+      sum((status = 'unverified')::INT)::BIGINT AS unverified, sum(e)::BIGINT AS e, sum(p)::BIGINT AS p FROM f GROUP BY ROLLUP (site_key, grp, category))
+    SELECT CAST(level AS INT) AS level, site_key, grp AS "group", category, checks, counted, unverified, e::DOUBLE / 10 AS earned, p::DOUBLE / 10 AS possible,
+      CASE WHEN p > 0 THEN CAST((200 * e + p) // (2 * p) AS INT) END AS score FROM u""",
+)
+def _score_rollup(spark, sf):
+    return S.score_rollup(C.check_results(spark, sf))
+
+
 @query("provisional_reasons", f"WITH {CHECKS}, r AS (SELECT t.site_key, {REASONS} AS rs FROM totals t JOIN cov USING (site_key)) SELECT site_key, array_to_string(rs, ' ') AS reasons FROM r")
 def _provisional(spark, sf):
     return S.provisional_reasons(C.check_results(spark, sf), C.site_coverage(spark, sf)).select("site_key", F.array_join("reasons", " ").alias("reasons"))
@@ -247,16 +260,20 @@ def _cutoff(spark, sf):
 
 @query(
     "check_dependencies",
-    f"""WITH {_RESULTS}, p AS (SELECT site_key, max(CASE WHEN id = 'llms-txt-exists' THEN status END) AS a, max(CASE WHEN id = 'rendering-strategy' THEN status END) AS b,
-      max(CASE WHEN id = 'auth-gate-detection' THEN status END) AS c, max(CASE WHEN id = 'tabbed-content-serialization' THEN status END) AS d FROM r GROUP BY 1),
-    -- rendering needs llms.txt; tabs need (rendering or the login check), seeing a skip of rendering
-    s AS (SELECT *, CASE WHEN b IS NOT NULL AND a IS NOT NULL AND a NOT IN ('pass', 'warn') THEN 'skip' ELSE b END AS b2 FROM p),
-    t AS (SELECT *, CASE WHEN d IS NOT NULL AND (b2 IS NOT NULL OR c IS NOT NULL) AND NOT coalesce(b2 IN ('pass', 'warn'), FALSE) AND NOT coalesce(c IN ('pass', 'warn'), FALSE) THEN 'skip' ELSE d END AS d2 FROM s)
-    SELECT r.site_key, r.id, CASE r.id WHEN 'rendering-strategy' THEN b2 WHEN 'tabbed-content-serialization' THEN d2 ELSE r.status END AS status FROM r JOIN t USING (site_key)""",
+    f"""WITH {_RESULTS}, last AS (SELECT k, id, last(status ORDER BY line, part, supp, status) AS status FROM r GROUP BY 1, 2),
+    p AS (SELECT k, max(CASE WHEN id = 'llms-txt-exists' THEN status END) AS a, max(CASE WHEN id = 'rendering-strategy' THEN status END) AS b,
+      max(CASE WHEN id = 'auth-gate-detection' THEN status END) AS c, max(CASE WHEN id = 'tabbed-content-serialization' THEN status END) AS d FROM last GROUP BY 1),
+    -- rendering needs llms.txt; tabs need (rendering or the login check), seeing a skip of rendering; of a check's rows the last counts
+    s AS (SELECT *, b IS NOT NULL AND a IS NOT NULL AND a NOT IN ('pass', 'warn') AS cut_b FROM p),
+    t AS (SELECT *, (b IS NOT NULL OR c IS NOT NULL) AND NOT coalesce(NOT cut_b AND b IN ('pass', 'warn'), FALSE) AND NOT coalesce(c IN ('pass', 'warn'), FALSE) AS cut_d FROM s)
+    SELECT CAST(k AS VARCHAR) AS site_key, r.id, r.line, r.part, CASE WHEN (r.id = 'rendering-strategy' AND cut_b) OR (r.id = 'tabbed-content-serialization' AND cut_d) THEN 'skip' ELSE r.status END AS status
+    FROM r JOIN t USING (k)""",
 )
 def _dependencies(spark, sf):
     rules = (("rendering-strategy", (("llms-txt-exists",),)), ("tabbed-content-serialization", (("rendering-strategy", "auth-gate-detection"),)))
-    return G.check_dependencies(results(spark, sf), rules).select("site_key", "id", "status")
+    # Every result of an order belongs to one site, so that checks repeat.
+    rows = results(spark, sf).withColumn("site_key", F.split_part("site_key", F.lit("#"), F.lit(1)))
+    return G.check_dependencies(rows, rules, ["line", "part", "supp"]).select("site_key", "id", "line", "part", "status")
 
 
 def probe_pages(spark, sf):

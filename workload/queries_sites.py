@@ -419,6 +419,11 @@ def _grounded_quotes(spark, sf):
     return A.grounded_quotes(C.questions(spark, sf), C.source_pages(spark, sf)).select("site_key", "question_ord", "grounded")
 
 
+@query("quote_pages", f"WITH {DOCS}, {_Q}, h AS (SELECT site_key, url, nt AS ht FROM n) SELECT site_key, n.d AS question_ord, h.url FROM n JOIN h USING (site_key) WHERE {holds('ht', 'nq')}")
+def _quote_pages(spark, sf):
+    return A.quote_pages(C.questions(spark, sf), C.source_pages(spark, sf))
+
+
 @query(
     "contains_quote",
     f"""SELECT doc_id, {holds(norm('text'), norm("'the zz of ' || lang || ' and ' || left(text, 40)"))} AS held FROM documents""",
