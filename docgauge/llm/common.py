@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANK = r"\x20\x09-\x0D"
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +36,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` as Parquet in the shared folder and reads it back.
 
     Lost executors cost no recomputation and every reader sees the same rows. Files lie in a folder per application, which
-    whoever keeps the shared folder may delete when the application has ended.
+    whoever keeps the shared folder may delete when the application has ended. Shuffle files of the job go when it is written, so the disk of a
+    chain of such steps holds the shuffles of one; until then they stay, and lost ones are made again from the tables before.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    kept = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, kept)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,12 +57,3 @@ def discarded(df: DataFrame) -> None:
         spark = df.sparkSession
         folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def tidied(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of jobs whose results are written.
-
-    Spark drops them when the driver's heap is collected (every half hour by default); a job of many written steps asks for it, so
-    that its disk holds the files of the step at hand and not of all before. Nothing that is still read is dropped.
-    """
-    spark._jvm.System.gc()
