@@ -20,6 +20,7 @@ different components are compared, in tiles if the region is crowded, so no task
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -300,11 +301,17 @@ def _sets(docs: DataFrame, points: DataFrame, nodes: DataFrame, width: int) -> D
     return found.where("times = 1").select("row", "shingles").union(repeats)
 
 
-def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets have the wanted similarity."""
-    rows = pairs.join(sets.toDF("b", "of_b"), "b").join(sets.toDF("a", "of_a"), "a")
+def _verified(sets: DataFrame, n_sets: int, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole sets have the wanted similarity. As many pairs as there are sets are verified at a time, so that no step moves
+    much more than all sets, however many pairs there are."""
+    parts = max(1, -(-pairs.count() // max(1, n_sets)))
     both, total = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-    return written(rows.where(100 * both >= percent * (total - both)).select("a", "b"), "sets-links")
+    found = []
+    for part in range(parts):
+        some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == part) if parts > 1 else pairs
+        rows = some.join(sets.toDF("b", "of_b"), "b").join(sets.toDF("a", "of_a"), "a")
+        found.append(written(rows.where(100 * both >= percent * (total - both)).select("a", "b"), "sets-links"))
+    return reduce(DataFrame.union, found)
 
 
 def _crowding(boxes: DataFrame) -> DataFrame:
@@ -333,15 +340,16 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, tile: int =
     boxes = written(met.join(alive, "node", "left_semi"), "sets-boxes")
     discarded(met)
     sizes = _crowding(boxes)
-    sets = _sets(rows, points, alive, width)
+    sets, n_sets = _sets(rows, points, alive, width), alive.count()
 
     rooted, edges, tested, roots, most = boxes.withColumn("root", F.col("node")), None, None, None, 0
     for seed in count():
         pairs = compared(tiled(rooted, sizes, tile, seed, True), True, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "sets-stars")
-        found = _verified(sets, pairs, percent)
+        # A point in many regions has many stars; one of them a round is enough, as links make the others needless.
+        pairs = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "sets-stars")
+        found = _verified(sets, n_sets, pairs, percent)
         n = found.count()
         tested = pairs if tested is None else tested.union(pairs)
         if n:
@@ -356,7 +364,7 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, tile: int =
         if n <= most // 8:  # stars have found most of what they can; the rest is compared in full
             break
     pairs = compared(tiled(rooted, sizes, tile, 0, False), False, percent).join(tested, ["a", "b"], "left_anti")
-    rest = _verified(sets, written(pairs, "sets-rest"), percent)
+    rest = _verified(sets, n_sets, written(pairs, "sets-rest"), percent)
     if not rest.isEmpty():
         roots = components(rest if edges is None else edges.union(rest))
 
