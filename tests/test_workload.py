@@ -32,3 +32,23 @@ def agrees(spark, folder, *names):
 def test_words_that_the_entry_page_holds_are_no_evidence(spark, tmp_path):
     words = ["El.", "Come", "me", "A.", "one two three\vfour five", "No. El."]
     agrees(spark, documents(tmp_path / "sf", [words[i * 7 // 3 % len(words)] for i in range(240)]), "evidence_reached", "grounded_quotes")
+
+
+def test_kept_tables_hold_no_page_text(spark):
+    queries, _ = load()
+    for name in ("choose_link_targets", "anchor_verdicts", "sitemap_live", "spec_match"):
+        result = queries[name](spark, SMALL)
+        plan = result._jdf.queryExecution().withCachedData().toString()
+        held = [line for line in plan.splitlines() if "InMemoryRelation [" in line]
+        assert not [line for line in held if " text#" in line or "[text#" in line], name
+
+
+def test_blanks_collapse_as_by_one_pattern(spark):
+    from pyspark.sql import functions as F
+
+    from docgauge.functions.text import WHITESPACE, collapse
+
+    texts = ["a b", " a  b ", "a\n b", "a \n b", " a", "a  ", "\ta　 b  c", " ", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select(collapse(F.col("t")), F.trim(F.regexp_replace("t", WHITESPACE, " "))).collect()
+    assert all(a == b for a, b in got)
