@@ -52,3 +52,11 @@ def test_blanks_collapse_as_by_one_pattern(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     got = rows.select(collapse(F.col("t")), F.trim(F.regexp_replace("t", WHITESPACE, " "))).collect()
     assert all(a == b for a, b in got)
+
+
+def test_source_pages_move_prompts_not_texts(spark):
+    queries, _ = load()
+    execution = queries["source_page_filter"](spark, SMALL)._jdf.queryExecution()
+    told = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(execution, "formatted")
+    moved = [block for block in told.split("\n\n") if ") Exchange\n" in block]
+    assert moved and not [block for block in moved if "text#" in block.replace("prompt_text#", "") or " rendered#" in block]
