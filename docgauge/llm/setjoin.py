@@ -9,19 +9,18 @@ their two counts; below 4/9 of their sizes together (for a similarity of 0.8) th
   fixed size counts them over all documents), so a passage that unlike documents share is no region of theirs unless they hold little else.
 * Nodes. Within a region points have ``GROUPS`` coordinates. They are packed by size and widest coordinate into leaves with their
   greatest counts; two leaves are opened if the minima of those reach what their least sizes need.
-* Points. Pairs in opened leaves must reach the bound with their own counts. Points without such a pair are done; of the others the whole
-  sets are read, once, and pairs are verified on them.
+* Points. Pairs in opened leaves must reach the bound with their own counts, and must not differ too often in ``BITS`` parities of finer
+  groups: each parity that differs is a shingle that only one of the two has.
 
-Only components are asked for, so pairs within one are never compared. Stars come first: in each region one point is held against all of other
-components; links are verified, components merged, and this repeats while it finds many. Then all pairs of a region that are still in
-different components are compared, in tiles if the region is crowded, so no task holds more than two tiles.
+Only components are asked for, so no step writes its pairs. A task joins the points of its pairs to clusters and writes each point once, with the
+least of its cluster; clusters of all tasks are merged. Only sets of one cluster can link. Their whole sets are read, once, and come together
+by cluster, in tiles if the cluster is crowded, so no task holds more than two tiles; what links is again written as one row a point.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from itertools import count
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from docgauge.llm.collocation import _powers
-from docgauge.llm.common import discarded, written
+from docgauge.llm.common import written
 from docgauge.llm.graph import components
 from docgauge.llm.wordhash import mixed, runs
 
 GROUPS = 32
+#: Parities kept beside the counts, one bit each.
+BITS = 1024
 _TABLE = 1 << 22
 _BLOCK = 1 << 16
 _LEAF = 16
@@ -42,6 +43,8 @@ _LEAF = 16
 _FEW = 250_000
 #: Regions up to this size are compared point by point, many at once.
 _SMALL = 48
+#: Pairs of rows that a task compares before it joins them to clusters.
+_PAIRS = 4_000_000
 _BASE = 0x9FB21C651E98DF25 | 1
 _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\n\x0b\x0c\r")] = True
@@ -119,10 +122,27 @@ def commonness(docs: DataFrame, width: int) -> np.ndarray:
     return np.ceil(np.log2(over + 1)).astype(np.uint8)
 
 
+def parities(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Whether an odd number of shingles lies in each of ``bits`` (a power of two, 64 or more) groups, packed into 64-bit numbers."""
+    odd = np.bincount((hashes >> np.uint64(26)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def count_vector(hashes: np.ndarray) -> bytes:
-    """How many shingles lie in each of ``GROUPS`` groups; 65,535 stands for that many or more."""
+    """How many shingles lie in each of ``GROUPS`` groups (65,535 stands for that many or more), then ``BITS`` parities."""
     grouped = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
-    return np.minimum(grouped, 65535).astype("<u2").tobytes()
+    return np.minimum(grouped, 65535).astype("<u2").tobytes() + parities(hashes, BITS).tobytes()
+
+
+def _unpacked(vectors: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and parities of some ``count_vector``s."""
+    rows = np.frombuffer(b"".join(vectors), np.uint8).reshape(-1, 2 * GROUPS + BITS // 8)
+    return np.ascontiguousarray(rows[:, : 2 * GROUPS]).view("<u2").astype(np.int32), np.ascontiguousarray(rows[:, 2 * GROUPS :]).view(np.uint64)
+
+
+def _near(a: np.ndarray, b: np.ndarray, n_a: np.ndarray | int, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether parities differ no more often than sets of the wanted similarity may: each that differs is a shingle of one set alone."""
+    return (100 + percent) * np.bitwise_count(a ^ b).sum(-1, dtype=np.int64) <= (100 - percent) * (n_a + n_b)
 
 
 def count_vectors(sets: DataFrame) -> DataFrame:
@@ -234,18 +254,42 @@ def region_pairs(key: np.ndarray, counts: np.ndarray, n: np.ndarray, root: np.nd
     return tuple(np.concatenate(side) for side in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def compared(rows: DataFrame, star: bool, percent: int, ends: bool = False) -> DataFrame:
-    """``a, b`` for regions (key, node, n, counts, root) whose rows come together; with ``ends`` only ``node``: the points that any pair has."""
+def joined(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each of ``n`` points the least one that the pairs ``x, y`` connect it with."""
+    low = np.arange(n)
+    while (low[x] != low[y]).any():
+        a, b = low[x], low[y]
+        least = np.minimum(a, b)
+        np.minimum.at(low, a, least)
+        np.minimum.at(low, b, least)
+        while (low[low] != low).any():
+            low = low[low]
+    return low
+
+
+def clustered(rows: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` for regions (key, node, n, counts, root) whose rows come together: each point ``b`` of a pair that the bounds allow, with the
+    least point ``a`` that such pairs of a task connect it with. A task writes a point once, however many pairs it has."""
 
-    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def solve(table: pa.Table) -> pa.RecordBatch:
         key, node, n, root = (table.column(c).to_numpy() for c in ("key", "node", "n", "root"))
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int32)
-        x, y = region_pairs(key, counts, n, root, node, star, percent)
-        if ends:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(node[np.concatenate((x, y))]))], ["node"])
-            return
-        pairs = np.unique(np.stack((np.minimum(node[x], node[y]), np.maximum(node[x], node[y]))), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        counts, bits = _unpacked(table.column("counts").to_pylist())
+        points, place = np.unique(node, return_inverse=True)
+        new = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
+        size = np.diff(np.append(new, len(key)))
+        part = np.cumsum(size.astype(np.int64) ** 2) // _PAIRS  # some regions at a time, for memory
+        low = np.arange(len(points))
+        for p in np.unique(part):
+            mine = np.flatnonzero(part == p)
+            at = slice(new[mine[0]], new[mine[-1]] + size[mine[-1]])
+            x, y = region_pairs(key[at], counts[at], n[at], root[at], node[at], False, percent)
+            near = [_near(bits[at][x[k : k + 50_000]], bits[at][y[k : k + 50_000]], n[at][x[k : k + 50_000]], n[at][y[k : k + 50_000]], percent) for k in range(0, len(x), 50_000)]
+            if near:
+                near = np.concatenate(near)
+                here = np.arange(len(points))
+                low = joined(len(points), np.concatenate((here, place[at][x[near]])), np.concatenate((low, place[at][y[near]])))
+        b = np.flatnonzero(low != np.arange(len(points)))
+        return pa.RecordBatch.from_arrays([pa.array(points[low[b]]), pa.array(points[b])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -256,25 +300,26 @@ def compared(rows: DataFrame, star: bool, percent: int, ends: bool = False) -> D
                 key = whole.column("key").to_numpy()
                 last = int(np.searchsorted(key, key[-1]))  # the last region may go on
                 if last:
-                    yield from solve(whole.slice(0, last))
+                    yield solve(whole.slice(0, last))
                     held = whole.slice(last).to_batches()
         if held:
-            yield from solve(pa.Table.from_batches(held))
+            yield solve(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(run, "node long" if ends else "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def tiled(boxes: DataFrame, sizes: DataFrame, tile: int, seed: int, star: bool) -> DataFrame:
-    """The rows of ``boxes`` with a ``key`` for the region, or for the tile or pair of tiles of a region of more than ``tile`` points."""
+def tiled(boxes: DataFrame, sizes: DataFrame, tile: int) -> DataFrame:
+    """The rows of ``boxes`` with a ``key`` for the region, or for the pair of tiles of a region of more than ``tile`` points."""
     rows = boxes.join(sizes, "region")
+    return _dealt(rows, "region", tile).select("key", "node", "n", "counts", "root").repartition("key").sortWithinPartitions("key")
+
+
+def _dealt(rows: DataFrame, group: str, tile: int) -> DataFrame:
+    """The rows (``m``: how many their group has) with ``key``, ``pair`` and ``mine``: once for each pair of tiles that their own is in."""
     tiles = F.ceil(F.col("m") / tile).cast("int")
-    mine = F.pmod(F.xxhash64("node", F.lit(seed)), tiles).cast("int")
-    if star:
-        made = rows.withColumn("key", F.xxhash64("region", mine))
-    else:
-        pairs = F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.struct(F.least(t, mine).alias("i"), F.greatest(t, mine).alias("j")))
-        made = rows.withColumn("pair", F.explode(pairs)).withColumn("key", F.xxhash64("region", "pair.i", "pair.j"))
-    return made.select("key", "node", "n", "counts", "root").repartition("key").sortWithinPartitions("key")
+    mine = F.pmod(F.xxhash64("node"), tiles).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.struct(F.least(t, mine).alias("i"), F.greatest(t, mine).alias("j")))
+    return rows.withColumns({"mine": mine, "pair": F.explode(pairs)}).withColumn("key", F.xxhash64(group, "pair.i", "pair.j"))
 
 
 def _sets(docs: DataFrame, points: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -301,17 +346,77 @@ def _sets(docs: DataFrame, points: DataFrame, nodes: DataFrame, width: int) -> D
     return found.where("times = 1").select("row", "shingles").union(repeats)
 
 
-def _verified(sets: DataFrame, n_sets: int, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets have the wanted similarity. As many pairs as there are sets are verified at a time, so that no step moves
-    much more than all sets, however many pairs there are."""
-    parts = max(1, -(-pairs.count() // max(1, n_sets)))
-    both, total = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-    found = []
-    for part in range(parts):
-        some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == part) if parts > 1 else pairs
-        rows = some.join(sets.toDF("b", "of_b"), "b").join(sets.toDF("a", "of_a"), "a")
-        found.append(written(rows.where(100 * both >= percent * (total - both)).select("a", "b"), "sets-links"))
-    return reduce(DataFrame.union, found)
+def links_within(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray, share: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets (numbers, none empty) of similarity ``share`` that connect what such pairs connect: as many as join different components.
+
+    ``root``: sets of one root are connected already. ``side``: with two different ones only pairs from one to the other are looked at.
+    """
+    size = np.array([len(s) for s in sets], np.int64)
+    bits = max(64, min(1 << 15, 1 << int(4 * size.max()).bit_length()))
+    odd = np.stack([parities(s, bits) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.cumsum(size) - size
+    held = np.zeros(int(ids.max()) + 1, bool)
+    component = np.unique(root, return_inverse=True)[1]
+    num, den = share.numerator, share.denominator
+    two = side.min() != side.max()
+    found: list[tuple[int, int]] = []
+    for x in range(len(sets)):
+        other = np.arange(x + 1, len(sets))
+        fits = (component[other] != component[x]) & (den * np.minimum(size[other], size[x]) >= num * np.maximum(size[other], size[x]))
+        other = other[fits & (side[other] != side[x])] if two else other[fits]
+        differ = np.bitwise_count(odd[other] ^ odd[x]).sum(-1, dtype=np.int64)
+        other = other[(den + num) * differ <= (den - num) * (size[other] + size[x])]
+        if not len(other):
+            continue
+        mine = ids[start[x] : start[x] + size[x]]
+        held[mine] = True
+        for k in range(0, len(other), 256):
+            some = other[k : k + 256]
+            ends = np.cumsum(size[some])
+            within = np.arange(ends[-1]) + np.repeat(start[some] - ends + size[some], size[some])
+            both = np.add.reduceat(held[ids[within]].astype(np.int64), ends - size[some])
+            for y in some[den * both >= num * (size[some] + size[x] - both)].tolist():
+                if component[y] != component[x]:
+                    component[component == component[y]] = component[x]
+                    found.append((x, y))
+        held[mine] = False
+    return tuple(np.array(f, np.int64) for f in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def linked(sets: DataFrame, edges: DataFrame, share: Fraction, tile: int) -> DataFrame:
+    """``a, b``: pairs of whole sets (row, shingles, and perhaps root: what is connected already) of similarity ``share``, within the clusters
+    that ``edges`` (a, b) connect. Every link within a cluster is between points that these pairs and roots connect; there are fewer than
+    points in a task, however many pairs link. Sets move once, or once for each tile of a crowded cluster."""
+    sets, clusters = sets.where(F.size("shingles") > 0), components(edges)
+    heads = clusters.select(F.col("root").alias("row"), F.col("root").alias("cluster")).distinct()
+    members = clusters.toDF("row", "cluster").union(heads)
+    if "root" not in sets.columns:
+        sets = sets.withColumn("root", F.col("row"))
+    # Sets of over a thousand shingles count for several, so that a tile has bounded memory.
+    weight = F.greatest(F.count("*"), F.ceil(F.sum(F.size("shingles")) / 1024)).cast("int").alias("m")
+    sizes = sets.join(members, "row").groupBy("cluster").agg(weight)
+    rows = sets.join(members.join(sizes, "cluster"), "row").withColumnRenamed("row", "node")
+    rows = _dealt(rows, "cluster", tile).select("key", "node", "root", F.when(F.col("pair.i") == F.col("pair.j"), 0).otherwise(F.col("mine")).alias("side"), "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            node, root, side = (np.array([h[i] for h in held]) for i in (1, 2, 3))
+            x, y = links_within([h[4] for h in held], root, side, share)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], ["a", "b"])
+
+        held: list[tuple] = []
+        for batch in batches:
+            plain = [batch.column(c).to_pylist() for c in ("key", "node", "root", "side")]
+            for i, row in enumerate(zip(*plain)):
+                if held and row[0] != held[0][0]:
+                    yield from solve(held)
+                    held = []
+                held.append((*row, batch.column("shingles")[i].values.to_numpy().view(np.uint64).copy()))
+        if held:
+            yield from solve(held)
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
 def _crowding(boxes: DataFrame) -> DataFrame:
@@ -335,38 +440,11 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, tile: int =
     nodes = points.select("row", "n", "regions", "counts").join(heads.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
     entered = nodes.select("node", F.explode("regions").alias("region"))
     sizes = _crowding(entered)
-    met = written(entered.join(sizes, "region", "left_semi").join(nodes.select("node", "n", "counts"), "node"), "sets-boxes")
-    alive = written(compared(tiled(met.withColumn("root", F.col("node")), sizes, tile, 0, False), False, percent, ends=True), "sets-alive")
-    boxes = written(met.join(alive, "node", "left_semi"), "sets-boxes")
-    discarded(met)
-    sizes = _crowding(boxes)
-    sets, n_sets = _sets(rows, points, alive, width), alive.count()
-
-    rooted, edges, tested, roots, most = boxes.withColumn("root", F.col("node")), None, None, None, 0
-    for seed in count():
-        pairs = compared(tiled(rooted, sizes, tile, seed, True), True, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        # A point in many regions has many stars; one of them a round is enough, as links make the others needless.
-        pairs = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "sets-stars")
-        found = _verified(sets, n_sets, pairs, percent)
-        n = found.count()
-        tested = pairs if tested is None else tested.union(pairs)
-        if n:
-            edges = found if edges is None else edges.union(found)
-            roots = components(edges)
-            placed = boxes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            parted = placed.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("region")
-            before, rooted = rooted, written(placed.join(parted, "region", "left_semi"), "sets-boxes")
-            if seed:
-                discarded(before)
-        most = max(most, n)
-        if n <= most // 8:  # stars have found most of what they can; the rest is compared in full
-            break
-    pairs = compared(tiled(rooted, sizes, tile, 0, False), False, percent).join(tested, ["a", "b"], "left_anti")
-    rest = _verified(sets, n_sets, written(pairs, "sets-rest"), percent)
-    if not rest.isEmpty():
-        roots = components(rest if edges is None else edges.union(rest))
+    boxes = entered.join(sizes, "region", "left_semi").join(nodes.select("node", "n", "counts"), "node").withColumn("root", F.col("node"))
+    edges = written(clustered(tiled(boxes, sizes, tile), percent), "sets-clusters")
+    alive = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "sets-alive")
+    links = written(linked(_sets(rows, points, alive, width), edges, Fraction(percent, 100), tile), "sets-links")
+    roots = None if links.isEmpty() else components(links)
 
     named = heads.select("digest", "node", "least")
     if roots is None:

@@ -8,12 +8,13 @@ No bucket writes all its pairs. Every member is first compared with the bucket's
 component, their members are compared where they share rare shingles: of two sets of the wanted similarity, ordered by how often
 their shingles occur, rarest first, the first few of the one hold one of the first few of the other (``rarest``). A passage that unlike
 documents share is last in their order, so they do not meet. Those who meet at a shingle and are in different components are points of
-one region of ``setjoin``: a tree over their count vectors lets only pairs through that can be similar, and these are verified.
+one region of ``setjoin``, which joins those that can be similar to clusters, without writing their pairs, and compares the sets of a cluster.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from docgauge.llm.common import written
 from docgauge.llm.graph import components
-from docgauge.llm.setjoin import compared, count_vectors, tiled
+from docgauge.llm.setjoin import clustered, count_vectors, linked, tiled
 from docgauge.llm.simhash import fold, links, shingle_hashes
 from docgauge.llm.wordhash import mixed
 
@@ -166,9 +167,10 @@ def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
     parts = written(parts.where("parts > 1 AND short").select(F.col("s").alias("region"), "m"), "near-meeting")
     boxes = rare.select(F.col("s").alias("region"), "node", F.col("size").cast("long").alias("n"), "root").join(parts.select("region"), "region", "left_semi")
     boxes = written(boxes.join(count_vectors(sets).withColumnRenamed("row", "node"), "node"), "near-boxes")
-    percent = int(least * 100 + 1e-9)
-    second = compared(tiled(boxes, parts, 1024, 0, False), False, percent).join(first, ["a", "b"], "left_anti")
-    more = written(alike(known, written(second, "near-rest"), width, least, sets), "near-more")
+    clusters = written(clustered(tiled(boxes, parts, 1024), int(least * 100 + 1e-9)), "near-clusters")
+    rooted_sets = sets.withColumnRenamed("doc_id", "row").join(known_roots.toDF("row", "root"), "row")
+    second = written(linked(rooted_sets, clusters, Fraction(least).limit_denominator(1_000_000), 1024), "near-rest")
+    more = written(alike(known, second, width, least, sets), "near-more")
     if not more.isEmpty():
         roots = components(edges.union(more))
     named = tied.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from docgauge.llm import setjoin
+from docgauge.llm import setjoin, similar
 from tests.llm.helpers import clashing, documents, odd_rows, rows_of, words
 
 
@@ -110,3 +110,27 @@ def test_regions_in_one_batch_and_with_stars():
     for star, want in ((False, {(10, 12), (11, 12), (10, 13)}), (True, {(10, 12), (11, 12), (10, 13)})):
         x, y = setjoin.region_pairs(key, counts, n, root, node, star, 80)
         assert {(min(p), max(p)) for p in zip(node[x].tolist(), node[y].tolist())} == want
+
+
+@pytest.mark.parametrize("operator", ["similar_sets", "near_groups"])
+def test_no_table_holds_the_pairs_of_a_crowd(spark, monkeypatch, operator):
+    """Copies of one text whose pairs lie just below the wanted similarity, a few of them linked."""
+    rng = random.Random(12)
+    crowd = words(rng, 200, 10**6)
+    rows = [(i, _edited(rng, crowd, 4 + i % 3), None, None, None) for i in range(200)]
+    rows += [(1000 + i, _edited(rng, rows[i][1], 1), None, None, None) for i in range(20)]
+    module, plain, sizes = {"similar_sets": setjoin, "near_groups": similar}[operator], setjoin.written, []
+
+    def written(df, name):
+        out = plain(df, name)
+        if out.columns == ["a", "b"]:
+            sizes.append(out.count())
+        return out
+
+    for each in (setjoin, similar):
+        monkeypatch.setattr(each, "written", written)
+    got = {r.doc_id: r.component_id for r in getattr(module, operator)(documents(spark, rows)).collect()}
+    if operator == "similar_sets":  # the other links by fingerprints too
+        want = {i: c for i, _, c in _brute(rows)}
+        assert got == want and len(set(want.values())) <= 200
+    assert max(sizes) < 2 * len(rows)
