@@ -40,31 +40,34 @@ def quote_pages(questions: DataFrame, pages: DataFrame) -> DataFrame:
     question = [*question, "needle"]
     words = asked.select(*question, F.explode(F.split("needle", " ")).alias("word")).groupBy(*question, "word").agg(F.count("*").alias("times"))
     held = pages.select(site, "url", T.normalize_for_match(F.col("text")).alias("hay"))
-    on_page = held.select(site, "url", F.explode(F.array_distinct(F.split("hay", " "))).alias("word"))
-    on_page = on_page.filter(F.col("word") != "").distinct()
+    # Rows of two hashes in place of three texts. Words or pages of one hash make more candidates, never fewer, and texts decide.
+    hashed = lambda word: F.xxhash64(site, word)
+    page = F.xxhash64(site, "url").alias("page")
+    # The outer form: a plain explode would test the page's words for emptiness first, and so take them twice.
+    on_page = held.select(page, F.explode_outer(F.transform(F.array_distinct(F.split("hay", " ")), hashed)).alias("at")).distinct()
+    words = words.withColumn("at", hashed(F.col("word")))
 
     # Page words that no quote names are dropped before anything is counted.
-    of_quotes = words.select(site, "word").distinct()
-    known = on_page.join(of_quotes, [site, "word"], "left_semi").groupBy(site, "word").agg(F.count("*").alias("found_on"))
+    known = on_page.join(words.select("at").distinct(), "at", "left_semi").groupBy("at").agg(F.count("*").alias("found_on"))
     n = F.size(F.split("needle", " "))
     # A little over the exact share: one key too many costs a test, one too few would lose a page.
     lacking = F.greatest(F.lit(2), F.floor(n * F.lit(1 - K.QUOTE_OVERLAP) + F.lit(0.001)))
-    ranked = words.join(known, [site, "word"], "left").withColumn("found_on", F.coalesce("found_on", F.lit(0)))
+    ranked = words.join(known, "at", "left").withColumn("found_on", F.coalesce("found_on", F.lit(0)))
     before = Window.partitionBy(*question).orderBy("found_on", "word").rowsBetween(Window.unboundedPreceding, -1)
     keyed = ranked.withColumn("before", F.coalesce(F.sum("times").over(before), F.lit(0)))
-    keyed = keyed.filter((n > 2) & (F.col("before") <= lacking) & (F.col("found_on") > 0)).select(*question, "word")
+    keyed = keyed.filter((n > 2) & (F.col("before") <= lacking) & (F.col("found_on") > 0)).select(*question, "at")
 
     short = asked.filter(n <= 2).withColumn("piece", F.split_part("needle", F.lit(" "), F.lit(1)))
     sizes = short.groupBy(site).agg(F.sort_array(F.collect_set(F.length("piece"))).alias("sizes"))
-    vocabulary = on_page.select(site, "word").distinct().join(sizes, site)
+    vocabulary = held.select(site, F.explode_outer(F.split("hay", " ")).alias("word")).distinct().filter(F.col("word") != "").join(sizes, site)
     starts = lambda size: F.sequence(F.lit(1), F.length("word") - size + 1)
     fitting = F.filter("sizes", lambda size: size <= F.length("word"))
     pieces = F.flatten(F.transform(fitting, lambda size: F.transform(starts(size), lambda at: F.substring(F.col("word"), at, size))))
     inside = vocabulary.select(site, "word", F.explode(F.array_distinct(pieces)).alias("piece"))
-    short = short.join(inside, [site, "piece"]).select(*question, "word")
+    short = short.join(inside, [site, "piece"]).select(*question, hashed(F.col("word")).alias("at"))
 
-    met = keyed.unionByName(short).join(on_page, [site, "word"]).select(*question, "url").distinct()
-    tested = met.join(held, [site, "url"]).filter(T.holds(F.col("hay"), F.col("needle")))
+    met = keyed.unionByName(short).join(on_page, "at").select(*question, "page").distinct()
+    tested = met.join(held.withColumn("page", page), [site, "page"]).filter(T.holds(F.col("hay"), F.col("needle")))
     return tested.select(site, "question_ord", "url").distinct()
 
 

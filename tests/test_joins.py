@@ -6,6 +6,7 @@ import time
 
 from docgauge.operators import agentdocs as G, answers as A, scoring
 from docgauge.sources import robots as R
+from workload import captures as C
 
 
 def matches(pattern, path):
@@ -123,3 +124,11 @@ def test_score_rollup(spark):
         (3, "a", "access", "x"): (2, 2, 0, 0.3, 0.6, 50), (3, "a", "access", "y"): (1, 0, 0, 0.0, 0.0, None), (3, "a", "freshness", "y"): (1, 0, 1, 0.0, 0.0, None),
         (3, "b", None, "x"): (1, 1, 0, 1.0, 8.0, 13),
     }
+
+
+def test_first_words_read_no_more_than_these_words(spark):
+    texts = ["", " ", None, "one", "  a\tb \n c d", "a\x0bb c", "\u00a0x y z", "w" * 20_000 + " b c d", " ".join(map(str, range(50))) + " "]
+    words = C.first_words("text", 3)
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select(words.alias("w")).collect()
+    assert [r.w for r in got] == [t if t is None else re.sub("[\t\n\f\r ]+", " ", t).strip(" ").split(" ")[:3] for t in texts]
+    assert "regexp_replace(text," not in str(words)
