@@ -45,6 +45,8 @@ _FEW = 250_000
 _SMALL = 48
 #: Pairs of rows that a task compares before it joins them to clusters.
 _PAIRS = 4_000_000
+#: Parities of a whole set, compared before the sets of a cluster move.
+_FINE = 1 << 14
 _BASE = 0x9FB21C651E98DF25 | 1
 _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\n\x0b\x0c\r")] = True
@@ -384,13 +386,64 @@ def links_within(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray, sha
     return tuple(np.array(f, np.int64) for f in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _members(edges: DataFrame) -> DataFrame:
+    """``row, cluster`` of all points of ``edges``."""
+    clusters = components(edges)
+    heads = clusters.select(F.col("root").alias("row"), F.col("root").alias("cluster")).distinct()
+    return clusters.toDF("row", "cluster").union(heads)
+
+
+def refined(sets: DataFrame, members: DataFrame, share: Fraction, tile: int) -> DataFrame:
+    """``a, b``: stars of the clusters that are left of ``members`` (row, cluster) where only sets (row, root, shingles) are connected that
+    ``_FINE`` parities allow to link. Two kilobytes a set move to the tiles of a crowded cluster, not the sets."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [v.values.to_numpy().view(np.uint64) for v in batch.column("shingles")]
+            odd = pa.array([parities(v, _FINE).tobytes() for v in each], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([len(v) for v in each], pa.int64()), odd], ["node", "n", "odd"])
+
+    def solve(held: list[tuple]) -> pa.RecordBatch:
+        node, n = (np.array([h[i] for h in held]) for i in (1, 2))
+        odd = np.frombuffer(b"".join(h[3] for h in held), np.uint64).reshape(len(held), -1)
+        component = np.arange(len(held))
+        num, den = share.numerator, share.denominator
+        for x in range(len(held)):
+            other = np.arange(x + 1, len(held))
+            other = other[(component[other] != component[x]) & (den * np.minimum(n[other], n[x]) >= num * np.maximum(n[other], n[x]))]
+            differ = np.bitwise_count(odd[other] ^ odd[x]).sum(-1, dtype=np.int64)
+            near = other[(den + num) * differ <= (den - num) * (n[other] + n[x])]
+            if len(near):
+                component[np.isin(component, component[near])] = component[x]
+        first = np.unique(component, return_index=True, return_inverse=True)[1:]
+        head = first[0][first[1]]
+        b = np.flatnonzero(head != np.arange(len(held)))
+        return pa.RecordBatch.from_arrays([pa.array(node[head[b]]), pa.array(node[b])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "n", "odd"))):
+                if held and row[0] != held[0][0]:
+                    yield solve(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield solve(held)
+
+    sizes = members.groupBy("cluster").agg(F.count("*").cast("int").alias("m"))
+    sketches = sets.select("row", "shingles").mapInArrow(sketch, "node long, n long, odd binary")
+    rows = sketches.join(members.join(sizes, "cluster").withColumnRenamed("row", "node"), "node")
+    rows = _dealt(rows, "cluster", tile).select("key", "node", "n", "odd").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def linked(sets: DataFrame, edges: DataFrame, share: Fraction, tile: int) -> DataFrame:
     """``a, b``: pairs of whole sets (row, shingles, and perhaps root: what is connected already) of similarity ``share``, within the clusters
     that ``edges`` (a, b) connect. Every link within a cluster is between points that these pairs and roots connect; there are fewer than
     points in a task, however many pairs link. Sets move once, or once for each tile of a crowded cluster."""
-    sets, clusters = sets.where(F.size("shingles") > 0), components(edges)
-    heads = clusters.select(F.col("root").alias("row"), F.col("root").alias("cluster")).distinct()
-    members = clusters.toDF("row", "cluster").union(heads)
+    sets = sets.where(F.size("shingles") > 0)
+    members = _members(written(refined(sets, _members(edges), share, tile), "sets-refined"))
     if "root" not in sets.columns:
         sets = sets.withColumn("root", F.col("row"))
     # Sets of over a thousand shingles count for several, so that a tile has bounded memory.
