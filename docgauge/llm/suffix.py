@@ -11,8 +11,9 @@
 4. Repeated strings become spans of their texts, which are merged and cut.
 
 Contexts of a gram that has more than ``crowd`` different ones are cut into pieces by the distance of their strings from the anchor. Equal
-pieces are one row, so a passage that very many texts share is sorted once; the others are sorted as above. Where even the pieces of one
-gram and distance are too many, they are single strings, and equal ones are found as equal rows (128 bits of SHA-256).
+pieces are one row, so a passage that very many texts share is sorted once. All strings of a piece hold its core, so only pieces with equal
+cores are compared: what lies around the passage differs there and drops out. Where over ``crowd`` different pieces share a core, these pieces,
+one row each, are cut again into shorter ones, at last into single strings, which are their own core.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from docgauge.llm.common import written
 
@@ -277,110 +278,113 @@ def _cut_contexts(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
-    """``g, ch, low, high``: repeated strings of contexts, as ranges of their numbers; rows of one g come together, in order."""
+    """``g, ch, low, high``: repeated strings of contexts or of pieces (g, owner, base, ctx), as ranges of their owners' numbers; rows of one g come
+    together, in order. Rows whose base is -1 are compared with the others, but not told."""
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
-        data, begin, _ = _laid([h[2] for h in held])
-        strings = np.array([len(h[2]) for h in held]) - length + 1
+        data, begin, _ = _laid([h[4] for h in held])
+        strings = np.array([len(h[4]) for h in held]) - length + 1
         row = np.repeat(np.arange(len(held), dtype=np.int32), strings)
         nth = np.arange(len(row), dtype=np.int32) - np.repeat((np.cumsum(strings) - strings).astype(np.int32), strings)
         group = np.cumsum([i > 0 and held[i][0] != held[i - 1][0] for i in range(len(held))])
-        found = repeated(Prefixes(data), begin[row] + nth, group.astype(np.int32)[row], length)
+        base = np.array([h[3] for h in held], np.int64)
+        found = repeated(Prefixes(data), begin[row] + nth, group.astype(np.int32)[row], length) & (base >= 0)[row]
         edge = np.diff(np.concatenate(([0], np.where(found, row + 1, 0), [0])))
         start, end = np.flatnonzero((edge != 0)[:-1] & found), np.flatnonzero((edge != 0)[1:] & found)
-        columns = ([h[0] for h in held], [h[1] for h in held])
+        columns = ([h[1] for h in held], [h[2] for h in held])
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.array(c, np.int64)[row[start]]) for c in columns] + [pa.array(nth[k].astype(np.int64)) for k in (start, end)], ["g", "ch", "low", "high"]
+            [pa.array(np.array(c, np.int64)[row[start]]) for c in columns] + [pa.array(base[row[start]] + nth[k]) for k in (start, end)], ["g", "ch", "low", "high"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for item in zip(*(batch.column(c).to_pylist() for c in ("g", "ch", "ctx"))):
+            for item in zip(*(batch.column(c).to_pylist() for c in ("g", "of", "ch", "base", "ctx"))):
                 if size >= _SLICE and item[0] != held[-1][0]:
                     yield solve(held)
                     held, size = [], 0
                 held.append(item)
-                size += len(item[2])
+                size += len(item[4])
         if held:
             yield solve(held)
 
-    return rows.mapInArrow(run, "g long, ch long, low long, high long")
+    told = rows.select("g", F.col("owner.g").alias("of"), "owner.ch", "base", "ctx")
+    return told.mapInArrow(run, "g long, ch long, low long, high long")
 
 
-def _pieces(strings: DataFrame, length: int, step: int) -> DataFrame:
-    """``g, ch, base, gp, sub, sh``: contexts cut into pieces of up to ``step`` strings whose anchors lie at neighbouring distances.
+def _pieces(rows: DataFrame, length: int, step: int) -> DataFrame:
+    """``g, sh, n, owner, base, off, ctx``: ``rows`` (the same columns) cut into pieces of up to ``step`` strings at neighbouring distances from the anchor.
 
-    Equal strings have their anchor at the same distance, so they lie in pieces of one ``gp`` (gram and distances). ``sub`` are the bytes of the
-    piece, ``sh`` their hash with the first distance: equal pieces have equal ``sh``. ``base`` is the number of the piece's first string.
+    Equal strings have their anchor at the same distance, so they lie in pieces of the same distances, and both hold the core: the bytes that
+    all strings of these distances have in common. A new ``g`` stands for the old one, distances and core. ``sh`` is a hash of the bytes of the
+    piece and of the anchor's place: equal pieces have equal ``sh``. ``base`` is the number of the piece's first string in its owner.
     """
     last = F.octet_length("ctx").cast("long") - length
-    rows = strings.withColumn("last", last)
-    rows = rows.select("g", "ch", "off", "last", "ctx", F.explode(F.expr(f"sequence((off - last) div {step}, off div {step})")).alias("piece"))
-    base = F.greatest(F.lit(0), F.col("off") - (F.col("piece") * step + step - 1)).cast("long")
-    end = F.least(F.col("last"), F.col("off") - F.col("piece") * step).cast("long")
-    rows = rows.select("g", "ch", "off", "piece", "ctx", base.alias("base"), end.alias("end"))
-    sub = F.substring("ctx", (F.col("base") + 1).cast("int"), (F.col("end") - F.col("base") + length).cast("int"))
-    rows = rows.select("g", "ch", "base", F.xxhash64("g", "piece").alias("gp"), sub.alias("sub"), (F.col("off") - F.col("base")).cast("string").alias("far"))
-    digest = F.unhex(F.substring(F.sha2(F.concat("sub", F.lit("/").cast("binary"), F.col("far").cast("binary")), 256), 1, 32))
-    return rows.select("g", "ch", "base", "gp", "sub", digest.alias("sh"))
+    rows = rows.withColumn("last", last)
+    rows = rows.select("g", "n", "owner", "base", "off", "last", "ctx", F.explode(F.expr(f"sequence((off - last) div {step}, off div {step})")).alias("piece"))
+    start = F.greatest(F.lit(0), F.col("off") - (F.col("piece") * step + step - 1)).cast("int")
+    end = F.least(F.col("last"), F.col("off") - F.col("piece") * step).cast("int")
+    core = F.substring("ctx", (F.col("off") - F.col("piece") * step + 1).cast("int"), F.lit(length - step + 1))
+    rows = rows.select(F.xxhash64("g", "piece", core).alias("g"), "n", "owner", "base", "off", start.alias("start"), end.alias("end"), "ctx")
+    sub = F.substring("ctx", F.col("start") + 1, F.col("end") - F.col("start") + length)
+    rows = rows.select("g", "n", "owner", (F.col("base") + F.col("start")).alias("base"), (F.col("off") - F.col("start")).alias("off"), sub.alias("ctx"))
+    digest = F.unhex(F.substring(F.sha2(F.concat("ctx", F.lit("/").cast("binary"), F.col("off").cast("string").cast("binary")), 256), 1, 32))
+    return rows.select("g", digest.alias("sh"), "n", "owner", "base", "off", "ctx")
 
 
 def _classes(pieces: DataFrame) -> DataFrame:
-    """``gp, sh, n, sub, key``: equal pieces as one row, with ``key`` for the sort."""
-    classes = pieces.groupBy("gp", "sh").agg(F.count("*").alias("n"), F.first("sub").alias("sub"))
-    return written(classes.withColumn("key", F.xxhash64("sh")), "suffix-classes")
+    """Equal pieces as one row of the same columns; ``n`` says how many contexts hold it, owner and base are meant where that is one."""
+    firsts = [F.first(c).alias(c) for c in ("owner", "base", "off", "ctx")]
+    return written(pieces.groupBy("g", "sh").agg(F.sum("n").alias("n"), *firsts), "suffix-classes")
 
 
-def _open_sizes(classes: DataFrame, group: str) -> DataFrame:
-    """``m`` by ``group``: how many different ones there are, where there are several and one of them occurs once."""
-    sizes = classes.groupBy(group).agg(F.count("*").alias("m"), F.max((F.col("n") == 1).cast("int")).alias("open"))
+def _open_sizes(classes: DataFrame) -> DataFrame:
+    """``g, m``: how many different ones there are, where there are several and one of them occurs once."""
+    sizes = classes.groupBy("g").agg(F.count("*").alias("m"), F.max((F.col("n") == 1).cast("int")).alias("open"))
     return written(sizes.where("m > 1 AND open = 1").drop("open"), "suffix-sizes")
 
 
-def _placed(pieces: DataFrame, found: DataFrame) -> DataFrame:
-    """Ranges ``gp, key, low, high`` of pieces as arrays ``g, ch, ranges`` of their contexts, one row a piece."""
-    ranges = found.groupBy("gp", "key").agg(F.collect_list(F.struct("low", "high")).alias("found"))
-    rows = pieces.select("g", "ch", "base", "gp", F.xxhash64("sh").alias("key")).join(ranges, ["gp", "key"])
-    moved = F.transform("found", lambda r: F.struct((F.col("base") + r["low"]).alias("low"), (F.col("base") + r["high"]).alias("high")))
-    return rows.select("g", "ch", moved.alias("ranges"))
+def _whole(rows: DataFrame, length: int) -> DataFrame:
+    """``g, ch, low, high`` of all strings of ``rows``."""
+    last = F.octet_length("ctx").cast("long") - length
+    return rows.select("owner.g", "owner.ch", F.col("base").alias("low"), (F.col("base") + last).alias("high"))
+
 
+def _joined(ranges: Column) -> Column:
+    """An array of ranges (low, high) in order, those that meet as one."""
 
-def _whole(classes: DataFrame, length: int) -> DataFrame:
-    """All strings of a piece that occurs twice or more are repeated."""
-    last = F.octet_length("sub").cast("long") - length
-    return classes.where("n > 1").select("gp", "key", F.lit(0).cast("long").alias("low"), last.alias("high"))
+    def take(done: Column, r: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["low"].alias("low"), F.greatest(last["high"], r["high"]).alias("high"))
+        meets = (F.size(done) > 0) & (last["high"] + 1 >= r["low"])
+        return F.when(meets, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(r)))
+
+    return F.aggregate(F.array_sort(ranges), F.array().cast("array<struct<low:bigint,high:bigint>>"), take)
 
 
 def _repeated_ranges(cut: DataFrame, length: int, crowd: int) -> DataFrame:
-    """``g, ch, ranges``: the numbers of the repeated strings of every context that has some, as ranges (low, high) that may overlap."""
+    """``g, ch, ranges``: the numbers of the repeated strings of every context that has some, as ranges (low, high) in order."""
     off = F.first(F.expr("shiftright(at, 10) & 1023")).alias("off")
-    classes = written(cut.groupBy("g", "ch").agg(F.count("*").alias("n"), off, F.first("ctx", ignorenulls=True).alias("ctx")), "suffix-contexts")
-    last = F.octet_length("ctx").cast("long") - length
-    whole = classes.where("n > 1").select("g", "ch", F.lit(0).cast("long").alias("low"), last.alias("high"))
-    sizes = _open_sizes(classes, "g")
-    several = classes.join(sizes, "g")
-    rows = several.where(F.col("m") <= crowd).select("g", "ch", "ctx")
-    crowded = not sizes.where(F.col("m") > crowd).isEmpty()
-    if crowded:
-        contexts = written(several.where(F.col("m") > crowd).select("g", "ch", "off", "ctx"), "suffix-crowded")
-        pieces = written(_pieces(contexts, length, max(1, length // 12)), "suffix-pieces")
-        distinct = _classes(pieces)
-        left = _open_sizes(distinct, "gp")
-        rows = rows.union(distinct.join(left.where(F.col("m") <= crowd), "gp").select("gp", "key", "sub"))
+    contexts = written(cut.groupBy("g", "ch").agg(F.count("*").alias("n"), off, F.first("ctx", ignorenulls=True).alias("ctx")), "suffix-contexts")
+    level = contexts.withColumns({"sh": F.col("ch"), "owner": F.struct("g", "ch"), "base": F.lit(0).cast("long")})
+    ranges = _whole(level.where("n > 1"), length)
+    steps = sorted({max(1, length // 12), max(1, length // 48), 1})
+    base = F.when(F.col("n") == 1, F.col("base")).otherwise(-1).alias("base")
+    few = None
+    while True:
+        sizes = _open_sizes(level)
+        several = level.join(sizes, "g")
+        rows = several.where(F.col("m") <= crowd).select("g", "owner", base, "ctx")
+        few = few.union(rows) if few is not None else rows
+        if not steps or sizes.where(F.col("m") > crowd).isEmpty():
+            break
+        pieces = written(_pieces(several.where(F.col("m") > crowd), length, steps.pop()), "suffix-pieces")
+        level = _classes(pieces)
+        ranges = ranges.union(_whole(pieces.where("n = 1").join(level.where("n > 1").select("g", "sh"), ["g", "sh"], "left_semi"), length))
     parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = _sorted_groups(rows.repartition(parts, "g").sortWithinPartitions("g"), length)
-    if crowded:
-        ordered = written(ordered, "suffix-ranges")
-    one = F.array(F.struct("low", "high")).alias("ranges")
-    ranges = whole.union(ordered).select("g", "ch", one)
-    if crowded:
-        ranges = ranges.union(_placed(pieces, _whole(distinct, length).union(ordered.toDF("gp", "key", "low", "high"))))
-        left = pieces.join(left.where(F.col("m") > crowd), "gp", "left_semi").select("g", "ch").distinct()
-        single = written(_pieces(contexts.join(left, ["g", "ch"], "left_semi"), length, 1), "suffix-strings")
-        ranges = ranges.union(_placed(single, _whole(_classes(single), length)))
-    return ranges.groupBy("g", "ch").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    ranges = ranges.union(_sorted_groups(few.repartition(parts, "g").sortWithinPartitions("g"), length))
+    return ranges.groupBy("g", "ch").agg(_joined(F.collect_list(F.struct("low", "high"))).alias("ranges"))
 
 
 def repeated_spans(docs: DataFrame, length: int, gram: int, crowd: int) -> tuple[DataFrame, DataFrame]:

@@ -270,6 +270,24 @@ def test_crowded_strings_are_counted_not_sorted(spark, monkeypatch):
     assert len(most) == 3 and max(most) <= 1
 
 
+def test_texts_around_a_passage_are_not_cut_to_single_strings(spark, monkeypatch):
+    """Pieces that share no core with another drop out, so finer cuts do not multiply rows (single strings would be over ten times the first cut)."""
+    rng = random.Random(13)
+    passage = words(rng, 60)
+    rows = [(i, words(rng, 30, 10**6) + passage[i % 7 :] + words(rng, 30, 10**6), None, None, None) for i in range(150)]
+    plain, made = suffix._pieces, []
+
+    def pieces(given, length, step):
+        found = plain(given, length, step)
+        made.append((step, found.count()))
+        return found
+
+    monkeypatch.setattr(suffix, "_pieces", pieces)
+    assert rows_of(suffix.deduplicated(documents(spark, rows), 200, 64, 4)) == _plain(rows, 200)
+    assert [step for step, _ in made[:2]] == [16, 4]
+    assert sum(n for _, n in made[1:]) < 2 * made[0][1]
+
+
 def test_suffix_sort_orders_like_bytes():
     rng = random.Random(9)
     data = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(3000)), np.uint8)
