@@ -472,9 +472,16 @@ def linked(sets: DataFrame, edges: DataFrame, share: Fraction, tile: int) -> Dat
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
-def _crowding(boxes: DataFrame) -> DataFrame:
-    """``region, m`` of regions of several points."""
-    return written(boxes.groupBy("region").agg(F.count("*").cast("int").alias("m")).where("m > 1"), "sets-regions")
+def _crowding(entered: DataFrame, percent: int) -> DataFrame:
+    """``region, m`` of regions of several points, for rows of ``node, n, place, region``.
+
+    A region of two, as most are that unlike documents share by chance, is left out where their sizes differ too much, or what follows it in
+    their orders is too little: points that can link have their first common group nearer to the front, in a region of its own.
+    """
+    left = F.min(F.col("n") - F.col("place")).alias("left")
+    sizes = entered.groupBy("region").agg(F.count("*").cast("int").alias("m"), F.min("n").alias("small"), F.max("n").alias("large"), left)
+    fits = F.expr(f"100 * small >= {percent} * large AND {100 + percent} * left >= {percent} * (small + large)")
+    return written(sizes.where((F.col("m") > 2) | ((F.col("m") == 2) & fits)).select("region", "m"), "sets-regions")
 
 
 def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, tile: int = 1024) -> DataFrame:
@@ -491,10 +498,12 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, tile: int =
     heads = points.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
     heads = written(heads, "sets-heads")
     nodes = points.select("row", "n", "regions", "counts").join(heads.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
-    entered = nodes.select("node", F.explode("regions").alias("region"))
-    sizes = _crowding(entered)
-    boxes = entered.join(sizes, "region", "left_semi").join(nodes.select("node", "n", "counts"), "node").withColumn("root", F.col("node"))
-    edges = written(clustered(tiled(boxes, sizes, tile), percent), "sets-clusters")
+    entered = nodes.select("node", "n", F.posexplode("regions").alias("place", "region"))
+    sizes = _crowding(entered, percent)
+    # Points are dealt to tiles as keys, written, and meet their counts only then: those move once.
+    keys = written(_dealt(entered.select("node", "region").join(sizes, "region"), "region", tile).select("key", "node"), "sets-keys")
+    boxes = keys.join(nodes.select("node", "n", "counts"), "node").withColumn("root", F.col("node"))
+    edges = written(clustered(boxes.select("key", "node", "n", "counts", "root").repartition("key").sortWithinPartitions("key"), percent), "sets-clusters")
     alive = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "sets-alive")
     links = written(linked(_sets(rows, points, alive, width), edges, Fraction(percent, 100), tile), "sets-links")
     roots = None if links.isEmpty() else components(links)

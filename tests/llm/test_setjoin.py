@@ -134,3 +134,10 @@ def test_no_table_holds_the_pairs_of_a_crowd(spark, monkeypatch, operator):
         want = {i: c for i, _, c in _brute(rows)}
         assert got == want and len(set(want.values())) <= 200
     assert max(sizes) < 2 * len(rows)
+
+
+def test_regions_of_two_unlike_points_are_left_out(spark):
+    """Sizes too far apart, or the common group too far back; in crowds all stay."""
+    rows = [(1, 100, 0, 7), (2, 79, 0, 7), (1, 100, 2, 8), (3, 90, 12, 8), (1, 100, 5, 9), (3, 90, 5, 9), (1, 100, 0, 10), (2, 10, 0, 10), (3, 90, 0, 10), (1, 100, 1, 11)]
+    entered = spark.createDataFrame(rows, "node long, n long, place int, region long")
+    assert set(rows_of(setjoin._crowding(entered, 80))) == {(9, 2), (10, 3)}
