@@ -39,7 +39,7 @@ BITS = 1024
 _TABLE = 1 << 22
 _BLOCK = 1 << 16
 _LEAF = 16
-#: Points whose keys (40 bytes each) are sent to all tasks; more are joined by a shuffle.
+#: Points or copies whose keys (40 bytes each at most) are sent to all tasks; more are joined by a shuffle.
 _FEW = 250_000
 #: Regions up to this size are compared point by point, many at once.
 _SMALL = 48
@@ -497,7 +497,11 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, tile: int =
     points = written(_points(rows, commonness(rows, width), width, percent), "sets-points")
     heads = points.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
     heads = written(heads, "sets-heads")
-    nodes = points.select("row", "n", "regions", "counts").join(heads.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    # Rows whose set another row stands for: far fewer than points, which need not move to drop them.
+    copies = written(points.where("n > 0").select("row", "digest").join(heads, "digest").where("row <> node").select("row"), "sets-copies")
+    if copies.count() <= _FEW:
+        copies = F.broadcast(copies)
+    nodes = points.where("n > 0").select("row", "n", "regions", "counts").join(copies, "row", "left_anti").withColumnRenamed("row", "node")
     entered = nodes.select("node", "n", F.posexplode("regions").alias("place", "region"))
     sizes = _crowding(entered, percent)
     # Points are dealt to tiles as keys, written, and meet their counts only then: those move once.

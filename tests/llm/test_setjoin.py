@@ -141,3 +141,22 @@ def test_regions_of_two_unlike_points_are_left_out(spark):
     rows = [(1, 100, 0, 7), (2, 79, 0, 7), (1, 100, 2, 8), (3, 90, 12, 8), (1, 100, 5, 9), (3, 90, 5, 9), (1, 100, 0, 10), (2, 10, 0, 10), (3, 90, 0, 10), (1, 100, 1, 11)]
     entered = spark.createDataFrame(rows, "node long, n long, place int, region long")
     assert set(rows_of(setjoin._crowding(entered, 80))) == {(9, 2), (10, 3)}
+
+
+def test_copies_are_dropped_alike_by_shuffle(spark, monkeypatch):
+    """Too many copies to send to all tasks: the same rows."""
+    rng = random.Random(5)
+    texts = [words(rng, 30, 10**6) for _ in range(10)]
+    rows = [(i, texts[i % 10], None, None, None) for i in range(40)] + [(50, "", None, None, None), (51, None, None, None, None)]
+    want = rows_of(setjoin.similar_sets(documents(spark, rows)))
+    seen, plain = {}, setjoin.written
+
+    def written(df, name):
+        out = plain(df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(setjoin, "written", written)
+    monkeypatch.setattr(setjoin, "_FEW", 0)
+    assert rows_of(setjoin.similar_sets(documents(spark, rows))) == want == sorted(_brute(rows), key=repr)
+    assert seen["sets-copies"] == 30
