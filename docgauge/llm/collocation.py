@@ -17,18 +17,22 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from docgauge.llm.common import discarded, written
 from docgauge.llm.wordhash import mixed
 
-_CHUNK = 2_000_000
+#: Characters that a task takes apart at a time, and counted phrases that it holds before it merges them: these bound its memory.
+_CHUNK = 500_000
+_HELD = 1_000_000
 _LENGTH_BITS = 4
 _NEVER = 255
 _BLOCK = 1 << 16
+_JOBS = 8
 #: 0 for bytes of words, 1 for blanks, 2 for what ends a piece.
 _KINDS = np.zeros(256, np.uint8)
 _KINDS[list(b" \t")] = 1
@@ -127,6 +131,13 @@ def _slots(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(_LENGTH_BITS)) & np.uint64(n - 1)).astype(np.int64)
 
 
+def _gathered(blocks: DataFrame) -> Iterator[Row]:
+    """Rows of ``blocks``, read by few jobs: one for every partition of a shuffle would take longer than the work in them."""
+    table = written(blocks, "phrases-blocks")
+    yield from table.coalesce(_JOBS).toLocalIterator()
+    discarded(table)
+
+
 def _blocks(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest ``value`` of the ``key``s of each of ``n`` slots (255 and 0 where there is none), gathered block by block."""
     block = F.expr(f"CAST(shiftright(key, {_LENGTH_BITS}) & {n - 1} AS LONG)")
@@ -145,7 +156,7 @@ def _blocks(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
     dealt = rows.select(block.alias("slot"), "value").repartition(F.expr(f"slot div {_BLOCK}"))
     low, high = np.full(n, _NEVER, np.uint8), np.zeros(n, np.uint8)
-    for row in dealt.mapInArrow(run, "block long, low binary, high binary").toLocalIterator():
+    for row in _gathered(dealt.mapInArrow(run, "block long, low binary, high binary")):
         at = slice(row["block"] * _BLOCK, (row["block"] + 1) * _BLOCK)
         low[at], high[at] = (np.frombuffer(pa.decompress(bytes(row[c]), _BLOCK, codec="zstd", asbytes=True), np.uint8) for c in ("low", "high"))
     return low, high
@@ -205,12 +216,12 @@ def _counted(shard: DataFrame, step: int, shards: int, longest: int, tables: dic
             found = list(opened(words, langs))
             if found:
                 keys, until = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-                held.append(_summed(keys, np.ones(len(keys), np.int64), until))
+                held.append(_summed(keys, np.ones(len(keys), np.int64), until.astype(np.int16)))
                 size += len(held[-1][0])
-            if size > 2_000_000:
+            if size > _HELD:
                 held = [merged()]
                 size = len(held[0][0])
-                if size > 1_000_000:
+                if size > _HELD // 2:
                     yield from out()
                     held, size = [], 0
         if held:
@@ -267,7 +278,7 @@ def _bitmap(keys: DataFrame, n: int) -> np.ndarray:
     slots = keys.select(F.expr(f"CAST(shiftright(key, {_LENGTH_BITS}) & {n - 1} AS LONG)").alias("slot")).distinct()
     out = np.zeros(n // 8, np.uint8)
     size = _BLOCK // 8
-    for row in slots.repartition(F.expr(f"slot div {_BLOCK}")).mapInArrow(run, "block long, bits binary").toLocalIterator():
+    for row in _gathered(slots.repartition(F.expr(f"slot div {_BLOCK}")).mapInArrow(run, "block long, bits binary")):
         out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(pa.decompress(bytes(row["bits"]), size, codec="zstd", asbytes=True), np.uint8)
     return out
 
@@ -283,9 +294,8 @@ def _recounted(docs: DataFrame, keys: DataFrame, longest: int, most_bits: int) -
         held: dict[tuple[str, int, bytes], int] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            rows = list(held.items())
-            for at in range(0, len(rows), 50_000):
-                part = rows[at : at + 50_000]
+            rows = iter(held.items())
+            while part := list(islice(rows, 50_000)):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([k[0] for k, _ in part], pa.string()), pa.array([k[1] for k, _ in part], pa.int32()),

@@ -2,8 +2,13 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from docgauge.llm import collocation
 from tests.llm.helpers import clashing, documents, odd_rows, rows_of
 
@@ -94,3 +99,37 @@ def test_products_beyond_64_bits(spark):
     big = 5 * 10**9
     counts = spark.createDataFrame([("en", 1, "a", big), ("en", 1, "b", big), ("en", 2, "a b", big - 1), ("en", 0, "", 2 * big)], "lang string, size int, phrase string, n long")
     assert rows_of(collocation.scored(counts, 10), "a", "l", "r", "score") == [(big - 1, big, big, 10**6 * (big - 1) ** 2 // big**2)]
+
+
+def test_tables_of_slots_are_gathered_by_few_jobs(spark):
+    docs = documents(spark, _texts(random.Random(4), 60))
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    group = "gathered-by-few-jobs"
+    try:
+        for c, v in zip(kept, ("40", "false")):
+            spark.conf.set(c, v)
+        keys = docs.select(F.xxhash64("text").alias("key"), F.lit(1).alias("value"))
+        spark.sparkContext.setJobGroup(group, "")
+        low, high = collocation._blocks(keys, 1 << 20)
+        bits = collocation._bitmap(keys, 1 << 20)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    slots = {((r["key"] >> 4) & ((1 << 20) - 1)) for r in keys.collect()}
+    assert set(np.flatnonzero(high == 1).tolist()) == set(np.flatnonzero(low == 1).tolist()) == set(np.flatnonzero(np.unpackbits(bits)).tolist()) == slots
+    assert jobs <= 2 * (collocation._JOBS + 4)
+
+
+def test_a_task_takes_few_characters_apart_at_a_time():
+    texts = [f"w{i % 97} x{i % 89} " * 500 for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], ["lang", "text"])
+    tracemalloc.start()
+    try:
+        found = sum(len(words.begin) for _, words in collocation._chunks(iter([batch])) if len(words.hashes(np.zeros(len(texts), np.uint64), collocation._BASES[0])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == 1_000_000
+    assert peak < 60_000_000, peak
