@@ -30,6 +30,8 @@ from docgauge.llm.wordhash import mixed
 BANDS, ROWS = 20, 4
 _SEEDS = np.random.default_rng(20).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
 _HELD = 300_000
+#: Texts that come to a task at once.
+_BATCH = 1_000
 #: At most so many shingles are told apart as common; the others count as equally rare.
 _COMMON = 1_000_000
 
@@ -97,7 +99,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """``shingle_sets`` of the texts with these ids, which are written first, so that Spark knows their size when it chooses how to pick texts."""
     ids = written(ids.distinct(), "near-ids")
-    return written(shingle_sets(docs.join(ids, "doc_id", "left_semi"), width), "near-sets")
+    return written(shingle_sets(docs.join(ids, "doc_id", "left_semi"), width), "near-sets", _BATCH)
 
 
 def rarest(sets: DataFrame, least: float) -> DataFrame:
@@ -137,7 +139,7 @@ def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
     with several texts has the smallest of their components. No rows give no rows.
     """
     known = docs.where("doc_id IS NOT NULL")
-    made = written(sketches(known, width), "near-sketches")
+    made = written(sketches(known, width), "near-sketches", _BATCH)
     nodes = made.groupBy("digest", "fp").agg(F.min("doc_id").alias("node"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
     nodes = written(nodes, "near-nodes")
     tied = made.join(nodes.select("digest", "fp", "node"), ["digest", "fp"]).select("doc_id", "node")

@@ -32,6 +32,8 @@ _BASE = 0x9E3779B97F4A7C15
 _SLICE = 1 << 18
 #: Suffixes that are merged at a time.
 _TIES = 50_000
+#: Texts that come to a task at once.
+_BATCH = 1_000
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -395,7 +397,7 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, crowd: int) -> tuple
     again = found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
     marks = found.join(again.hint("shuffle_hash"), "g").groupBy("k", "k2").agg(F.collect_list(F.struct("g", "at")).alias("marks"))
     marked = texts.join(marks.withColumnRenamed("k2", "own"), "k").where("k2 = own").select("k", "k2", "text", "marks")
-    cut = written(_cut_contexts(marked, length), "suffix-anchors")
+    cut = written(_cut_contexts(marked, length), "suffix-anchors", _BATCH)
     # One row a context: its ranges stay together, however many there are and however often the context occurs.
     held = cut.drop("ctx").join(_repeated_ranges(cut, length, crowd), ["g", "ch"])
     first = F.expr("at div 1048576")

@@ -2,7 +2,9 @@
 
 import random
 
-from docgauge.llm.common import table
+import pyarrow as pa
+
+from docgauge.llm.common import table, written
 from tests.llm.helpers import documents, words
 
 
@@ -78,3 +80,15 @@ def test_queries_are_registered():
     names = set(entry.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert {"op4_backoff", "op6_chat"} <= set(entry.oracle_sql())
+
+
+def test_a_written_step_gives_its_tasks_few_rows_at_once(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    option = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(option)
+    made = spark.range(0, 2500, 1, 1).mapInArrow(sizes, "n long")
+    assert sorted(r["n"] for r in written(made, "few-rows", 1000).collect()) == [500, 1000, 1000]
+    assert spark.conf.get(option) == before
