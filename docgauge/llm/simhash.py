@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from docgauge.llm.common import written
+from docgauge.llm.common import grown, written
 from docgauge.llm.graph import components
 
 _GOLAY = 0b110001110101  # x^11+x^10+x^6+x^5+x^4+x^2+1, which generates the code
@@ -170,9 +170,9 @@ def links(prints: DataFrame, crowd: int = 64) -> DataFrame:
         least = points.groupBy("key").agg(
             F.min(F.when(F.col("side") == 0, F.col("fp"))).alias("a0"), F.min(F.when(F.col("side") == 1, F.col("fp"))).alias("b0")
         )
-        tied = points.join(least.where("a0 IS NOT NULL AND b0 IS NOT NULL"), "key")
+        tied = points.join(grown(least.where("a0 IS NOT NULL AND b0 IS NOT NULL")), "key")
         dense = tied.select("fp", F.when(F.col("side") == 0, F.col("b0")).otherwise(F.col("a0")).alias("to")).where("fp <> to").distinct()
-    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3))
+    pairs = a.join(grown(b), "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3))
     pairs = pairs.select("a", "b")
     return pairs if dense is None else pairs.union(dense)
 

@@ -93,6 +93,14 @@ def test_crowds_link_without_all_pairs(spark):
         assert {x: roots.get(x, x) for x in want} == want
 
 
+def test_keys_of_fingerprints_are_not_sent_to_all_tasks(spark):
+    """Spark sizes the keys by the fingerprints that they are made from, a few bytes each, and would broadcast them."""
+    prints = spark.createDataFrame([((i * 0x9E3779B97F4A7C15 % (1 << 63)) ^ j,) for i in range(100) for j in range(3)], "fp long")
+    for crowd in (64, 1):
+        plan = simhash.links(prints, crowd)._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" not in "".join(line for line in plan.splitlines() if "Inner" in line)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, x) for x in range(1001, 1300)] + [(5, 5)]
     roots = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
