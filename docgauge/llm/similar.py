@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from docgauge.llm.common import written
+from docgauge.llm.common import grown, written
 from docgauge.llm.graph import components
 from docgauge.llm.setjoin import clustered, count_vectors, linked, tiled
 from docgauge.llm.simhash import fold, links, shingle_hashes
@@ -152,7 +152,7 @@ def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
 
     members = nodes.select(F.explode("bands").alias("key"), "node", "size")
     shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("pivot")).where("n > 1").drop("n")
-    shared = written(members.join(shared, "key"), "near-buckets")
+    shared = written(grown(members).join(shared, "key"), "near-buckets")
     sizes = F.least("size", "other") >= least * F.greatest("size", "other")
     first = shared.withColumn("other", F.col("pivot.size")).where((F.col("node") != F.col("pivot.node")) & sizes)
     first = written(first.select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
@@ -168,7 +168,7 @@ def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
     parts = rare.groupBy("s").agg(F.countDistinct("root").alias("parts"), F.max("short").alias("short"), F.count("*").cast("int").alias("m"))
     parts = written(parts.where("parts > 1 AND short").select(F.col("s").alias("region"), "m"), "near-meeting")
     boxes = rare.select(F.col("s").alias("region"), "node", F.col("size").cast("long").alias("n"), "root").join(parts.select("region"), "region", "left_semi")
-    boxes = written(boxes.join(count_vectors(sets).withColumnRenamed("row", "node"), "node"), "near-boxes")
+    boxes = written(boxes.join(grown(count_vectors(sets).withColumnRenamed("row", "node")), "node"), "near-boxes")
     clusters = written(clustered(tiled(boxes, parts, 1024), int(least * 100 + 1e-9)), "near-clusters")
     rooted_sets = sets.withColumnRenamed("doc_id", "row").join(known_roots.toDF("row", "root"), "row")
     second = written(linked(rooted_sets, clusters, Fraction(least).limit_denominator(1_000_000), 1024), "near-rest")

@@ -179,6 +179,20 @@ def test_a_shared_passage_does_not_pair_unlike_texts(spark, monkeypatch):
     assert written_pairs[1] < len(rows)
 
 
+def test_bands_and_counts_are_not_sent_to_all_tasks(spark, monkeypatch):
+    """Spark sizes exploded bands and the count vectors of sets by few bytes of the files that they are made from."""
+    plain, plans = similar.written, {}
+
+    def written(df, name, *batch):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return plain(df, name, *batch)
+
+    monkeypatch.setattr(similar, "written", written)
+    similar.near_groups(documents(spark, odd_rows(random.Random(1)))).collect()
+    for name in ("near-buckets", "near-boxes"):
+        assert "BroadcastHashJoin" not in "".join(line for line in plans[name].splitlines() if "Inner" in line), name
+
+
 def test_band_keys_depend_on_the_set_alone():
     rng = np.random.default_rng(6)
     x = rng.integers(0, 2**63, 50, dtype=np.uint64)
