@@ -15,6 +15,8 @@ QUESTION = ["site_key", "question_ord"]
 _PER_PAGE = K.MAX_QUESTIONS + K.MAX_QUESTIONS_PER_PAGE
 _PER_QUESTION = K.MAX_QUESTIONS // K.MAX_QUESTIONS_PER_PAGE + 1
 _PER_SITE = K.MAX_QUESTIONS * (1 + _PER_QUESTION) + (K.MAX_QUESTIONS // K.MAX_QUESTIONS_PER_PAGE) * _PER_PAGE
+# Quotes of a site that are all tested on each of its pages.
+_FEW_QUOTES = 64
 
 
 def grounded_quotes(questions: DataFrame, source_pages: DataFrame) -> DataFrame:
@@ -29,26 +31,46 @@ def quote_pages(questions: DataFrame, pages: DataFrame) -> DataFrame:
 
     ``questions``: ``site_key, question_ord, evidence_quote``; ``pages``: ``site_key, url, text``. Empty and null quotes are nowhere.
 
-    A set-containment join. A page may lack at most 15 % of a quote's words, or, where it holds the quote as one string that begins or ends
+    The pages of a site with few quotes are tested with all of them: they move once. For the other sites this is a set-containment join. A page
+    may lack at most 15 % of a quote's words, or, where it holds the quote as one string that begins or ends
     inside words, the first and the last. So of a quote's words, rarest on the site's pages first, one of the shortest run that outweighs what may be
     lacking is on every page that counts: quotes meet pages at these words only. Quotes of one or two words may lie inside longer words;
     they meet the site's words that contain their first one, found by equal cuts of the lengths that occur. What meets is tested on the texts.
     """
     site, question = "site_key", ["site_key", "question_ord"]
     asked = questions.select(*question, T.normalize_for_match(F.col("evidence_quote")).alias("needle")).filter(F.col("needle") != "").distinct()
+    held = pages.select(site, "url", T.normalize_for_match(F.col("text")).alias("hay"))
+
+    first = first_n(asked, [site], ["question_ord", "needle"], _FEW_QUOTES + 1)
+    first = first.groupBy(site).agg(F.collect_list(F.struct("question_ord", "needle")).alias("quotes"))
+    few, many = first.filter(F.size("quotes") <= _FEW_QUOTES), first.filter(F.size("quotes") > _FEW_QUOTES).select(site)
+    every = F.array_distinct(F.flatten(F.transform("quotes", lambda q: F.split(q["needle"], " "))))
+    here = held.join(few.withColumn("words", every), site).withColumn("known", F.array_intersect("words", F.split("hay", " ")))
+    fits = F.filter("quotes", lambda q: T.holds(F.col("hay"), q["needle"], F.col("known")))
+    near = here.select(site, "url", F.explode_outer(fits).alias("q")).filter("q IS NOT NULL").select(site, "q.question_ord", "url")
+
+    far = _met_pages(asked.join(many, site, "left_semi"), held.join(many, site, "left_semi"))
+    return near.unionByName(far).distinct()
+
+
+def _met_pages(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """``quote_pages`` of normalised quotes (site_key, question_ord, needle) and pages (site_key, url, hay), for sites with any number of quotes."""
+    site = "site_key"
     # Rows of one question with different quotes stay apart by their quote.
-    question = [*question, "needle"]
+    question = [site, "question_ord", "needle"]
     words = asked.select(*question, F.explode(F.split("needle", " ")).alias("word")).groupBy(*question, "word").agg(F.count("*").alias("times"))
-    held = pages.select(site, "url", T.normalize_for_match(F.col("text")).alias("hay"))
     # Rows of two hashes in place of three texts. Words or pages of one hash make more candidates, never fewer, and texts decide.
     hashed = lambda word: F.xxhash64(site, word)
     page = F.xxhash64(site, "url").alias("page")
-    # The outer form: a plain explode would test the page's words for emptiness first, and so take them twice.
-    on_page = held.select(page, F.explode_outer(F.transform(F.array_distinct(F.split("hay", " ")), hashed)).alias("at")).distinct()
+    # The outer form: a plain explode would test the page's words for emptiness first, and so take them twice. A page with several texts may have
+    # a word several times, which only makes it seem less rare.
+    on_page = held.select(page, F.explode_outer(F.transform(F.array_distinct(F.split("hay", " ")), hashed)).alias("at"))
     words = words.withColumn("at", hashed(F.col("word")))
 
-    # Page words that no quote names are dropped before anything is counted.
-    known = on_page.join(words.select("at").distinct(), "at", "left_semi").groupBy("at").agg(F.count("*").alias("found_on"))
+    # Page words that no quote names are dropped before anything is counted. One page is asked for, though every word has one: Spark then moves
+    # the texts once, with their addresses, for this and the other steps.
+    known = on_page.join(words.select("at").distinct(), "at", "left_semi").groupBy("at").agg(F.count("*").alias("found_on"), F.max("page").alias("one"))
+    known = known.filter("one IS NOT NULL").drop("one")
     n = F.size(F.split("needle", " "))
     # A little over the exact share: one key too many costs a test, one too few would lose a page.
     lacking = F.greatest(F.lit(2), F.floor(n * F.lit(1 - K.QUOTE_OVERLAP) + F.lit(0.001)))
@@ -59,7 +81,8 @@ def quote_pages(questions: DataFrame, pages: DataFrame) -> DataFrame:
 
     short = asked.filter(n <= 2).withColumn("piece", F.split_part("needle", F.lit(" "), F.lit(1)))
     sizes = short.groupBy(site).agg(F.sort_array(F.collect_set(F.length("piece"))).alias("sizes"))
-    vocabulary = held.select(site, F.explode_outer(F.split("hay", " ")).alias("word")).distinct().filter(F.col("word") != "").join(sizes, site)
+    vocabulary = held.select(site, page, F.explode_outer(F.split("hay", " ")).alias("word")).groupBy(site, "word").agg(F.max("page").alias("one"))
+    vocabulary = vocabulary.filter("word <> '' AND one IS NOT NULL").join(sizes, site)
     starts = lambda size: F.sequence(F.lit(1), F.length("word") - size + 1)
     fitting = F.filter("sizes", lambda size: size <= F.length("word"))
     pieces = F.flatten(F.transform(fitting, lambda size: F.transform(starts(size), lambda at: F.substring(F.col("word"), at, size))))
@@ -68,7 +91,7 @@ def quote_pages(questions: DataFrame, pages: DataFrame) -> DataFrame:
 
     met = keyed.unionByName(short).join(on_page, "at").select(*question, "page").distinct()
     tested = met.join(held.withColumn("page", page), [site, "page"]).filter(T.holds(F.col("hay"), F.col("needle")))
-    return tested.select(site, "question_ord", "url").distinct()
+    return tested.select(site, "question_ord", "url")
 
 
 def select_questions(questions: DataFrame, source_pages: DataFrame) -> DataFrame:

@@ -73,6 +73,21 @@ def test_quote_pages_equal_every_quote_on_every_page(spark):
     assert got == want and len(want) > 500
 
 
+def test_quote_pages_of_few_quotes_equal_those_of_many(spark, monkeypatch):
+    rng = random.Random(10)
+    word = lambda: rng.choice("a b an the then cat concat tenate concatenate zebra x9 rare quick".split())
+    pages = [(s, f"u{i}", " ".join(word() for _ in range(rng.randint(0, 14)))) for s in ("s", "t") for i in range(20)]
+    pages += [("s", "none", None), ("s", "u0", "a second text of one page: the zebra then"), ("s", None, "a cat then the rare zebra x9 quick"), ("v", "u", "")]
+    quotes = [(s, i, " ".join(word() for _ in range(rng.choice([1, 2, 3, 5, 6, 7, 13])))) for s in ("s", "t", "w") for i in range(20)]
+    quotes += [("s", 90, None), ("s", 91, " .!"), ("s", 92, "at"), ("s", 0, "zebra"), (None, 1, "zebra")]
+    questions = spark.createDataFrame(quotes, "site_key string, question_ord int, evidence_quote string")
+    want = {(s, i, u) for s, i, q in quotes for p, u, t in pages if s == p and q is not None and t is not None and holds(t, q)}
+    for few in (0, 20, 64):
+        monkeypatch.setattr(A, "_FEW_QUOTES", few)
+        got = [tuple(r) for r in A.quote_pages(questions, spark.createDataFrame(pages, "site_key string, url string, text string")).collect()]
+        assert len(got) == len(want) and set(got) == want, few
+
+
 def in_turn(rows, rules, ordered):
     """Rules one by one over a site's rows ``(ord, id, status)``."""
     rows = sorted(rows)

@@ -1,5 +1,6 @@
 """Registered queries against their SQL on documents that the given tables hardly have."""
 
+import re
 import shutil
 
 import pyarrow as pa
@@ -60,3 +61,11 @@ def test_source_pages_move_prompts_not_texts(spark):
     told = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(execution, "formatted")
     moved = [block for block in told.split("\n\n") if ") Exchange\n" in block]
     assert moved and not [block for block in moved if "text#" in block.replace("prompt_text#", "") or " rendered#" in block]
+
+
+def test_quote_pages_move_pages_once(spark):
+    """Every step that reads page texts reads the same columns, so that Spark shuffles them once."""
+    queries, _ = load()
+    plan = queries["quote_pages"](spark, SMALL)._jdf.queryExecution().sparkPlan().toString()
+    made = [re.sub(r"#\d+L?|^[ :+-]*", "", line) for line in plan.splitlines() if " AS hay" in line]
+    assert len(made) > 3 and len(set(made)) == 1
