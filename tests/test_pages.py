@@ -1,13 +1,15 @@
 """Page parsing, URLs, dates, robots, sitemaps and interfaces on small fixtures."""
 
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from docgauge import constants as K, schemas as S
 from docgauge.functions import dates as D, html as H, text as T, urls as U
-from docgauge.operators import agent_text as AT, crawl, identity as I, pages as P, protocols
+from docgauge.operators import access, agent_text as AT, crawl, identity as I, pages as P, protocols
 from docgauge.sources import llms, robots, sitemaps
 
 
@@ -244,3 +246,51 @@ def test_an_unreadable_page_uses_up_a_place(spark):
     rows = spark.createDataFrame([("s", i, f"u{i}") for i in range(n + 2)], "site_key string, page_ord int, url string")
     facts = spark.createDataFrame([("s", i, f"u{i}", "t", "x" * 500) for i in range(1, n + 2)], "site_key string, page_ord int, url string, title string, text string")
     assert sorted(r.page_ord for r in P.source_pages(rows, facts).collect()) == list(range(1, n))
+
+
+def test_noise_goes_as_by_all_patterns_in_turn(spark):
+    """Also what only comes to stand together, or is spelled oddly, after something else has gone."""
+    parts = ["<", "s", "svg", "SVG ", "<svg>", "</svg>", "<!--", "-->", "<script>", "</script >", "<Style a>", "</STYLE>", "no", "<NoScript>", "</noscript>", "<template>", "</template>", "x", "\u212a", "\u0130", ">", "\n"]
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)] + ["<s<!-- -->vg>a</svg>", "<s<script></script>vg>a</svg>b", None]
+    plain = F.regexp_replace("html", r"(?s)<!--.*?-->", "")
+    for tag in ("script", "style", "noscript", "template", "svg"):
+        plain = F.regexp_replace(plain, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
+    rows = spark.createDataFrame([(t,) for t in texts], "html string").select(H.without_noise(F.col("html")).alias("a"), plain.alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
+
+
+def test_content_ends_where_its_element_does(spark):
+    parts = ["<article>", "</article>", "</ARTICLE >", "<articles>", "</article", "a", "<b>", " ", "\u00e9", "<Article x='>'>"]
+    rng = random.Random(6)
+
+    def content(rest):
+        depth = 1
+        for found in re.finditer(r"(?i)</?article(?=[\s>/])[^>]*>", rest):
+            depth += -1 if found[0].startswith("</") else 1
+            if depth == 0:
+                return rest[: found.start()]
+        return rest
+
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", H.content_html(F.concat(F.lit("<body><article>"), "t")).alias("got")).collect()
+    assert all(r.got == content(r.t) for r in rows)
+
+
+def test_pages_are_found_once_for_sitemap_coverage(spark):
+    """Counts and evidence come from one pass over the pages, and equal plain Python, also for a site that misses many."""
+    rng = random.Random(8)
+    pages = [(s, f"{s}/p{i}", f"https://{s}/p{i}", (0, o, 0)) for s, k in (("a", 400), ("b", 3), ("c", 40)) for o, i in enumerate(rng.sample(range(k), k))]
+    shape = "site_key string, page_key string, url string, found_ord struct<k:int,p:int,r:int>"
+    listed = [(s, u) for s, _, u, _ in pages if s == "b" or s == "c" and len(u) % 2 or u.endswith("7")]
+    sites = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "site_key string")
+    chosen = spark.createDataFrame([(s, "map") for s in "abc"], "site_key string, sitemap_url string")
+    rows = access.sitemap_coverage(sites, spark.createDataFrame(pages, shape), chosen, spark.createDataFrame(listed, "site_key string, loc string"))
+    got = {r.site_key: (r.message, r.evidence) for r in rows.collect()}
+    for s in "abc":
+        own = sorted((o, u) for t, _, u, o in pages if t == s)
+        missing = [u for _, u in own if (s, u) not in listed]
+        assert got[s][0] == f"The sitemap at map lists {len(own) - len(missing)} of the {len(own)} docs pages found through llms.txt and page links."
+        assert got[s][1] == (missing[:5] or None)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("found_ord#" in line and re.search("LogicalRDD|LocalRelation", line) is not None for line in plan.splitlines()) == 1
